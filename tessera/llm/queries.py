@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, html, lines, packing, quality, simhash, tokens, urls
+from tessera.llm import chat, html, lines, packing, quality, simhash, suffixes, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False).drop("removed")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = lines.with_dropped(docs, lines.line_bitmaps(docs, min_docs=10, min_chars=1))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
