@@ -25,7 +25,7 @@ from tessera.llm.anchors import Anchors
 from tessera.llm.scratch import Scratch
 
 #: An anchor found more often is not sorted as one group; its strings are dealt out by their own content.
-HOT = 4096
+HOT = 1 << 15
 #: Bytes of segments that are sorted together, about.
 BLOCK = 1 << 20
 #: Segments that a task remembers having sent.
@@ -56,8 +56,11 @@ def sorted_starts(text: bytes, wanted: np.ndarray, depth: int) -> list[int]:
     for i in ends.tolist():
         k = smaller_next[i]
         need[i : (int(smaller[k]) + 1 if k < len(smaller) else n)] = True
-    direct = np.flatnonzero(need & ~larger).tolist()
-    direct.sort(key=lambda i: text[i : i + depth])
+    chosen = np.flatnonzero(need & ~larger)
+    chosen = chosen[np.argsort(data[chosen], kind="stable")]
+    direct: list[int] = []
+    for part in np.split(chosen, np.flatnonzero(np.diff(data[chosen])) + 1):  # keys of one first byte at a time
+        direct += sorted(part.tolist(), key=lambda i: text[i : i + depth])
     induce = (need & larger).tobytes()
     front: list[list[int]] = [[] for _ in range(256)]
     if induce[-1]:
