@@ -9,11 +9,12 @@ GRAM = 32
 #: Starts of strings that are handled at once.
 STRETCH = 1 << 20
 _LOW = np.uint64(STRETCH * 2 - 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
     out = np.full(n, np.uint64(base & (2**64 - 1)))
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -30,7 +31,7 @@ class Anchors:
     def _ready(self, n: int) -> None:
         if len(self.up) < n:
             n = 1 << (n - 1).bit_length()
-            self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+            self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
 
     def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of the gram, first start, last start) of each run; every start of a string is in one run."""

@@ -79,3 +79,9 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 def n_dropped(dropped: Column) -> Column:
     return F.coalesce(F.aggregate(dropped, F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)), F.lit(0).cast("long"))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """``docs`` with the lines that stay as the text; other columns as they are."""
+    marked = with_dropped(docs, line_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first), id_col, text_col)
+    return marked.withColumn(text_col, kept_text(F.col(text_col), F.col("dropped"))).select(*docs.columns)

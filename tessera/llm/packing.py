@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.scratch import Scratch
+from tessera.llm.tokens import byte_letters
 
 #: Words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Pieces of one length that one ranking task takes, about.
 RANKED = 200_000
 
@@ -22,14 +25,14 @@ RANKED = 200_000
 class _Ids(dict):
     """Word, with the prefix put before it -> its ids as bytes; None where a word's ids depend on its neighbours."""
 
-    def __init__(self, tokenizer, prefix: str):
-        self.tokenizer, self.prefix = tokenizer, prefix
+    def __init__(self, encode, prefix: str):
+        self.encode, self.prefix = encode, prefix
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= REMEMBERED:
             self.clear()
         alone = word and not word[0].isspace() and not word[-1].isspace()
-        self[word] = found = np.array(self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids, "<u4").tobytes() if alone else None
+        self[word] = found = array("I", self.encode(self.prefix + word)).tobytes() if alone else None
         return found
 
 
@@ -38,21 +41,41 @@ class _Encoder:
 
     Such tokenizers start a new token at a space before a word, so the ids of a
     text are those of its words, if single spaces alone part them from each
-    other; any other text is encoded whole.
+    other; any other text is encoded whole. Where ids rise in the order of the merges, they
+    are ranks, and the faster library that merges by rank gives a word's ids;
+    words with a special token's first letters go to the tokenizer.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.rest = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
+        self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = [t["content"] for t in model.get("added_tokens", [])]
+        vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        word = self._whole
+        if merged == sorted(merged):
+            letters = byte_letters()
+            ranks = {bytes(letters[c] for c in piece): n for piece, n in vocabulary.items() if piece not in special}
+            by_rank = tiktoken.Encoding("by_rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            marks = tuple({s[:2] for s in special})
+            word = lambda text: self._whole(text) if any(m in text for m in marks) else by_rank(text)
+        self.first, self.rest = _Ids(word, ""), _Ids(word, " ")
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
         words = text.split(" ")
         try:
             return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
         except TypeError:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self._whole(text)).tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:

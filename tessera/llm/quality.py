@@ -16,7 +16,7 @@ SAMPLE_ROWS = 2000
 
 
 def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, words, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of each row.
+    """(doc_id, text, words, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, row) of each row; ``row`` has all its columns.
 
     Words are runs of anything but ASCII white space; null texts have none.
     ``n_repeat_words`` counts the words that stand in a WINDOW of words which
@@ -25,11 +25,11 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(_ENDS))
-    a = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), trimmed.alias("trimmed"))
-    a = a.select("doc_id", "text", F.when(F.length("trimmed") == 0, F.array().cast("array<string>")).otherwise(F.split("trimmed", _BLANKS)).alias("words"))
+    a = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), trimmed.alias("trimmed"))
+    a = a.select("row", "doc_id", "text", F.when(F.length("trimmed") == 0, F.array().cast("array<string>")).otherwise(F.split("trimmed", _BLANKS)).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
-    a = a.select("doc_id", "text", "words", lines.alias("lines"), F.when(F.size("words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("windows"))
+    a = a.select("row", "doc_id", "text", "words", lines.alias("lines"), F.when(F.size("words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("windows"))
     recurs = F.size(F.array_distinct("windows")) < F.size("windows")
     a = a.select("*", F.when(recurs, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("ordered"))
     like = lambda e, other: F.coalesce(F.try_element_at("ordered", other)["h"] == e["h"], F.lit(False))
@@ -40,6 +40,7 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # put the whole chain into each of its own lambdas.
     here = F.rand() >= 0
     return a.select(
+        "row",
         "doc_id",
         "text",
         "words",
@@ -106,16 +107,25 @@ def cascade(order: list[str], named: dict[str, Column]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Features, ``base_failed``, ``kept`` of each row, and ``rejected_by`` (the rule met first; null if kept or base-failed).
-
-    Each row of ``docs`` gives a row, repeated ones too; null and empty texts
-    have no words and fail. Other columns are ignored.
-    """
-    features = base_features(docs, id_col, text_col)
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``base_features`` with ``base_failed``, ``kept`` and ``rejected_by`` (the rule met first; null if kept or base-failed)."""
     named = rules()
     order = order_rules(docs, named, id_col, text_col, sample_rows)
-    judged = features.withColumn("base_failed", base_failed())
+    judged = base_features(docs, id_col, text_col).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(order, named)))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per row of ``docs``: its id, counts and verdict.
+
+    Repeated rows each have one; null and empty texts have no words and fail.
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+    return verdicts(docs, id_col, text_col, sample_rows).select(*columns)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that ``judge`` keeps."""
+    return verdicts(docs, id_col, text_col).where("kept").select("row.*")

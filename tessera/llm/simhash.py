@@ -85,6 +85,12 @@ def links(prints: DataFrame, scratch: Scratch, most_bits: int = 2, blocks: int =
     return pairs.unionByName(stars)
 
 
+def _rooted(prints: DataFrame, scratch: Scratch, most_bits: int, blocks: int) -> DataFrame:
+    """Distinct fingerprints with their component's smallest one: ``prints`` and ``root``."""
+    found = components(links(prints.select("fp"), scratch, most_bits, blocks), scratch)
+    return prints.join(found, prints.fp == found.node, "left").select(*prints.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_bits: int = 2, blocks: int = 4) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id).
 
@@ -99,8 +105,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     made = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")), "prints")
     prints = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = components(links(prints.select("fp"), scratch, most_bits, blocks), scratch)
-    rooted = prints.join(found, prints.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, scratch, most_bits, blocks)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_bits: int = 2, blocks: int = 4) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stand for their component: the smallest in order of id (nulls last) and text hash.
+
+    Of rows alike in id and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    text = F.col(text_col)
+    made = scratch.keep(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), fingerprint(text, width).alias("fp")), "prints")
+    first = F.min(F.struct(F.isnull("_id").alias("none"), F.col("_id"), F.col("_hash"))).alias("first")
+    prints = scratch.keep(made.groupBy("fp").agg(first), "distinct")
+    stay = scratch.keep(_rooted(prints, scratch, most_bits, blocks).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._hash"), "stay")
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]) & (F.xxhash64(docs[text_col]) == stay["_hash"]), "left_semi")
+    again = made.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if again else kept

@@ -79,7 +79,7 @@ class Automaton:
         return total if at >= 0 else -1
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -88,7 +88,7 @@ def _byte_letters() -> dict[str, int]:
 
 def read_pieces(path: str) -> list[tuple[bool | None, bytes]]:
     """Pieces of a byte-level tokenizer file, special tokens left out."""
-    letters = _byte_letters()
+    letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"] for t in model.get("added_tokens", [])}
