@@ -36,21 +36,21 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = F.filter("ordered", lambda e, j: F.when(j > 0, like(e, j)).otherwise(F.lit(False)) | like(e, j + 2))
     a = a.select("*", F.sort_array(F.transform(again, lambda e: e["i"])).alias("again"))
     covered = F.transform("again", lambda i, j: F.least(F.lit(WINDOW), F.coalesce(F.try_element_at("again", j + 2) - i, F.lit(WINDOW))))
-    # rand() keeps a filter on these columns above this projection: pushed below, it would
-    # put the whole chain into each of its own lambdas.
-    here = F.rand() >= 0
-    return a.select(
+    counted = a.select(
         "row",
         "doc_id",
         "text",
         "words",
-        F.when(here, F.size("words").cast("long")).alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, n: s + n), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
+    # A generator of one row keeps filters on these columns above it: pushed below, they
+    # would put the whole chain of projections into each of its own lambdas.
+    return counted.select(F.inline_outer(F.array(F.struct(*counted.columns))))
 
 
 def base_failed() -> Column:
