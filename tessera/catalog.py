@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) under its own name, with the SQL that gives the same rows."""
+
+    def register(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[run.__name__] = run
+        if oracle:
+            ORACLES[run.__name__] = oracle
+        return run
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from tessera.bindings import analytics, chunks, extraction, planning, retrieval, understanding  # noqa: E402, F401
