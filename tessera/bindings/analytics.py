@@ -10,13 +10,13 @@ from tessera.functions import text as text_functions
 from tessera.operators import analytics, insider
 
 _TX = """SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE 'J' END AS code, CASE l_linestatus WHEN 'O' THEN 'A' ELSE 'D' END AS sign,
-l_quantity::DECIMAL(12,2) AS shares, CASE WHEN l_tax = 0 THEN NULL ELSE (l_extendedprice / l_quantity)::DECIMAL(12,4) END AS price, l_shipdate::DATE AS date FROM lineitem"""
+l_quantity::DECIMAL(12,2) AS shares, CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice::DECIMAL(12,2) END AS price, l_shipdate::DATE AS date FROM lineitem"""
 
 
 def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as transactions."""
     code = F.when(F.col("l_returnflag") == "R", "S").when(F.col("l_returnflag") == "A", "P").otherwise("J")
-    price = F.when(F.col("l_tax") != 0, (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(12,4)"))
+    price = F.when(F.col("l_tax") != 0, F.col("l_extendedprice").cast("decimal(12,2)"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", code.alias("code"), F.when(F.col("l_linestatus") == "O", "A").otherwise("D").alias("sign"), F.col("l_quantity").cast("decimal(12,2)").alias("shares"), price.alias("price"), F.col("l_shipdate").cast("date").alias("date"))
 
 
@@ -48,7 +48,7 @@ def insider_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "code")
 
 
-@query(f"SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS nth, 'S' || l_suppkey AS security, date::VARCHAR AS date, code, shares::DOUBLE AS shares, sign FROM ({_TX})")
+@query(f"SELECT l_orderkey, 'S' || l_suppkey AS security, date::VARCHAR AS date, code, shares::DOUBLE AS shares, sign FROM ({_TX})")
 def form4_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as ownership forms, their lines as transactions, and read again."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
@@ -62,7 +62,7 @@ def form4_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x"))))
     body = F.concat(F.lit('<?xml version="1.0"?><ownershipDocument><nonDerivativeTable>'), F.array_join(F.transform(lines, lambda r: r["x"]), ""), F.lit("</nonDerivativeTable></ownershipDocument>"))
     forms = _transactions(spark, sf_dir).groupBy("l_orderkey").agg(body.alias("xml"))
-    return insider.parse_form4(forms, "l_orderkey", "xml").select("l_orderkey", "nth", "security", F.col("date").cast("string").alias("date"), "code", F.col("shares").cast("double").alias("shares"), "sign")
+    return insider.parse_form4(forms, "l_orderkey", "xml").select("l_orderkey", "security", F.col("date").cast("string").alias("date"), "code", F.col("shares").cast("double").alias("shares"), "sign")
 
 
 @query("SELECT o_orderpriority, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")

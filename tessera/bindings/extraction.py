@@ -1 +1,96 @@
+"""Extraction of sections, tables and page parts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import lexicon
+from tessera.catalog import query, table
+from tessera.operators import sections, tables
+
+
+
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut in three under headers, after a table of contents."""
+    part = lambda k: F.expr(f"substring(text, cast({k} * (n_chars div 3) + 1 as int), cast({'n_chars' if k == 2 else 'n_chars div 3'} as int))")
+    contents = F.lit("Item 1. Business\nItem 1A. Risk Factors\nItem 7. Discussion\n")
+    body = F.concat(contents, F.lit("Item 1. Business\n"), part(0), F.lit("\nItem 1A. Risk Factors\n"), part(1), F.lit("\nItem 7. Discussion\n"), part(2))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("filing"))
+
+
+_CUTS = "SELECT doc_id, 'Item 1' AS key, 'Business' AS title, substr(text, 1, n_chars // 3) || chr(10) AS content FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', substr(text, n_chars // 3 + 1, n_chars // 3) || chr(10) FROM documents UNION ALL SELECT doc_id, 'Item 7', 'Discussion', substr(text, 2 * (n_chars // 3) + 1) FROM documents"
+
+
+@query(f"SELECT doc_id, key, title, md5(trim(content, chr(10) || ' ')) AS content FROM ({_CUTS}) WHERE length(trim(chr(10) || content, ' ')) >= 50")
+def section_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of filings whose contents list names each item before it comes."""
+    texts = _filings(spark, sf_dir)
+    found = sections.headers(texts, "doc_id", "filing")
+    best = sections.longest_sections(texts, found, "doc_id", "filing")
+    return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
+
+
+@query("SELECT doc_id, count(*) AS headers FROM (SELECT doc_id, unnest([1, 2, 3, 4, 5, 6]) AS i FROM documents) GROUP BY 1")
+def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.headers(_filings(spark, sf_dir), "doc_id", "filing").groupBy("doc_id").agg(F.count(F.lit(1)).alias("headers"))
+
+
+@query("SELECT conv_id, role AS key, min(turn) AS start, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations WHERE length(text) >= 300 GROUP BY 1, 2")
+def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("key"), F.col("role").alias("title"), F.col("turn").alias("start"), F.col("text").alias("content"))
+    return sections.merge_fragments(turns, "conv_id", 300).drop("title")
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)) AS links FROM pages")
+def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", tables.html_title(html).alias("title"), F.size(tables.html_links(html)).cast("long").alias("links"))
+
+
+_ENTITIES = "x"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _ENTITIES = f"replace({_ENTITIES}, '{_a}', '{_b}')"
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\\b.*?</(script|style|head)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages)
+    SELECT page_id, md5(trim(regexp_replace({_ENTITIES}, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM a"""
+)
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tables.html_text(F.col("html"))).alias("text"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CAPTION = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Balance sheet: total assets' WHEN 1 THEN 'Board committees' WHEN 2 THEN 'Executive salary and bonus' WHEN 3 THEN 'Schedule of maturities' ELSE p_name END AS caption, p_type || ' ' || p_brand AS content FROM part"
+_KIND_SCORES = ", ".join(f"({' + '.join(f'regexp_matches(seen, {_sql(p)})::INT' for p in v)}) AS {k}" for k, v in lexicon.TABLE_KINDS.items())
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, {_KIND_SCORES} FROM (SELECT p_partkey, lower(caption || ' ' || substr(content, 1, 2000)) AS seen FROM ({_CAPTION})))
+    SELECT p_partkey, CASE WHEN greatest({', '.join(lexicon.TABLE_KINDS)}) = 0 THEN 'other' {' '.join(f"WHEN {k} = greatest({', '.join(lexicon.TABLE_KINDS)}) THEN '{k}'" for k in lexicon.TABLE_KINDS)} END AS kind FROM s"""
+)
+def table_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    caption = F.when(k == 0, "Balance sheet: total assets").when(k == 1, "Board committees").when(k == 2, "Executive salary and bonus").when(k == 3, "Schedule of maturities").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", tables.classify(caption, F.concat_ws(" ", "p_type", "p_brand")).alias("kind"))
+
+
+@query(
+    """SELECT n_regionkey, '| key | name | part |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |  |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1"""
+)
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as a table whose rows are a cell short."""
+    row = F.array(F.col("n_nationkey").cast("string"), F.concat(F.lit("  "), F.col("n_name")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"])
+    head = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("part")))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(rows.alias("rows")).select("n_regionkey", tables.markdown(F.concat(head, F.col("rows"))).alias("markdown"))
+
+
+@query("SELECT s_suppkey, s_name || '  $' || floor(abs(s_acctbal))::BIGINT || '  n' || s_nationkey AS line FROM supplier")
+def readable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array(F.col("s_name"), F.col("s_name"), F.lit(""), F.lit("$"), F.floor(F.abs("s_acctbal")).cast("string"), F.lit(" "), F.concat(F.lit("n"), F.col("s_nationkey")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", cells.alias("cells")).select("s_suppkey", tables.readable(F.col("cells")).alias("line"))

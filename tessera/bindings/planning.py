@@ -1 +1,84 @@
+"""Summary planning over documents as sections."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import lexicon
+from tessera.catalog import query, table
+from tessera.functions import text as text_functions
+from tessera.operators import planning
+
+_NAMES = ["Item 1", "Item-1A", "ITEM 7", "Item  8", "Exhibits & Schedules"]
+_WEIGHTS = ", ".join(f"('{k}', '{w}', {n})" for k, (w, n, _) in lexicon.SECTION_WEIGHTS.items())
+_SECTIONS = f"SELECT doc_id, text, {list(_NAMES)!r}[(doc_id % 5 + 1)::INT] AS section FROM documents"
+_KEY = "trim(regexp_replace(replace(replace(lower(trim(section)), '&', ' and '), '-', ' '), '\\s+', ' ', 'g'))"
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, _NAMES))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("section"))
+
+
+@query(
+    f"""WITH w(k, weight, base) AS (VALUES {_WEIGHTS}), s AS (SELECT doc_id, section, length(text) AS n, coalesce(weight, 'medium') AS weight, coalesce(base, 800) AS base FROM ({_SECTIONS}) LEFT JOIN w ON k = {_KEY})
+    SELECT doc_id, weight, least(greatest(base, floor(floor(n / 4) * 0.6))::INT, 32000) AS max_tokens,
+    'd' || doc_id || '_' || trim(regexp_replace(regexp_replace(replace(section, '&', '-and-'), '\\s', '-', 'g'), '-+', '-', 'g'), '-') AS custom_id FROM s"""
+)
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No document is long enough to be cut here."""
+    prefix = F.concat(F.lit("d"), F.col("doc_id"))
+    planned = planning.plan(_sections(spark, sf_dir), "section", "text", prefix, planning.weights(spark), high_chars=10_000_000, other_chars=10_000_000)
+    return planned.select("doc_id", "weight", "max_tokens", "custom_id")
+
+
+@query()
+def batch_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents in parts of 4000 characters or less, where paragraphs allow."""
+    prefix = F.concat(F.lit("d"), F.col("doc_id"))
+    planned = planning.plan(_sections(spark, sf_dir), "section", "text", prefix, planning.weights(spark), high_chars=4000, other_chars=2000)
+    return planned.select("doc_id", "custom_id", "part", "parts", F.length("text").alias("chars"), "max_tokens")
+
+
+@query("SELECT 'c' || conv_id AS section, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS summary, sum(length(text))::BIGINT AS tokens, bool_or(length(text) > 900) AS truncated, count(*) AS parts FROM conversations GROUP BY 1")
+def batch_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as parts of a conversation's summary."""
+    parts = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("_part"), F.col("turn") + 1).alias("custom_id"), F.col("text").alias("summary"), F.length("text").alias("tokens"), (F.length("text") > 900).alias("truncated"))
+    return planning.regroup(parts)
+
+
+@query("SELECT source || ' & ' || lang AS section, max(doc_id) FILTER (doc_id % 2 = 1) IS NOT NULL AS renewed FROM documents WHERE doc_id < 100000000 GROUP BY 1")
+def section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections named by source and language; those with an odd document come again under another spelling."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(F.concat_ws(" & ", "source", "lang").alias("section")).distinct().withColumn("renewed", F.lit(False))
+    new = docs.where("doc_id % 2 = 1").select(F.concat_ws("-and-", F.upper("source"), "lang").alias("section")).distinct().withColumn("renewed", F.lit(True))
+    merged = planning.merge_sections(old, new, "section")
+    return merged.select(F.regexp_replace(F.lower("section"), "-and-", " & ").alias("section"), "renewed")
+
+
+@query("SELECT DISTINCT source || ' & ' || lang AS section FROM documents EXCEPT SELECT source || ' & ' || lang FROM documents WHERE doc_id % 2 = 1")
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    expected = docs.select(F.concat_ws(" & ", "source", "lang").alias("section")).distinct()
+    made = docs.where("doc_id % 2 = 1").select(F.concat_ws("-and-", F.upper("source"), "lang").alias("section")).distinct()
+    return planning.missing(expected, made, "section")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(p_name || ' & (' || p_type || ')', '&', '-and-'), '[,():''\"]', '', 'g'), '[\\s/]', '-', 'g'), '-+', '-', 'g'), '-') AS custom_id FROM part")
+def custom_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.col("p_name"), F.lit(" & ("), F.col("p_type"), F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", text_functions.custom_id(raw).alias("custom_id"))
+
+
+@query("SELECT p_partkey, length(p_name) + 1 + length(p_brand) AS width FROM part")
+def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat(F.lit("**"), F.col("p_name"), F.lit("** *"), F.col("p_brand"), F.lit("*"))
+    return table(spark, sf_dir, "part").select("p_partkey", text_functions.display_width(shown).cast("long").alias("width"))
+
+
+@query("SELECT lang, source, min(doc_id) AS first_doc, '[' || lang || ' (' || source || ')]' AS citation FROM documents GROUP BY 1, 2")
+def citations_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of language and source once, with the first document that cites it."""
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first_doc")).withColumn("citation", F.format_string("[%s (%s)]", "lang", "source"))
