@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html, lines, packing, quality, simhash, suffixes, tokens, urls
+from tessera.llm import chat, decontaminate, html, lines, oracles, packing, quality, simhash, suffixes, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")  # depends on the order of the rules
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    judged = urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.QUALITY,
+    "op6_chat_formatting": oracles.CHAT,
+    "op7_url_filters": oracles.urls(URL_RULES),
+    "op10_line_dedup": oracles.LINES,
+}
