@@ -138,7 +138,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
         html = re.sub(r"<!\[[^>]*>?", "", html)
     parser = _Lines()
     parser.feed(html)
-    parser.close()
+    if not re.match(r"<[!/?a-zA-Z]", parser.rawdata):  # a tag or comment that the page's end cuts off is no text
+        parser.close()
     parser.end_line()
     lines = parser.lines
     if not lines:
