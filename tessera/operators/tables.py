@@ -24,7 +24,7 @@ def classify(caption: Column, content: Column, kinds: dict[str, list[str]] | Non
 def markdown(rows: Column) -> Column:
     """Rows of cells as a Markdown table: white space collapsed, bars escaped, short rows padded."""
     width = F.array_max(F.transform(rows, F.size))
-    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), r"\|", r"\\\\|")
+    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), r"\|", r"\\|")
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, clean), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.size(rows)), line)), "\n"))
