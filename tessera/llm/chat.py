@@ -29,7 +29,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     mark = [F.col("turn"), F.isnull("role"), F.col("role"), F.isnull("text"), F.col("text")]
     parts = [*_halves(*mark), *_halves(F.lit(7), *mark[::-1])]
     each = turns.select("conv_id", "turn", F.floor(F.col("turn") / BLOCK).alias("block"), F.lit(1).cast("long").alias("n"), *(p.alias(s) for p, s in zip(parts, _SUMS, strict=True)))
-    each = each.groupBy("conv_id", "block", "turn").agg(*(F.sum(c).alias(c) for c in _DIGEST))
+    each = each.distinct().groupBy("conv_id", "block", "turn").agg(*(F.sum(c).alias(c) for c in _DIGEST))
     run = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     inner = each.select("conv_id", "block", "turn", *(F.sum(c).over(run).alias(c) for c in _DIGEST))
     blocks = each.groupBy("conv_id", "block").agg(*(F.sum(c).alias(c) for c in _DIGEST))
@@ -55,20 +55,19 @@ def format_chats(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Systems log a conversation again after each turn; a log whose turns all
     stand, alike, at the start of a longer one goes, and so do all but the
-    smallest id of equal ones. Rows alike in all four columns count once. Turns are ordered by
+    smallest id of equal ones. Rows alike in all four columns count once, and only
+    their hashes are shuffled to find what is maximal; texts move once. Turns are ordered by
     (turn, role, text), nulls first; a null role is ``unknown``, a null text is
     empty, rows without a conversation id are one conversation.
 
     A row holds the turns of SEGMENT numbers (part 0: turns 0 to SEGMENT - 1), so that
     no conversation, however long, must fit in one row; rows without a turn number have a null part.
     """
-    turns = convs.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).distinct()
+    turns = convs.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     scratch = Scratch(convs.sparkSession, "chat")
-    turns = scratch.keep(turns, "turns")
     kept = maximal(turns, scratch).withColumnRenamed("conv_id", "_of")
     stay = turns.join(kept, turns.conv_id.eqNullSafe(kept["_of"]), "left_semi")
-    line = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
-    stay = stay.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("part"), F.when(F.isnull("turn"), F.xxhash64("role", "text")).alias("alone"), "turn", "role", "text", line.alias("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "line")))
-    out = stay.groupBy("conv_id", "part", "alone").agg(ordered.alias("t"))
-    return out.select("conv_id", "part", F.size("t").cast("long").alias("n_turns"), F.array_join(F.col("t.line"), "").alias("text"))
+    stay = stay.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("part"), F.when(F.isnull("turn"), F.xxhash64("role", "text")).alias("alone"), F.struct("turn", "role", "text").alias("t"))
+    out = stay.groupBy("conv_id", "part", "alone").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    line = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("unknown")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
+    return out.select("conv_id", "part", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", line), "").alias("text"))
