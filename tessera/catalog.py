@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tessera.bindings import analytics, calls, chunks, extraction, planning, retrieval, understanding  # noqa: E402, F401
+from tessera.bindings import analytics, calls, chunks, extraction, planning, rendering, retrieval, understanding  # noqa: E402, F401
