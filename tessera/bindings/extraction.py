@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import lexicon
 from tessera.catalog import query, table
 from tessera.operators import sections, tables
+from tessera.operators.html_tables import page_tables
 
 
 
@@ -94,3 +95,17 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(F.col("s_name"), F.col("s_name"), F.lit(""), F.lit("$"), F.floor(F.abs("s_acctbal")).cast("string"), F.lit(" "), F.concat(F.lit("n"), F.col("s_nationkey")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", cells.alias("cells")).select("s_suppkey", tables.readable(F.col("cells")).alias("line"))
+
+
+@query(
+    """SELECT c_nationkey, 0 AS position, 'Customers of ' || c_nationkey || ' - Balance sheet' AS caption, (count(*) + 1)::INT AS n_rows, 2 AS n_cols, 'financial_statement' AS kind,
+    md5('| key | balance |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || floor(c_acctbal)::BIGINT || ' |', chr(10) ORDER BY c_custkey)) AS markdown FROM customer GROUP BY c_nationkey"""
+)
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as a page with a table after a heading, read again."""
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey"), F.lit("</td><td> "), F.floor("c_acctbal"), F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("x")))), lambda r: r["x"]), "")
+    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(rows.alias("rows"))
+    html = F.concat(F.lit("<html><body><p style='display: none'>no</p><h2>Balance sheet</h2><table><caption>Customers of "), F.col("c_nationkey"), F.lit("</caption><tr><th>key<th>balance</tr>"), F.col("rows"), F.lit("</table></body></html>"))
+    found = page_tables(pages.select("c_nationkey", html.alias("html")), "c_nationkey", "html")
+    return found.select("c_nationkey", "position", "caption", "n_rows", "n_cols", "kind", F.md5("markdown").alias("markdown"))

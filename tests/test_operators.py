@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import analytics, chunking, filters, insider, planning, retrieval, sections, tables, understanding
+from tessera.operators import analytics, chunking, filters, html_tables, insider, planning, rendering, retrieval, sections, tables, transcripts, understanding
 from tessera.plans import index
 from tessera.plans.search import Search, search
 from tessera.sources import files
@@ -188,3 +188,39 @@ def test_to_fetch(spark):
     known = spark.createDataFrame([("a4",)], "accession string")
     assert sorted(r["accession"] for r in files.to_fetch(offered, known).collect()) == ["a2", "a3"]
     assert sorted(r["accession"] for r in files.to_fetch(offered, known, start="2021-01-01", end="2022-12-31").collect()) == ["a1", "a2"]
+
+
+def test_page_tables(spark):
+    page = "<div>Intro</div><p>Lead &amp; more</p><table><tr><td>a<td>b</tr><tr><td>1</td><td></td></tr><tr><td> </td></tr></table>tail<table><tr><td>x</td></tr></table><div style='display:none'><p>gone</p></div>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<table>")], "id long, html string")
+    text = {r["id"]: r["text"] for r in pages.select("id", html_tables.parse(F.col("html"))["text"].alias("text")).collect()}
+    assert text == {1: "Intro\nLead & more\n[TABLE: Lead & more]\na  b\n1\n[/TABLE]\ntail\nx", 2: "", 3: ""}
+    found = html_tables.page_tables(pages, "id", "html")
+    assert [(r["position"], r["n_rows"], r["n_cols"]) for r in found.orderBy("position").collect()] == [(0, 2, 2), (1, 1, 1)]
+    chunks = spark.createDataFrame([(1, "[TABLE: Lead & more]\na\n[/TABLE]"), (1, "plain")], "id long, text string")
+    assert sorted((r["has_table"], r["table_kind"]) for r in html_tables.mark_chunks(chunks, found, "id").collect() if r["has_table"]) == [(True, "other")]
+
+
+def test_rendering(spark):
+    parts = lambda t: tuple(value(spark, rendering.answer_parts(F.col("t")), t=t))
+    assert parts("Answer.\n## Confidence: HIGH\n**Missing information:** none.") == ("high", None)
+    assert parts("no headings") == ("medium", None)
+    assert parts("Confidence: low\nMissing information: the 2023 report") == ("low", "the 2023 report")
+    assert value(spark, rendering.sub_queries(F.col("t")), t='```json\n["a", "b"]\n```') == ["a", "b"]
+    assert value(spark, rendering.sub_queries(F.col("t")), t="sorry") == []
+    assert value(spark, rendering.fiscal_year_end(F.col("t")), t="FY") == "FY"
+    facts = '<ix:hidden><ix:nonNumeric name="dei:DocumentFiscalYearFocus" x="1">2024</ix:nonNumeric></ix:hidden>'
+    assert tuple(value(spark, rendering.fiscal_facts(F.col("t")), t=facts)) == ("2024", None, None)
+    files_ = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(30)))], "id long, text string")
+    (row,) = rendering.excerpt(files_, "id", "text", F.lit("line 12"), lines=7).collect()
+    assert row["excerpt"].split("\n") == [f"line {i}" for i in range(7, 14)]
+    text = "# " + "x " * 80 + "\n- " + "word " * 30 + "\n| " + "c " * 80
+    wrapped = value(spark, rendering.wrap(F.col("t"), 40), t=text).split("\n")
+    assert wrapped[0].startswith("# x") and wrapped[-1].startswith("| c") and all(len(x) <= 40 for x in wrapped[1:-1]) and wrapped[2].startswith("  word")
+
+
+def test_transcript(spark):
+    call = "Acme (ACME)\nParticipants\nAnn Lee - CEO\nBob O'Neil - Analyst\nPresentation\nintro\nAnn Lee\nhello\nPage 2\nthere\nQuestions and Answers\nBob O'Neil\nwhy?\nAnn Lee\nbecause"
+    calls = spark.createDataFrame([(1, call), (2, None)], "id long, text string")
+    blocks = transcripts.speaker_blocks(calls, "id", "text").orderBy("block").collect()
+    assert [(r["part"], r["name"], r["title"], r["text"].replace("\n\n", "\n")) for r in blocks] == [("presentation", "Ann Lee", "CEO", "hello\nthere"), ("qa", "Bob O'Neil", "Analyst", "why?"), ("qa", "Ann Lee", "CEO", "because")]
