@@ -17,7 +17,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _HOLDERS = frozenset("body article main section div td center".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in a class or id that mark what surrounds an article.
-_MARKS = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menus?|sidebars?|side|footer|header|masthead|ads?|adverts?|advertisements?|advertising|sponsor|sponsored|banner|promo|promotion|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|signin|login|paywall|social|share|sharing|related|recommended|recommendations|comments?|replies|disqus|breadcrumbs?|pagination|pager|widgets?|toolbar|copyright|legal|search|skip|hidden)(?:$|[\s_-])", re.IGNORECASE)
+_WORDS = r"nav\w*|menus?|menubar|sidebars?|sidepanels?|rail|footers?|masthead|topbar|ads?|ad(?:s?box|slot|unit|sense|block|space|container|wrapper)s?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promoted|banners?|promos?|promotions?|cookies?|cookiebar|consent|gdpr|notices?|disclaimers?|alerts?|toast|popups?|modal|overlay|newsletters?|subscribe|subscription|signup|signin|login|paywall|social|share|sharing|related|recommended|recommendations|comments?|commentlist|replies|responses|discussion|disqus|breadcrumbs?|pagination|pager|widgets?|toolbar|copyright|legal|search|skip|hidden"
+_MARKS = re.compile(rf"(?:^|[\s_-])(?:{_WORDS}|headers?)(?:$|[\s_-])", re.IGNORECASE)
+#: Within an article, a header is the article's own.
+_MARKS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+#: Says what stands beside an element, not what it is.
+_BESIDE = re.compile(r"\b(?:has|with|without|no)[_-][\w-]+", re.IGNORECASE)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS_CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _STOPS = frozenset("article section div body main td th table blockquote ul ol li".split())
@@ -56,13 +61,15 @@ class _Lines(HTMLParser):
     def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _NEVER:
             return True
-        if tag == "header" and not any(name in ("article", "main") for name, _, _ in self.stack):
-            return True
-        if not attrs or tag in ("html", "body", "article", "main"):
+        if not attrs and tag != "header" or tag in ("html", "body", "article", "main"):
             return False
+        inside = any(name in ("article", "main") for name, _, _ in self.stack)
+        if tag == "header" and not inside:
+            return True
+        marks = _MARKS_INSIDE if inside else _MARKS
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and _MARKS.search(value) or name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            if name in ("class", "id") and marks.search(_BESIDE.sub(" ", value)) or name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 

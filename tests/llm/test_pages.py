@@ -25,6 +25,13 @@ def test_article_alone():
     assert html.main_text(ARTICLE) == TEXT
 
 
+def test_marks_of_layout_and_of_the_article_itself():
+    page = """<body class="no-sidebar"><div class="page has-sidebar"><div class="site-header">Site</div><article class="related-post"><div class="entry-header"><h1>Title</h1></div>
+    <p>Words of the article that go on for a while, as they do.</p><div class="adbox">Buy</div><div id="comment-list"><p>Reader words that go on for a while, too.</p></div></article>
+    <div class="sidebar">Side</div><div class="site-footer">End</div></div></body>"""
+    assert html.main_text(page) == "Title\nWords of the article that go on for a while, as they do."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<p", "<![CDATA[x]]>", "<!-- only", "</p></div>", "<script>x"])
 def test_odd_pages_give_no_text(page):
     assert html.main_text(page) == ""
