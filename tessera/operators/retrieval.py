@@ -27,7 +27,8 @@ def _equal(term: str):
 def term_counts(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dl, tf0, tf1, ...): a row per text, without exploding tokens."""
     words = docs.select(id_col, text_functions.tokens(F.col(text_col)).alias("_t"))
-    return words.select(id_col, F.size("_t").alias("dl"), *(F.size(F.filter("_t", _equal(term))).alias(f"tf{i}") for i, term in enumerate(terms)))
+    hits = words.select(id_col, F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(terms)).alias("_h"))
+    return hits.select(id_col, "dl", *(F.size(F.filter("_h", _equal(term))).alias(f"tf{i}") for i, term in enumerate(terms)))
 
 
 def bm25(docs: DataFrame, query: str, k: int = 10, chosen: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,9 +49,9 @@ def bm25(docs: DataFrame, query: str, k: int = 10, chosen: DataFrame | None = No
     for i in range(len(terms)):
         df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
         parts.append(F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm))
-    any_hit = reduce(Column.__or__, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
-    scored = ranked.where(any_hit).crossJoin(F.broadcast(stats)).select(id_col, F.round(reduce(Column.__add__, parts), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+    scored = ranked.crossJoin(F.broadcast(stats)).select(id_col, F.round(reduce(Column.__add__, parts), 6).alias("score"))
+    # Above the limit, so that the condition isn't pushed down to where it would tokenise again for each term.
+    return scored.orderBy(F.desc("score"), id_col).limit(k).where("score > 0")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
