@@ -54,7 +54,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = F.count(F.lit(1)).over(Window.partitionBy(*by, "pos"))
     firsts = dealt.withColumn("copies", copies).withColumn("nth", F.row_number().over(at)).where("nth = 1")
     common = firsts.groupBy("h1", "h2").agg(F.sum("copies").alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-    common = common.where(F.col("docs") >= min_docs).select("h1", "h2", "first")
+    # Written, so that both sides of the join are plain shuffles, of which Spark parts a partition that one line fills.
+    common = scratch.keep(common.where(F.col("docs") >= min_docs).select("h1", "h2", "first"), "common")
 
     gone = each.join(common, ["h1", "h2"])
     if keep_first:
@@ -63,12 +64,22 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
+def _dense(sparse: Column) -> Column:
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(sparse[i - 1]["word"] + 1)
+    return F.flatten(F.transform(sparse, lambda e, i: F.concat(F.array_repeat(F.lit(0).cast("long"), e["word"] - before(i)), F.array(e["bits"]))))
+
+
+def _marked(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, dropped): all columns of ``docs`` as one, so that no name can clash."""
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    packed = bitmaps.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.col("dropped").alias("sparse"))
+    met = own.join(packed, own.doc_id.eqNullSafe(packed["of"]) & (own.text_hash == packed.of_hash), "left")
+    return met.select("row", _dense(F.col("sparse")).alias("dropped"))
+
+
 def with_dropped(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``dropped`` as a dense array of 64-bit words (null: nothing goes)."""
-    packed = bitmaps.select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_sparse"))
-    dense = F.flatten(F.transform("_sparse", lambda e, i: F.concat(F.array_repeat(F.lit(0).cast("long"), e["word"] - F.when(i == 0, F.lit(0)).otherwise(F.col("_sparse")[i - 1]["word"] + 1)), F.array(e["bits"]))))
-    packed = packed.select("_of", "_hash", dense.alias("dropped"))
-    return docs.join(packed, docs[id_col].eqNullSafe(packed["_of"]) & (F.xxhash64(docs[text_col]) == packed["_hash"]), "left").drop("_of", "_hash")
+    """``docs`` with ``dropped`` (replaced if there) as a dense array of 64-bit words; null: nothing goes."""
+    return _marked(docs, bitmaps, id_col, text_col).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "dropped"), "dropped")
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -82,6 +93,10 @@ def n_dropped(dropped: Column) -> Column:
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """``docs`` with the lines that stay as the text; other columns as they are."""
-    marked = with_dropped(docs, line_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first), id_col, text_col)
-    return marked.withColumn(text_col, kept_text(F.col(text_col), F.col("dropped"))).select(*docs.columns)
+    """``docs`` with the lines that stay as the text; other columns, whatever their names, as they are.
+
+    Null texts come out empty. Repeated rows each stay a row. An empty table gives an empty result.
+    """
+    marked = _marked(docs, line_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first), id_col, text_col)
+    kept = kept_text(F.col("row").getField(text_col), F.col("dropped"))
+    return marked.select(*((kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
     that isn't white space; its pieces are found with ``word_start`` before it.
     ``n_tokens`` adds up the pieces of each word, 1 for a word that the pieces
     can't spell; those are ``n_unknown``. Null and empty
-    texts have zeros. Each row is counted on its own. ``tokenizer_path`` is a file that the executors have too.
+    texts have zeros. Each row is counted on its own; columns of ``docs`` with the names of the counts are replaced, all others stay. ``tokenizer_path`` is a file that the executors have too.
     """
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
@@ -129,5 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
                 rows.append((len(words), sum(counts) + 2 * unknown, unknown))
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"])
 
-    clash = [c for c in docs.columns if c not in ("n_words", "n_tokens", "n_unknown")]
-    return docs.select(*clash, run(F.col(text_col)).alias("_counts")).select(*clash, "_counts.*")
+    made = ("n_words", "n_tokens", "n_unknown")
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    counted = docs.select(row, run(docs[text_col]).alias("counts"))
+    return counted.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in made), *(F.col("counts").getField(c).alias(c) for c in made))

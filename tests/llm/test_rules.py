@@ -36,6 +36,18 @@ def test_order_changes_no_verdict(spark):
     assert set(quality.order_rules(docs, rules)) == set(rules)
 
 
+def test_order_is_by_rejections_per_cost(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, good + ("!" if k % 3 == 0 else "")) for k in range(300)], "doc_id long, text string")
+    slow = F.exists(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.sqrt(i) < 0) | F.col("text").contains("!")
+    named = {"slow": slow, "idle": F.col("n_words") < 0, "quick": F.col("text").contains("!")}
+    orders = {tuple(quality.order_rules(docs, named)) for _ in range(4)}
+    assert orders == {("quick", "idle", "slow")} or orders == {("quick", "slow", "idle")}
+    costs = {r["rule"]: r for r in quality.rule_costs(docs, named).collect()}
+    assert costs["slow"]["nanoseconds"] > 10 * costs["quick"]["nanoseconds"]
+    assert costs["slow"]["rejected"] == costs["quick"]["rejected"] > 0 == costs["idle"]["rejected"]
+
+
 def test_keep_good_has_the_rows_as_they_are(spark):
     good = " ".join(f"word{k}" for k in range(30))
     docs = spark.createDataFrame([(1, good, "k", 5), (1, good, "k", 5), (2, "%%% " * 40, "k", 5), (None, None, None, None)], "doc_id long, text string, kept string, n_words int")
