@@ -35,9 +35,13 @@ class Anchors:
 
     def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of the gram, first start, last start) of each run; every start of a string is in one run."""
+        return self.marks(data)[:3]
+
+    def marks(self, data: bytes) -> tuple[np.ndarray, ...]:
+        """The same with the place of the gram, counted from the first start."""
         found = [self._stretch(data[at : at + STRETCH + self.length - 1], at) for at in range(0, len(data) - self.length + 1, STRETCH)]
         if not found:
-            return (np.empty(0, np.int64),) * 3
+            return (np.empty(0, np.int64),) * 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _stretch(self, data: bytes, offset: int):
@@ -59,4 +63,4 @@ class Anchors:
         at = (np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts]) & _LOW).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         last = np.concatenate((first[1:] - 1, [starts - 1]))
-        return grams[at[first]].view(np.int64), first + offset, last + offset
+        return grams[at[first]].view(np.int64), first + offset, last + offset, at[first] - first

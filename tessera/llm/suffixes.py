@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.anchors import Anchors
+from tessera.llm.anchors import GRAM, Anchors
 from tessera.llm.scratch import Scratch
 
-#: An anchor found more often is not sorted as one group; its strings are dealt out by their own content.
-HOT = 1 << 15
+#: An anchor found more often is not sorted as one group; its strings are parted by more of their content.
+HOT = 1 << 12
+#: A hot anchor's strings are parted by where the anchor stands in them, in ranges of these widths one after the other.
+WIDTHS = (64, 16, 4, 1)
 #: Bytes of segments that are sorted together, about.
 BLOCK = 1 << 20
 #: Segments that a task remembers having sent.
@@ -125,10 +127,10 @@ def _anchor_rows(length: int):
             for at in range(0, len(uids), 256):
                 hs, of, packs = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for uid, data in zip(uids[at : at + 256], batch.column(1)[at : at + 256], strict=True):
-                    h, first, last = anchors(data.as_py())
+                    h, first, last, place = anchors.marks(data.as_py())
                     hs.append(h)
                     of.append(np.full(len(h), uid))
-                    packs.append(first * 256 + (last - first))
+                    packs.append((first << 16) + ((last - first) << 8) + place)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, of, packs)], ["h", "uid", "pack"])
 
     return run
@@ -140,7 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x.as_py()) for x in batch.column(1)], pa.binary())], ["uid", "z"])
 
 
-_SEGMENT = "h long, seg long, uid long, lo long, data binary, hot boolean"
+_SEGMENT = "h long, seg long, uid long, lo long, place int, data binary, hot boolean"
 
 
 def _segments(length: int):
@@ -148,12 +150,12 @@ def _segments(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, sent = zstandard.ZstdDecompressor(), set()
-        schema = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("data", pa.binary()), ("hot", pa.bool_())])
+        schema = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("place", pa.int32()), ("data", pa.binary()), ("hot", pa.bool_())])
         for batch in batches:
             for uid, z, hits in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("uid", "z", "hits")), strict=True):
                 text, uid, rows = unpack.decompress(z.as_py()), uid.as_py(), []
                 for hit in hits.as_py():
-                    lo, more = divmod(hit["pack"], 256)
+                    lo, more, place = hit["pack"] >> 16, hit["pack"] >> 8 & 255, hit["pack"] & 255
                     data = text[lo : lo + more + length]
                     seg = xxhash.xxh3_64_intdigest(data) - (1 << 63)
                     key = (hit["h"], seg)
@@ -161,7 +163,7 @@ def _segments(length: int):
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(key)
-                    rows.append((hit["h"], seg, uid, lo, data if new else None, hit["hot"]))
+                    rows.append((hit["h"], seg, uid, lo, place, data if new else None, hit["hot"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -208,14 +210,66 @@ def _sort_blocks(length: int):
     return run
 
 
-def _hot(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(uid, lo, hi) for anchors that are found very often: equal segments are counted, then the strings of different ones are."""
-    known = scratch.keep(segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("data").alias("data")), "hot-known")
-    single = known.select("h", "seg", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data") - length + 1), lambda i: F.substring("data", i, F.lit(length)))).alias("at", "string"))
-    shared = single.groupBy("h", "string").agg(F.count(F.lit(1)).alias("in_segs")).where("in_segs > 1").drop("in_segs")
-    in_others = single.where("n = 1").join(shared, ["h", "string"]).select("h", "seg", F.col("at").alias("a"), F.col("at").alias("b"))
-    spans = in_others.unionByName(known.where("n > 1").select("h", "seg", F.lit(0).alias("a"), (F.length("data") - length).alias("b")))
-    return segments.join(spans, ["h", "seg"]).select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+_PART = "key long, seg long, uid long, lo long, hi long, place int, data binary"
+
+
+def _parted(length: int, width: int):
+    """Rows (uid, lo, hi, place, data) -> one row per range of ``width`` places of the anchor in a string.
+
+    ``data`` has the strings that start from ``lo`` to ``hi`` of a segment, whose anchor stands at
+    ``place``. All strings of one range have some bytes around the anchor in common;
+    ``key`` is the hash of these, so strings that are alike meet under one key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64()) for c in ("key", "seg", "uid", "lo", "hi")] + [("place", pa.int32()), ("data", pa.binary())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                out = []
+                for uid, lo, hi, place, data in zip(*(batch.slice(at, 1024).column(batch.schema.get_field_index(c)).to_pylist() for c in ("uid", "lo", "hi", "place", "data")), strict=True):
+                    for cell in range((place - hi) // width, (place - lo) // width + 1):
+                        latest, earliest = place - cell * width, place - min(cell * width + width - 1, length - GRAM)
+                        a, b = max(lo, earliest), min(hi, latest)
+                        part = data[a - lo : b - lo + length]
+                        key = xxhash.xxh3_64_intdigest(data[latest - lo : earliest - lo + length], cell) - (1 << 63)
+                        out.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), uid, a, b, place, part))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _hot(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame | None:
+    """(uid, lo, hi) for anchors that are found very often; None if there are none.
+
+    Each different segment's strings are parted, by the place of the anchor in them, into
+    ranges, and the bytes that all strings of a range share are the key under
+    which they meet. Groups of up to HOT are sorted; larger ones are parted again into narrower ranges, which share
+    more bytes, until a range is one string, whose key alone tells which are alike. So
+    a segment makes a few rows a level, and only where its group stays large.
+    """
+    known = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("data").alias("data"), F.max("place").alias("place"))
+    known = scratch.keep(known.select("*", F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("lo"), (F.length("data") - length).cast("long").alias("hi")), "hot-known")
+    if not known.limit(1).count():
+        return None
+    found = known.where("n > 1").select("uid", "lo", "hi")
+    rest = known
+    for k, width in enumerate(WIDTHS):
+        parts = scratch.keep(rest.select("uid", "lo", "hi", "place", "data").mapInArrow(_parted(length, width), _PART), f"hot-parts-{k}")
+        sizes = scratch.keep(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"hot-sizes-{k}")
+        if width == 1:
+            return _placed(segments, known, found.unionByName(parts.join(sizes.select("key"), "key", "left_semi").select("uid", "lo", "hi")))
+        few = parts.join(sizes.where(F.col("n") <= HOT).select("key"), "key", "left_semi").select(F.col("key").alias("h"), "seg", "uid", "lo", "data")
+        found = found.unionByName(few.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long"))
+        rest = scratch.keep(parts.join(sizes.where(F.col("n") > HOT).select("key"), "key", "left_semi"), f"hot-rest-{k}")
+        if not rest.limit(1).count():
+            return _placed(segments, known, found)
+
+
+def _placed(segments: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+    """Spans within segments, given by their numbers -> (uid, lo, hi) in texts."""
+    spans = found.select("uid", F.col("lo").alias("a"), F.col("hi").alias("b")).join(known.select("uid", "h", "seg"), "uid").select("h", "seg", "a", "b")
+    return segments.select("h", "seg", "uid", "lo").join(spans, ["h", "seg"]).select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
 
 
 def _cut(length: int):
@@ -247,6 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stop), null where the whole text stands elsewhere, too; ``kept`` the bytes that stay, null where
     nothing goes. Null texts count as empty. Rows alike are documents each, so
     both go; ids may be null, repeated or of any type. Other columns are ignored.
+    An empty table gives an empty result.
     """
     if not 0 < length - 32 < 256:
         raise ValueError("length must be from 33 to 287")
@@ -259,12 +314,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     marks = rows.where(F.octet_length("data") >= length).select("uid", "data").mapInArrow(_anchor_rows(length), "h long, uid long, pack long")
     often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark parts a partition that one anchor fills.
+    often = scratch.keep(often, "often")
     hits = marks.join(often, "h").join(more, "uid", "left_anti").groupBy("uid").agg(F.collect_list(F.struct("h", "pack", "hot")).alias("hits"))
     packed = rows.where(F.octet_length("data") >= length).select("uid", "data").mapInArrow(_packed, "uid long, z binary")
     segments = packed.join(hits, "uid").select("uid", "z", "hits").mapInArrow(_segments(length), _SEGMENT)
     segments = scratch.keep(segments, "segments")
     cold = segments.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long")
-    found = cold.unionByName(_hot(segments.where("hot").drop("hot"), length, scratch))
+    hot = _hot(segments.where("hot").drop("hot"), length, scratch)
+    found = cold.unionByName(hot) if hot is not None else cold
     spans = found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = packed.join(spans, "uid").select("uid", "z", "spans").mapInArrow(_cut(length), "uid long, removed array<struct<start:long,stop:long>>, kept binary")
     cut = cut.select("uid", "removed", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), *(["kept"] if with_kept else []))

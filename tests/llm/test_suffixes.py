@@ -33,7 +33,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [0, 1 << 15])
+@pytest.mark.parametrize("hot", [0, 2, 1 << 12])
 def test_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "BLOCK", 2000)
