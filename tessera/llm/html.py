@@ -14,30 +14,57 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that are never part of an article.
 _NEVER = frozenset("script style noscript template svg math head title iframe object canvas audio video form fieldset button select textarea label datalist nav footer aside menu dialog".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-_HOLDERS = frozenset("body article main section div td center".split())
+_LANDMARKS = frozenset(("article", "main"))
+_HOLDERS = frozenset("html body article main section div td center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in a class or id that mark what surrounds an article.
-_WORDS = r"nav\w*|menus?|menubar|sidebars?|sidepanels?|rail|footers?|masthead|topbar|ads?|ad(?:s?box|slot|unit|sense|block|space|container|wrapper)s?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promoted|banners?|promos?|promotions?|cookies?|cookiebar|consent|gdpr|notices?|disclaimers?|alerts?|toast|popups?|modal|overlay|newsletters?|subscribe|subscription|signup|signin|login|paywall|social|share|sharing|related|recommended|recommendations|comments?|commentlist|replies|responses|discussion|disqus|breadcrumbs?|pagination|pager|widgets?|toolbar|copyright|legal|search|skip|hidden"
-_MARKS = re.compile(rf"(?:^|[\s_-])(?:{_WORDS}|headers?)(?:$|[\s_-])", re.IGNORECASE)
-#: Within an article, a header is the article's own.
-_MARKS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+#: Words in a class or id that mark what surrounds an article; alone, or with words of no meaning of their own.
+_STRONG = re.compile(
+    r"nav\w*|menus?|menubar|sidebars?|sidepanels?|footers?|masthead|topbar|ads?|ad(?:s?box|slot|unit|sense|block|space|container|wrapper)s?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promoted|banners?|promos?|cookies?|cookiebar|consent|gdpr|popups?|modal|newsletters?|subscribe|subscription|signup|signin|login|paywall|share|sharing|related|recommended|recommendations|comments?|commentlist|replies|disqus|breadcrumbs?|pagination|pager|toolbar|werbung|anzeigen?|publicit[eé]|publicidad|kommentare?|commentaires?|comentarios?"
+)
+#: Words that do so only where the text is thin, or in twos.
+_WEAK = re.compile(r"headers?|notices?|alerts?|toast|disclaimers?|legal|copyright|search|social|discussions?|responses|reactions|readers?|talks?|opinions|feedback|widgets?|promotions?|overlay|rail|skip|hidden|hinweise?|avis|avisos?")
+_FILLERS = re.compile(r"|list|box|wrap|wrapper|container|area|block|unit|section|inner|outer|links?|bar|items?|site|page|global|main|top|bottom|left|right|buttons?|form|col|row|panel|module|slot|primary|secondary|js|\d+")
+_PARTS = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 #: Says what stands beside an element, not what it is.
 _BESIDE = re.compile(r"\b(?:has|with|without|no)[_-][\w-]+", re.IGNORECASE)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS_CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _STOPS = frozenset("article section div body main td th table blockquote ul ol li".split())
+#: Share of a page's rich text that its only landmark has at least, and that one of several has.
+_ALONE, _OF_SEVERAL = 0.1, 0.5
+#: Share of a holder's rich text from which the holder inside it is taken, and of rich text in paragraphs from which text outside any is foreign.
+_INNER, _IN_PARAGRAPHS = 0.8, 0.8
+#: Lines before the rich ones among which a headline is sought.
+_ABOVE = 5
+
+
+def _mark(names: str) -> int:
+    """2: a class or id says that the element surrounds an article; 1: perhaps; 0: not."""
+    most = 0
+    for name in _BESIDE.sub(" ", names).split():
+        parts = [p.lower() for p in _PARTS.split(name)]
+        strong, weak = (sum(map(bool, map(kind.fullmatch, parts))) for kind in (_STRONG, _WEAK))
+        whole = all(_STRONG.fullmatch(p) or _WEAK.fullmatch(p) or _FILLERS.fullmatch(p) for p in parts)
+        most = max(most, 2 if whole and (strong or weak > 1) else min(strong + weak, 1))
+    return most
 
 
 class _Lines(HTMLParser):
-    """Parser events -> lines: [text parts, tags since the line before, length of linked text, holders]."""
+    """Parser events -> a tree of block elements, and lines: (text, tags since the line before, length of linked text, element).
+
+    Work and memory grow with the page alone, however deep its elements are nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int | None]] = []  # name, dropped, holder
-        self.dropped = self.linked = 0
-        self.holders: list[int] = []
-        self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # name, dropped, new element of the tree
+        self.scopes: list[tuple[int, dict[str, int]]] = [(-1, {})]  # place in the stack, open names above it
+        self.opened: dict[str, int] = {}
+        self.dropped = self.linked = self.landmarks = 0
+        self.at = 0
+        self.parent, self.kinds, self.marks = [0], ["html"], [0]
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.link_length = 0
 
@@ -45,33 +72,54 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.link_length, tuple(self.holders)))
+                self.lines.append((text, self.tags, self.link_length, self.at))
                 self.tags = 0
             self.parts.clear()
             self.link_length = 0
 
     def pop_to(self, at: int) -> None:
-        for _, drop, holder in self.stack[at:]:
+        while len(self.stack) > at:
+            name, drop, element = self.stack.pop()
             self.dropped -= drop
-            if holder is not None:
-                self.holders.remove(holder)
-        self.linked -= sum(name == "a" for name, _, _ in self.stack[at:])
-        del self.stack[at:]
+            self.linked -= name == "a"
+            self.landmarks -= name in _LANDMARKS
+            self.opened[name] -= 1
+            if element:
+                self.at = self.parent[self.at]
+            if self.scopes[-1][0] == len(self.stack):
+                self.scopes.pop()
+            self.scopes[-1][1][name] -= 1
+
+    def push(self, name: str, drop: bool, element: bool) -> None:
+        self.scopes[-1][1][name] = self.scopes[-1][1].get(name, 0) + 1
+        self.opened[name] = self.opened.get(name, 0) + 1
+        if name in _STOPS:
+            self.scopes.append((len(self.stack), {}))
+        self.stack.append((name, drop, element))
+        self.dropped += drop
+        self.linked += name == "a"
+        self.landmarks += name in _LANDMARKS
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _NEVER:
+    def close_nearest(self, names: tuple[str, ...], with_stop: bool) -> None:
+        """Closes the innermost element of these names up to the next element that such a search stops at, which counts ``with_stop``."""
+        stop, open_ = self.scopes[-1]
+        if any(open_.get(name) for name in names):
+            at = len(self.stack) - 1
+            while self.stack[at][0] not in names:
+                at -= 1
+            self.pop_to(at)
+        elif with_stop and stop >= 0 and self.stack[stop][0] in names:
+            self.pop_to(stop)
+
+    def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in _NEVER or tag == "header" and not self.landmarks:
             return True
-        if not attrs and tag != "header" or tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "article", "main"):
             return False
-        inside = any(name in ("article", "main") for name, _, _ in self.stack)
-        if tag == "header" and not inside:
-            return True
-        marks = _MARKS_INSIDE if inside else _MARKS
-        for name, value in attrs:
-            value = value or ""
-            if name in ("class", "id") and marks.search(_BESIDE.sub(" ", value)) or name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+        return any(
+            name == "role" and (value or "").strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower()
+            for name, value in attrs
+        )
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -83,22 +131,16 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         closes = ("p",) if tag in _BLOCKS_CLOSE_P else _CLOSES.get(tag, ())
-        for at in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[at][0]
-            if name in closes:
-                self.pop_to(at)
-                break
-            if name in _STOPS:
-                break
-        drop = self._marked(tag, attrs)
-        holder = None
-        if tag in _HOLDERS and not drop:
-            holder = len(self.kinds)
+        if closes:
+            self.close_nearest(closes, True)
+        drop = self._never(tag, attrs)
+        element = tag not in _INLINE
+        if element:
+            self.parent.append(self.at)
+            self.at = len(self.kinds)
             self.kinds.append(tag)
-            self.holders.append(holder)
-        self.stack.append((tag, drop, holder))
-        self.dropped += drop
-        self.linked += tag == "a"
+            self.marks.append(_mark(" ".join(v or "" for name, v in attrs if name in ("class", "id"))) if attrs and tag not in ("html", "body", "article", "main") else 0)
+        self.push(tag, drop, element)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,14 +149,15 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in _INLINE:
-            self.end_line()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop_to(at)
-                break
-            if tag in _INLINE and self.stack[at][0] in _STOPS:
-                break
+        if tag in _INLINE:
+            self.close_nearest((tag,), False)
+            return
+        self.end_line()
+        if self.opened.get(tag):
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag:
+                at -= 1
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
@@ -124,20 +167,125 @@ class _Lines(HTMLParser):
 
 
 def _smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing over ``2 sigma`` lines to both sides."""
+    if not sigma:
+        return ratios
     reach = int(np.ceil(2 * sigma))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
+class _Regions:
+    """Which lines of a page are content: ratios, smoothing and a threshold first, then the tree."""
+
+    def __init__(self, page: _Lines, sigma: float):
+        self.page = page
+        self.texts = [line[0] for line in page.lines]
+        self.of = np.array([line[3] for line in page.lines])
+        self.size = np.array([len(t) for t in self.texts])
+        self.plain = np.maximum(self.size - np.array([line[2] for line in page.lines]), 0)
+        self.ratio = self.size / np.maximum([line[1] for line in page.lines], 1)
+        smooth = _smooth(self.ratio, sigma)
+        self.threshold = 0.5 * smooth.std()
+        self.rich = smooth >= self.threshold
+        if not (self.rich * self.plain).sum():
+            self.rich = np.ones(len(self.of), bool)
+        self.gone = np.zeros(len(page.kinds), bool)
+        self.gone = self._surroundings()
+        self.stays = ~self.gone[self.of]
+
+    def _total(self, of_lines: np.ndarray) -> np.ndarray:
+        """Sums of lines by element, elements inside included."""
+        out = np.bincount(self.of, of_lines * ~self.gone[self.of], len(self.page.kinds)).tolist()
+        for k in range(len(out) - 1, 0, -1):
+            out[self.page.parent[k]] += out[k]
+        return np.array(out)
+
+    def _surroundings(self) -> np.ndarray:
+        """Elements marked as what surrounds an article, but for those with half of the rich text; perhaps marked ones if their text is thin."""
+        rich, size, rich_size = self._total(self.rich * self.plain), self._total(self.size), self._total(self.rich * self.size)
+        marks = np.array(self.page.marks)
+        gone = (rich < 0.5 * rich[0]) & ((marks == 2) | (marks == 1) & (rich_size < 0.5 * size))
+        for k in range(1, len(gone)):
+            gone[k] |= gone[self.page.parent[k]]
+        return gone
+
+    def holder(self) -> int:
+        """The element that holds the article."""
+        kinds, parent = self.page.kinds, self.page.parent
+        rich, size = self._total(self.rich * self.plain), self._total(self.size)
+        share = np.maximum(rich / max(rich[0], 1), size / max(size[0], 1))
+        marks = [k for k, kind in enumerate(kinds) if kind in _LANDMARKS and not self.gone[k] and size[k]]
+        alone = {kind: sum(kinds[k] == kind for k in marks) == 1 for kind in _LANDMARKS}
+        good = [k for k in marks if share[k] >= (_ALONE if alone[kinds[k]] else _OF_SEVERAL)]
+        if good:
+            return max(good, key=lambda k: (kinds[k] == "article", k))
+        inside = 0
+        for k in range(1, len(kinds)):  # each holder comes after the one around it
+            if kinds[k] in _HOLDERS and parent[k] <= inside and rich[k] >= _INNER * rich[inside] and rich[k]:
+                at = parent[k]
+                while at > inside:
+                    at = parent[at]
+                if at == inside:
+                    inside = k
+        return inside
+
+    def within(self, top: int) -> np.ndarray:
+        """Lines of an element and those inside it."""
+        held = np.zeros(len(self.page.kinds), bool)
+        held[top] = True
+        for k in range(top + 1, len(held)):
+            held[k] = held[self.page.parent[k]]
+        return held[self.of] & self.stays
+
+    def chosen(self) -> list[int]:
+        top = self.holder()
+        stays = self.within(top)
+        if self.page.kinds[top] not in _LANDMARKS:
+            stays &= self._region(stays)
+        lines = np.flatnonzero(stays).tolist()
+        links = [not self.rich[i] and self.size[i] - self.plain[i] >= 0.9 * self.size[i] for i in lines]
+        out, k = [], 0
+        while k < len(lines):  # three or more lines of links alone are a menu
+            end = k
+            while end < len(lines) and links[end]:
+                end += 1
+            if end - k < 3:
+                end = max(end, k + 1)
+                out += lines[k:end]
+            k = end
+        return out
+
+    def _region(self, inside: np.ndarray) -> np.ndarray:
+        """Lines that belong to the rich ones, where no landmark tells: rich lines and the paragraphs, items and headings of what holds such."""
+        kinds, parent = self.page.kinds, self.page.parent
+        rich = self._total(self.rich * self.plain * inside)
+        block = [k if kind in _HOLDERS else 0 for k, kind in enumerate(kinds)]
+        for k in range(1, len(kinds)):
+            block[k] = block[k] or block[parent[k]]
+        own = np.bincount([block[k] for k in self.of], self.rich * self.plain * inside, len(kinds))
+        loose = np.array([kinds[k] in _HOLDERS for k in self.of])
+        foreign = loose & ((self.rich * self.plain * inside * ~loose).sum() >= _IN_PARAGRAPHS * rich[0])
+        keep = np.array([own[block[k]] > 0 for k in self.of]) & ~loose | self.rich & np.where(foreign, self.ratio >= self.threshold, True)
+        first = next((i for i in np.flatnonzero(inside & self.rich & ~foreign).tolist()), None)
+        if first is not None:
+            for i in range(max(first - _ABOVE, 0), first):
+                keep[i] |= kinds[self.of[i]] in ("h1", "h2") and self.plain[i] > 0
+        return keep
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of one page; empty if there is none.
 
     Lines are the runs of text between block-level tags; navigation, asides,
-    forms and what is marked as such has none. Each line's ratio of text to
-    tags is smoothed, and lines above the threshold (half the standard
-    deviation of all) are content. The article is the innermost holder with at
-    least ``share`` of the content, where <article> and <main> go before others; all its
-    lines stay, but for runs of three or more links that aren't content.
+    forms and the like have none. Each line's ratio of text to tags is smoothed
+    over its neighbours, and lines above the threshold (half the standard deviation of all) are
+    rich. Elements whose class or id marks them as comments, adverts and so on go,
+    unless half of the rich text is in them; where the words may mean something else they go if their own lines aren't rich.
+    The article is the page's <article> or <main> if that has a fair share of the
+    text; then all its lines stay. Else it is the innermost holder of most rich
+    text, and those of its lines stay that are rich or stand in one block with
+    rich ones; a headline may stand before them. Runs of three or more links that aren't rich go.
     """
     if not html:
         return ""
@@ -148,37 +296,10 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     if not re.match(r"<[!/?a-zA-Z]", parser.rawdata):  # a tag or comment that the page's end cuts off is no text
         parser.close()
     parser.end_line()
-    lines = parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
-    smooth = _smooth(ratios, sigma)
-    content = smooth >= 0.5 * smooth.std()
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, linked, holders), rich in zip(lines, content, strict=True):
-        if rich:
-            size = max(len(text) - linked, 0)
-            total += size
-            for h in holders:
-                weight[h] = weight.get(h, 0) + size
-    rank = lambda h: (parser.kinds[h] in ("article", "main"), h)
-    good = [h for h, w in weight.items() if total and w >= share * total and (parser.kinds[h] in ("article", "main") or w >= 0.8 * total)]
-    chosen = max(good, key=rank, default=None)
-    if chosen is None:
-        chosen = next((h for h, kind in enumerate(parser.kinds) if kind in ("article", "main")), None)
-    inside = [i for i, line in enumerate(lines) if chosen is None or chosen in line[3]]
-    menu = [not content[i] and lines[i][2] >= 0.9 * len(lines[i][0]) for i in inside]
-    out, k = [], 0
-    while k < len(inside):
-        end = k
-        while end < len(inside) and menu[end]:
-            end += 1
-        if end - k < 3:
-            end = max(end, k + 1)
-            out += (lines[i][0] for i in inside[k:end])
-        k = end
-    return "\n".join(out)
+    regions = _Regions(parser, sigma)
+    return "\n".join(regions.texts[i] for i in regions.chosen())
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -186,7 +307,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     Character references are decoded, white space inside a line becomes one
     space, lines are joined by a line feed in page order. Each row is read on
-    its own; repeated rows each give a row.
+    its own; repeated rows each give a row; other columns stay as they are. An empty table gives an empty result.
+    Time and memory of a page grow with its length, however deep its elements are nested.
     """
 
     @F.pandas_udf("string")

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tessera.llm import html, urls
@@ -49,6 +51,96 @@ def test_long_page_is_whole():
     assert html.main_text(f"<article><p>{words}</p><p>end</p></article>") == words + "\nend"
 
 
+def sentence(rng, low, high):
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "réseau", "straße", "year", "found", "in"]
+    return " ".join(rng.choices(words, k=rng.randint(low, high))) + "."
+
+
+def planted(rng, landmark):
+    """A page and its article's text."""
+    lines, body = [sentence(rng, 4, 9)], []
+    body.append(f"<h1>{lines[0]}</h1>")
+    for _ in range(rng.randint(3, 9)):
+        kind = rng.randrange(6)
+        if kind == 0:
+            items = [sentence(rng, 8, 20) for _ in range(3)]
+            lines += items
+            body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        elif kind == 1:
+            lines.append(sentence(rng, 3, 6))
+            body.append(f"<h2>{lines[-1]}</h2>")
+        else:
+            text = sentence(rng, 30, 90)
+            lines.append(text.replace("and", "& co"))
+            body.append("<p>" + text.replace("and", "&amp; <b>co</b>") + ("</p>" if kind > 2 else ""))
+    lines.append(sentence(rng, 40, 60))
+    body.append(f"<p>{lines[-1]}</p>")
+    around = [
+        f'<div class="{rng.choice(["ad", "ad-slot", "box", "sponsored promo"])}">{sentence(rng, 4, 9)}</div>',
+        f'<div id="cookie-notice">{sentence(rng, 10, 30)}</div>',
+        f'<div class="sidebar"><ul>{"".join(f"<li><a href=/x>{sentence(rng, 2, 4)}</a></li>" for _ in range(5))}</ul></div>',
+    ]
+    rng.shuffle(around)
+    after = [
+        f'<section class="comments"><h3>3 replies</h3><p>{sentence(rng, 20, 50)}</p><p>{sentence(rng, 20, 50)}</p></section>' if rng.random() < 0.7 else f'<div class="reader-talk"><p>{sentence(rng, 20, 40)}</p></div>',
+        f'<form><label>Name</label><input><p>{sentence(rng, 10, 30)}</p></form>',
+        f"<footer><p>&copy; {sentence(rng, 5, 30)}</p></footer>",
+    ]
+    tag = rng.choice(["article", "main"]) if landmark else "div"
+    return f"<html><head><title>t</title><style>p {{}}</style></head><body><nav><a href=/>Home</a> <a href=/b>B</a></nav>{''.join(around)}<{tag}>{''.join(body)}</{tag}>{''.join(after)}</body></html>", "\n".join(lines)
+
+
+def test_planted_pages():
+    rng = random.Random(12)
+    pages = [planted(rng, True) for _ in range(200)]
+    assert [html.main_text(page) for page, _ in pages] == [text for _, text in pages]
+    pages = [planted(rng, False) for _ in range(300)]
+    same = [sum(html.main_text(page, sigma) == text for page, text in pages) for sigma in (1.0, 0.0)]
+    assert same[0] >= 0.95 * len(pages) and same[1] < same[0]  # without smoothing the headline and short lines go
+
+
+def brute_rich(ratios):
+    """Lines whose smoothed ratio is above half the standard deviation, by the definition alone."""
+    smooth = []
+    for i in range(len(ratios)):
+        near = [(np.exp(-(d * d) / 2), ratios[min(max(i + d, 0), len(ratios) - 1)]) for d in range(-2, 3)]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    deviation = (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
+    return [x >= 0.5 * deviation for x in smooth]
+
+
+def test_rich_lines_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [(rng.randint(1, 300), rng.randint(1, 4)) for _ in range(rng.randint(1, 30))]
+        parser = html._Lines()
+        parser.feed("<body>" + "".join("<hr>" * (tags - 1) + f"<p>{'x' * size}" for size, tags in sizes))
+        parser.end_line()
+        ratios = [len(text) / max(tags, 1) for text, tags, _, _ in parser.lines]
+        assert [len(text) for text, *_ in parser.lines] == [size for size, _ in sizes]
+        assert html._Regions(parser, 1.0).rich.tolist() == brute_rich(ratios)
+
+
+@pytest.mark.parametrize("name", ["social-contract", "legal", "search-results", "commentary", "adaptation"])
+def test_words_with_another_meaning_stay(name):
+    text = "A paragraph of the article that goes on for a while, as they all do, with many words."
+    page = f"<article><h1>Title</h1><p>{text}</p><div class='{name}'><p>{text} Two.</p></div><p class='{name}'>{text} Three.</p></article>"
+    assert html.main_text(page) == f"Title\n{text}\n{text} Two.\n{text} Three."
+
+
+def test_headline_of_a_marked_header_stays():
+    text = "A paragraph of the article that goes on for a while, as they all do, with many words."
+    assert html.main_text(f"<body><div class='box'>Buy now</div><div><div class='post-header'><h1>The headline</h1></div><p>{text}</p><p>{text}</p></div></body>") == f"The headline\n{text}\n{text}"
+
+
+@pytest.mark.parametrize("page", ['<div class="x">a ' * 40_000, "<p><li>" + "<b>" * 50_000 + "<h2>x" * 20_000, "<div>" + "<b>" * 50_000 + "</i></p>" * 20_000, "<ul><li>" * 40_000 + "x"])
+def test_deep_pages_take_seconds(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, ARTICLE, "old"), (1, ARTICLE, "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html.extract(pages).collect()) == [(1, TEXT), (1, TEXT), (2, "")]
