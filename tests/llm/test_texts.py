@@ -142,6 +142,43 @@ def test_leaks_and_clean_documents(spark, leaky):
     assert verbatim <= found and len(found) >= 0.9 * len(truth)
 
 
+def pairs(spark, docs, items, limits=decontaminate.Limits()):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["share"], r["answer_share"]) for r in decontaminate.leaks(frame, bench, limits=limits).collect()}
+
+
+def test_search_matches_exhaustive_comparison(spark, leaky, monkeypatch):
+    """The basis comes from a tenth of the texts, as on large tables; compared with it are all windows, whatever their cosine."""
+    docs, items, truth = leaky
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 30)
+    changed = lambda found: {k for k, (share, _) in found.items() if share < 1}
+    found, every = (pairs(spark, docs, items, decontaminate.Limits(near=near)) for near in (0.5, -1e9))
+    assert set(found) <= set(every) and len(changed(found)) >= 0.9 * len(changed(every)) > 0
+    brute = lambda text: " " + " ".join(w.decode() for w in latent.words_of(text)) + " "
+    assert set(pairs(spark, docs, items, decontaminate.Limits(near=1e9))) == {(d, k) for d, text in docs for k, item in items if brute(item) in brute(text)}
+
+
+def test_short_items_word_for_word(spark):
+    docs = [(1, "He asked: What is 2+2? Nobody knew."), (2, "what is 2 and 2"), (3, "x" * (latent.STRETCH + 5) + " and then what is 2 2, again"), (4, "Two"), (5, "what is"), (6, "2 what is 2 2")]
+    items = [(1, "What is 2+2?"), (2, "two"), (3, "two"), (4, "?!"), (5, None)]
+    assert set(pairs(spark, docs, items)) == {(1, 1), (3, 1), (6, 1), (4, 2), (4, 3)}
+
+
+def test_answers():
+    assert decontaminate.answer_words("Who? Not this? Answer: Marie Curie.") == [b"marie", b"curie"]
+    assert decontaminate.answer_words("Who found it? Marie Curie") == [b"marie", b"curie"]
+    assert decontaminate.answer_words("a b c d e f?") == [b"e", b"f"]
+
+
+def test_paraphrase_needs_the_answer(spark, leaky):
+    item = "In which year did the two chemists in the small Paris laboratory first describe the new shining element? In eighteen ninety eight"
+    asked = "Tell in which year the two famous chemists of that small laboratory did first describe their new element, please: "
+    docs = [(1, asked + "in eighteen ninety eight"), (2, asked + "long before the war")]
+    rest = [(1000 + d, text) for d, text in leaky[0][:100]]
+    assert set(pairs(spark, docs + rest, [(7, item), *((100 + k, text) for k, text in leaky[1][20:])])) & {(1, 7), (2, 7)} == {(1, 7)}
+
+
 def test_decontaminate_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
