@@ -31,12 +31,16 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
   OR (n_lines > 3 AND 10 * {_FOUND.format('(?m)^[' + chr(92) + 'x20' + chr(92) + 'x09]*[-*•][' + chr(92) + 'x20' + chr(92) + 'x09]')} > 9 * n_lines) AS rejected FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b"""
 
-CHAT = """
+_SHIELDED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_ROLE = _SHIELDED.format(r"replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n')")
+
+CHAT = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS ts FROM t GROUP BY 1),
-kept AS (SELECT min(conv_id) AS conv_id FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE len(b.ts) > len(a.ts) AND b.ts[1] = a.ts[1] AND b.ts[1:len(a.ts)] = a.ts) GROUP BY ts)
-SELECT conv_id, turn // 64 AS part, count(*) AS n_turns, string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-FROM t SEMI JOIN kept USING (conv_id) GROUP BY 1, 2"""
+c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM t GROUP BY 1),
+kept AS (SELECT min(conv_id) AS conv_id FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE len(b.ts) > len(a.ts) AND b.ts[1] = a.ts[1] AND b.ts[1:len(a.ts)] = a.ts) GROUP BY ts),
+n AS (SELECT *, turn // 64 AS part, (row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 64 AS piece FROM t)
+SELECT conv_id, part, piece, count(*) AS n_turns, string_agg('<|im_start|>' || {_ROLE} || chr(10) || {_SHIELDED.format("coalesce(text, '')")} || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+FROM n SEMI JOIN kept USING (conv_id) GROUP BY 1, 2, 3"""
 
 
 def urls(rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int = 10) -> str:
