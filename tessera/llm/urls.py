@@ -23,22 +23,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(pages: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
     """``pages`` (key, host, path) with the longest fitting rule: adds ``rule`` and ``rule_verdict``, both null if none fits.
 
     ``rules`` has (host, path, verdict). A rule fits its host and all
-    subdomains, if the path starts with its path. Each host meets the rules by
-    equality of one of its suffixes, so the rules may be many. Of equal rules
-    with both verdicts, block wins.
+    subdomains, if the path starts with its path. Each different (host, path) meets the rules by
+    equality of one of the host's suffixes and of a start of the path that is as long as
+    some rule's path for that suffix, so rules may be many, on one host, too, and none are gathered. Of rules
+    of one length with both verdicts, block wins.
     """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = pages.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
-    known = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"))
-    near = hosts.join(known, "suffix").groupBy("host").agg(F.sort_array(F.collect_set(F.struct(F.length("rule").alias("size"), F.col("rule_verdict"), F.col("rule"), F.col("rule_path"))), asc=False).alias("near"))
-    best = F.filter("near", lambda r: F.startswith(F.col("path"), r["rule_path"]))
-    met = pages.join(near, "host", "left").withColumn("best", F.try_element_at(best, F.lit(1)))
-    return met.select(*(met[c] for c in pages.columns), F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
+    rated = F.struct(F.length(F.concat("host", "path")).alias("size"), F.col("verdict").alias("rule_verdict"), F.concat("host", "path").alias("rule"))
+    known = rules.where("host is not null and path is not null").groupBy(F.col("host").alias("suffix"), F.col("path").alias("start")).agg(F.max(rated).alias("best"))
+    lengths = known.groupBy("suffix").agg(F.collect_set(F.length("start")).alias("lengths"))
+    places = pages.select("host", "path").distinct()
+    hosts = places.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(lengths, "suffix")
+    near = scratch.keep(hosts.groupBy("host").agg(F.collect_set(F.struct("suffix", "lengths")).alias("near")), "near")
+    tried = places.join(near, "host").select("host", "path", F.inline("near")).select("host", "path", "suffix", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    met = tried.select("host", "path", "suffix", F.expr("substring(path, 1, n)").alias("start")).join(known, ["suffix", "start"])
+    best = scratch.keep(met.groupBy("host", "path").agg(F.max("best").alias("best")).select("host", "path", "best.rule", "best.rule_verdict"), "best")
+    return pages.join(best, ["host", "path"], "left").select(*(pages[c] for c in pages.columns), "rule", "rule_verdict")
 
 
 def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
@@ -77,12 +82,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ``margin``, by default what a host has on its own if half of its pages are blocked; hosts that neither reaches are allowed.
 
     Null urls and urls without ``://`` have an empty host and path. Null html has no links. Repeated rows each have a row.
+    Other columns are ignored. Empty tables of pages or rules are fine: without rules all hosts are allowed.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     margin = (1 - damping) / 2 if margin is None else margin
     url = F.col(url_col)
     parted = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    met = scratch.keep(match_rules(parted, rules), "met")
+    met = scratch.keep(match_rules(parted, rules, scratch), "met")
     share = met.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == ALLOW).alias("good"), F.count_if(F.col("rule_verdict") == BLOCK).alias("bad"))
     share = scratch.keep(share.where("host <> '' and good + bad > 0").select("host", (F.col("good") / F.col("n")).alias("good"), (F.col("bad") / F.col("n")).alias("bad")), "seeds")
     edges = scratch.keep(host_edges(pages, host_of(url), F.col(html_col)), "edges")

@@ -208,6 +208,19 @@ def test_urls_match_brute_force(spark):
     assert sorted(map(tuple, found), key=repr) == brute_urls(rows)
 
 
+def test_many_rules_of_one_host(spark):
+    """Thousands of rules on one suffix; each page meets those alone that its path starts with."""
+    rng = random.Random(8)
+    rules = [("com", "/" + "".join(rng.choices("abc", k=rng.randint(0, 7))), rng.choice(["allow", "block"])) for _ in range(3000)] + [("a.com", "/ab", "block"), ("a.com", "/ab", "allow"), (None, "/", "allow"), ("b.com", None, "block")]
+    rows = [(k, f"http://{rng.choice(['a.com', 'b.com', 'www.a.com', 'com', 'acom'])}/{''.join(rng.choices('abc', k=rng.randint(0, 9)))}", None) for k in range(300)]
+    fits = lambda host, path: [(len(h + p), v, h + p) for h, p, v in rules if h is not None and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    want = {k: max(fits(*url[7:].partition("/")[::2][:1], "/" + url[7:].partition("/")[2]), default=(0, None, None)) for k, url, _ in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert all((r["rule"], r["verdict"]) == (want[r["page_id"]][2], want[r["page_id"]][1]) for r in found.collect() if want[r["page_id"]][2])
+    assert all(r["rule"] is None for r in found.collect() if not want[r["page_id"]][2])
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
