@@ -100,7 +100,7 @@ def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return analytics.exact_duplicates(docs, text_functions.question_key(F.col("text")), "doc_id").where("nth > 1").select("doc_id", "first_id")
+    return analytics.exact_duplicates(docs, text_functions.question_key(F.col("text")), "doc_id").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
 @query("SELECT source || '/' || doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0")

@@ -17,8 +17,10 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = F.concat(F.try_element_at(name, F.col("role")), F.lit("\n"), F.regexp_replace("text", r"\n", " "), F.lit("\n"))
     headed = F.when(F.col("turn") == 2, F.concat(F.lit("Questions and Answers\n"), spoken)).otherwise(spoken)
     turns = F.array_sort(F.collect_list(F.struct("turn", headed.alias("x"))))
-    cover = "Acme Corp (ACME)\nQ1 2024 Earnings Call\nJanuary 5, 2024\nParticipants\n" + "".join(f"{n} - {t}\n" for n, t in _WHO.values()) + "Presentation\n"
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit(cover), F.array_join(F.transform(turns, lambda t: t["x"]), "")).alias("call"))
+    k, year = F.col("conv_id"), 2000 + F.col("conv_id") % 25
+    known = "".join(f"{n} - {t}\n" for n, t in _WHO.values())
+    cover = F.concat(F.lit("Acme Corp (AC"), F.char(65 + k % 26), F.lit(")\nQ"), k % 4 + 1, F.lit(" "), year, F.lit(" Earnings Call\nJanuary "), k % 28 + 1, F.lit(", "), year, F.lit(f"\nParticipants\n{known}Presentation\n"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(cover, F.array_join(F.transform(turns, lambda t: t["x"]), "")).alias("call"))
 
 
 @query(
@@ -30,7 +32,7 @@ def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("conv_id", "part", "name", "title", F.md5("text").alias("text"), "block")
 
 
-@query("SELECT DISTINCT conv_id, 'ACME' AS ticker, 'Q1 2024 Earnings Call' AS event, '2024-01-05' AS day FROM conversations")
+@query("SELECT DISTINCT conv_id, 'AC' || chr((65 + conv_id % 26)::INT) AS ticker, 'Q' || (conv_id % 4 + 1) || ' ' || (2000 + conv_id % 25) || ' Earnings Call' AS event, make_date(2000 + conv_id % 25, 1, conv_id % 28 + 1)::VARCHAR AS day FROM conversations")
 def transcript_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _calls(spark, sf_dir).select("conv_id", transcripts.transcript_metadata(F.col("call")).alias("m"))
     return found.select("conv_id", "m.ticker", "m.event", F.col("m.date").cast("string").alias("day"))

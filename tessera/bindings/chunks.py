@@ -21,14 +21,21 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "sentence", F.col("pos").cast("long").alias("pos"))
 
 
-_PARAGRAPHS = """p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS ps FROM documents),
-e AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS t FROM p), w AS (SELECT doc_id, i, t, len(regexp_split_to_array(t, '\\s+')) AS n FROM e)"""
+#: Paragraphs of over 100 words in sentences that are packed; then all are packed, where a packed one is a chunk of its own.
+_UNITS = f"""p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS ps FROM documents),
+e AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS text FROM p), w AS (SELECT *, len(regexp_split_to_array(text, '\\s+')) AS n FROM e),
+long AS (SELECT doc_id, i, list_filter({_SENTENCES}, lambda x: length(x) > 0) AS ss FROM w WHERE n > 100),
+sent AS (SELECT *, len(regexp_split_to_array(trim(t), '\\s+')) AS n FROM (SELECT doc_id, i, generate_subscripts(ss, 1) AS j, unnest(ss) AS t FROM long)),
+packed AS (SELECT doc_id, i, j, n AS size, 0 AS part FROM sent WHERE j = 1
+  UNION ALL SELECT s.doc_id, s.i, s.j, CASE WHEN k.size + s.n > 100 THEN s.n ELSE k.size + s.n END, CASE WHEN k.size + s.n > 100 THEN k.part + 1 ELSE k.part END FROM packed k JOIN sent s ON s.doc_id = k.doc_id AND s.i = k.i AND s.j = k.j + 1),
+units AS (SELECT doc_id, i, part, string_agg(t, ' ' ORDER BY j) AS t, sum(n) AS n, true AS alone FROM packed JOIN sent USING (doc_id, i, j) GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, i, 0, text, n, false FROM w WHERE n <= 100),
+u AS (SELECT doc_id, t, n, alone, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS k FROM units)"""
 
 
 @query(
-    f"""WITH RECURSIVE {_PARAGRAPHS}, g AS (SELECT doc_id, i, n AS size, 0 AS chunk FROM w WHERE i = 1
-    UNION ALL SELECT w.doc_id, w.i, CASE WHEN g.size + w.n > 100 THEN w.n ELSE g.size + w.n END, CASE WHEN g.size + w.n > 100 THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN w ON w.doc_id = g.doc_id AND w.i = g.i + 1)
-    SELECT doc_id, chunk::BIGINT AS chunk_index, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM g JOIN w USING (doc_id, i) GROUP BY 1, 2"""
+    f"""WITH RECURSIVE {_UNITS}, g AS (SELECT doc_id, k, n AS size, alone, 0 AS chunk FROM u WHERE k = 1
+    UNION ALL SELECT u.doc_id, u.k, CASE WHEN u.alone OR g.alone OR g.size + u.n > 100 THEN u.n ELSE g.size + u.n END, u.alone, CASE WHEN u.alone OR g.alone OR g.size + u.n > 100 THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN u ON u.doc_id = g.doc_id AND u.k = g.k + 1)
+    SELECT doc_id, chunk::BIGINT AS chunk_index, string_agg(t, chr(10) || chr(10) ORDER BY k) AS chunk FROM g JOIN u USING (doc_id, k) GROUP BY 1, 2"""
 )
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = chunking.pack(chunking.paragraphs(F.col("text")), 100)
@@ -83,18 +90,16 @@ def speaker_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("conv_id", "block", "side").agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("text"))
 
 
-
-
 @query(
-    """WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)
-    SELECT c_nationkey, i // 25 AS part, (i // 25) > 0 AS is_continuation,
-    '[TABLE: n' || c_nationkey || ']' || chr(10) || 'key name' || chr(10) || string_agg(c_custkey || ' x', chr(10) ORDER BY c_custkey) || chr(10) || '[/TABLE]' AS text FROM c GROUP BY 1, 2, 3"""
+    """WITH c AS (SELECT c_nationkey, c_custkey // 1000 AS block, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey) - 1 AS i FROM customer)
+    SELECT c_nationkey, block, i // 25 AS part, (i // 25) > 0 AS is_continuation,
+    '[TABLE: n' || c_nationkey || ']' || chr(10) || 'key name' || chr(10) || string_agg(c_custkey || ' x', chr(10) ORDER BY c_custkey) || chr(10) || '[/TABLE]' AS text FROM c GROUP BY 1, 2, 3, 4"""
 )
 def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a nation as one marked table, split at 55 words: 5 fixed ones and 25 rows of two."""
+    """Every 1000 customer numbers of a nation as one marked table, split at 55 words: 5 fixed ones and 25 rows of two."""
     rows = F.array_sort(F.collect_list(F.struct("c_custkey", F.concat(F.col("c_custkey"), F.lit(" x")).alias("row"))))
     body = F.array_join(F.transform(rows, lambda r: r["row"]), "\n")
-    tables = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(body.alias("body"))
+    tables = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.expr("c_custkey div 1000").alias("block")).agg(body.alias("body"))
     text = F.concat(F.lit("[TABLE: n"), F.col("c_nationkey"), F.lit("]\nkey name\n"), F.col("body"), F.lit("\n" + chunking.TABLE_END))
-    parts = tables.select("c_nationkey", text.alias("text")).select("c_nationkey", F.posexplode(chunking.split_table(F.col("text"), 55)).alias("part", "p"))
-    return parts.select("c_nationkey", F.col("part").cast("long").alias("part"), "p.is_continuation", "p.text")
+    parts = tables.select("c_nationkey", "block", text.alias("text")).select("c_nationkey", "block", F.posexplode(chunking.split_table(F.col("text"), 55)).alias("part", "p"))
+    return parts.select("c_nationkey", "block", F.col("part").cast("long").alias("part"), "p.is_continuation", "p.text")

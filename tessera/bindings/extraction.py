@@ -32,9 +32,13 @@ def section_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
 
 
-@query("SELECT doc_id, count(*) AS headers FROM (SELECT doc_id, unnest([1, 2, 3, 4, 5, 6]) AS i FROM documents) GROUP BY 1")
+#: Offsets: the contents have 17, 22 and 19 characters, and each part a line feed after it.
+@query(
+    """SELECT doc_id, 'Item 1' AS key, 'Business' AS title, unnest([0, 58]) AS start FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', unnest([17, 76 + n_chars // 3]) FROM documents
+    UNION ALL SELECT doc_id, 'Item 7', 'Discussion', unnest([39, 99 + 2 * (n_chars // 3)]) FROM documents"""
+)
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.headers(_filings(spark, sf_dir), "doc_id", "filing").groupBy("doc_id").agg(F.count(F.lit(1)).alias("headers"))
+    return sections.headers(_filings(spark, sf_dir), "doc_id", "filing").select("doc_id", "key", "title", "start")
 
 
 @query("SELECT conv_id, role AS key, min(turn) AS start, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations WHERE length(text) >= 300 GROUP BY 1, 2")
@@ -98,14 +102,15 @@ def readable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_nationkey, 0 AS position, 'Customers of ' || c_nationkey || ' - Balance sheet' AS caption, (count(*) + 1)::INT AS n_rows, 2 AS n_cols, 'financial_statement' AS kind,
-    md5('| key | balance |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || floor(c_acctbal)::BIGINT || ' |', chr(10) ORDER BY c_custkey)) AS markdown FROM customer GROUP BY c_nationkey"""
+    """SELECT c_nationkey, block, 0 AS position, 'Customers of ' || c_nationkey || ' - Balance sheet' AS caption, (count(*) + 1)::INT AS n_rows, 2 AS n_cols, 'financial_statement' AS kind,
+    md5('| key | balance |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || floor(c_acctbal)::BIGINT || ' |', chr(10) ORDER BY c_custkey)) AS markdown FROM (SELECT *, c_custkey // 1000 AS block FROM customer) GROUP BY c_nationkey, block"""
 )
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a nation as a page with a table after a heading, read again."""
+    """Every 1000 customer numbers of a nation as a page with a table after a heading, read again."""
     row = F.concat(F.lit("<tr><td>"), F.col("c_custkey"), F.lit("</td><td> "), F.floor("c_acctbal"), F.lit("</td></tr>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("x")))), lambda r: r["x"]), "")
-    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(rows.alias("rows"))
+    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.expr("c_custkey div 1000").alias("block")).agg(rows.alias("rows"))
     html = F.concat(F.lit("<html><body><p style='display: none'>no</p><h2>Balance sheet</h2><table><caption>Customers of "), F.col("c_nationkey"), F.lit("</caption><tr><th>key<th>balance</tr>"), F.col("rows"), F.lit("</table></body></html>"))
-    found = page_tables(pages.select("c_nationkey", html.alias("html")), "c_nationkey", "html")
-    return found.select("c_nationkey", "position", "caption", "n_rows", "n_cols", "kind", F.md5("markdown").alias("markdown"))
+    key = F.struct("c_nationkey", "block").alias("key")
+    found = page_tables(pages.select(key, html.alias("html")), "key", "html")
+    return found.select("key.*", "position", "caption", "n_rows", "n_cols", "kind", F.md5("markdown").alias("markdown"))

@@ -21,24 +21,41 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("section"))
 
 
-@query(
-    f"""WITH w(k, weight, base) AS (VALUES {_WEIGHTS}), s AS (SELECT doc_id, section, length(text) AS n, coalesce(weight, 'medium') AS weight, coalesce(base, 800) AS base FROM ({_SECTIONS}) LEFT JOIN w ON k = {_KEY})
-    SELECT doc_id, weight, least(greatest(base, floor(floor(n / 4) * 0.6))::INT, 32000) AS max_tokens,
-    'd' || doc_id || '_' || trim(regexp_replace(regexp_replace(replace(section, '&', '-and-'), '\\s', '-', 'g'), '-+', '-', 'g'), '-') AS custom_id FROM s"""
-)
+def _planned(high: int, other: int) -> str:
+    """SQL of the plan: paragraphs, or the sentences of those too long, packed by their characters."""
+    over = "u.opens OR g.size + u.size > u.most"
+    return f"""WITH RECURSIVE w(k, weight, base) AS (VALUES {_WEIGHTS}), s AS (SELECT *, CASE weight WHEN 'high' THEN {high} ELSE {other} END AS most,
+      'd' || doc_id || '_' || trim(regexp_replace(regexp_replace(replace(section, '&', '-and-'), '\\s', '-', 'g'), '-+', '-', 'g'), '-') AS name
+      FROM (SELECT doc_id, section, text, coalesce(weight, 'medium') AS weight, coalesce(base, 800) AS base FROM ({_SECTIONS}) LEFT JOIN w ON k = {_KEY})),
+    p AS (SELECT doc_id, most, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS ps FROM s WHERE length(text) > most),
+    e AS (SELECT doc_id, most, generate_subscripts(ps, 1) AS i, unnest(ps) AS t FROM p),
+    x AS (SELECT doc_id, most, i, string_split(replace(t, '. ', '.' || chr(1)), chr(1)) AS xs FROM e WHERE length(t) + 2 > most),
+    c AS (SELECT doc_id, most, i, 0 AS j, t, length(t) + 2 AS size, false AS opens FROM e WHERE length(t) + 2 <= most
+      UNION ALL SELECT doc_id, most, i, j, t, length(t), j = 1 FROM (SELECT doc_id, most, i, generate_subscripts(xs, 1) AS j, unnest(xs) AS t FROM x)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM c),
+    g AS (SELECT doc_id, k, size, 0 AS part FROM u WHERE k = 1
+      UNION ALL SELECT u.doc_id, u.k, CASE WHEN {over} THEN u.size ELSE g.size + u.size END, CASE WHEN {over} THEN g.part + 1 ELSE g.part END FROM g JOIN u ON u.doc_id = g.doc_id AND u.k = g.k + 1),
+    cut AS (SELECT doc_id, part, string_agg(t, chr(10) || chr(10) ORDER BY k) AS t FROM g JOIN u USING (doc_id, k) GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, text FROM s WHERE length(text) <= most),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS parts FROM cut)
+    SELECT doc_id, weight, part::BIGINT AS part, parts, length(t)::BIGINT AS chars, md5(t) AS text, least(greatest(base, floor(floor(length(t) / 4) * 0.6))::INT, 32000) AS max_tokens,
+    name || CASE WHEN parts > 1 THEN '_part' || (part + 1) ELSE '' END AS custom_id FROM n JOIN s USING (doc_id)"""
+
+
+def _plan(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    planned = planning.plan(_sections(spark, sf_dir), "section", "text", F.concat(F.lit("d"), F.col("doc_id")), planning.weights(spark), **limits)
+    return planned.select("doc_id", "weight", F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text"), "max_tokens", "custom_id")
+
+
+@query(_planned(planning.HIGH_CHARS, planning.OTHER_CHARS))
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No document is long enough to be cut here."""
-    prefix = F.concat(F.lit("d"), F.col("doc_id"))
-    planned = planning.plan(_sections(spark, sf_dir), "section", "text", prefix, planning.weights(spark), high_chars=10_000_000, other_chars=10_000_000)
-    return planned.select("doc_id", "weight", "max_tokens", "custom_id")
+    """Requests within the limits of production."""
+    return _plan(spark, sf_dir)
 
 
-@query()
+@query(_planned(4000, 2000))
 def batch_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long documents in parts of 4000 characters or less, where paragraphs allow."""
-    prefix = F.concat(F.lit("d"), F.col("doc_id"))
-    planned = planning.plan(_sections(spark, sf_dir), "section", "text", prefix, planning.weights(spark), high_chars=4000, other_chars=2000)
-    return planned.select("doc_id", "custom_id", "part", "parts", F.length("text").alias("chars"), "max_tokens")
+    """Narrow limits, so that most documents are cut."""
+    return _plan(spark, sf_dir, high_chars=4000, other_chars=2000)
 
 
 @query("SELECT 'c' || conv_id AS section, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS summary, sum(length(text))::BIGINT AS tokens, bool_or(length(text) > 900) AS truncated, count(*) AS parts FROM conversations GROUP BY 1")

@@ -25,26 +25,29 @@ def fiscal_year_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", rendering.fiscal_year_end(shown).alias("year_end"))
 
 
-@query("SELECT c_nationkey, list(DISTINCT 'Pat ' || c_mktsegment[1:1] || lower(c_mktsegment[2:]) ORDER BY 'Pat ' || c_mktsegment[1:1] || lower(c_mktsegment[2:])) AS members FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, c_custkey // 200 AS block, list(DISTINCT 'Pat ' || c_mktsegment[1:1] || lower(c_mktsegment[2:]) ORDER BY 'Pat ' || c_mktsegment[1:1] || lower(c_mktsegment[2:])) AS members FROM customer GROUP BY 1, 2")
 def board_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market segments as members named in tagged facts."""
+    """Market segments as members named in tagged facts, a page for every 200 customer numbers of a nation."""
     tag = F.concat(F.lit('<xbrldi:explicitMember dimension="ecd:IndividualAxis">co:Pat'), F.initcap(F.lower("c_mktsegment")), F.lit("Member</xbrldi:explicitMember>"))
-    pages = rendering.joined(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_custkey", tag, "html")
-    return pages.select("c_nationkey", rendering.board_members(F.col("html")).alias("members"))
+    customers = table(spark, sf_dir, "customer").withColumn("block", F.expr("c_custkey div 200"))
+    pages = rendering.joined(customers, ["c_nationkey", "block"], "c_custkey", tag, "html")
+    return pages.select("c_nationkey", "block", rendering.board_members(F.col("html")).alias("members"))
 
 
-@query("SELECT conv_id, string_agg('[' || role || ' ' || turn || ']' || chr(10) || CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY turn) AS context FROM conversations WHERE turn <= 3 GROUP BY 1")
+@query("SELECT conv_id, string_agg('[' || role || ' ' || turn || ']' || chr(10) || CASE WHEN length(text) > 4000 THEN text[1:4000] || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 15 GROUP BY 1")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat_ws(" ", "role", "turn")
-    return rendering.prompt(table(spark, sf_dir, "conversations"), "conv_id", "turn", label, F.col("text"), most=3, chars=200)
+    """The first 15 turns of each conversation as hits, each of 4000 characters at most, as in production."""
+    hits = table(spark, sf_dir, "conversations").withColumn("rank", F.col("turn") + 1)
+    return rendering.prompt(hits, "conv_id", "rank", F.concat_ws(" ", "role", "turn"), F.col("text"))
 
 
-@query("SELECT conv_id, count(*) AS questions, count(*) FILTER (role = 'assistant') AS answered FROM conversations GROUP BY 1")
+@query("SELECT conv_id, 'Risk' AS section, 'Q1.' || (turn + 1) AS id, CASE role WHEN 'assistant' THEN 'answered' ELSE 'pending' END AS status, md5(q) AS question, CASE role WHEN 'assistant' THEN md5(q) END AS answer FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations) WHERE q <> ''")
 def question_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as questions, written as a file and read again."""
-    asked = table(spark, sf_dir, "conversations").select("conv_id", F.lit("Risk").alias("section"), F.concat(F.lit("Q1."), F.col("turn") + 1).alias("id"), F.lit("deep").alias("depth"), F.when(F.col("role") == "assistant", "answered").otherwise("pending").alias("status"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40).alias("question"), F.lit(None).cast("string").alias("answer"))
+    """Turns as questions, on one line each, written as a file and read again; what an assistant says is the answer, too."""
+    said = F.trim(F.regexp_replace("text", r"\s+", " "))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", F.lit("Risk").alias("section"), F.concat(F.lit("Q1."), F.col("turn") + 1).alias("id"), F.lit("deep").alias("depth"), F.when(F.col("role") == "assistant", "answered").otherwise("pending").alias("status"), said.alias("question"), F.when(F.col("role") == "assistant", said).alias("answer"))
     read = files.questions(rendering.question_file(asked, "conv_id"), "conv_id", "text")
-    return read.groupBy("conv_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("status") == "answered").alias("answered"))
+    return read.select("conv_id", "section", "id", "status", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
 @query(
@@ -65,12 +68,12 @@ def table_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.align(rows, "n_regionkey", "n_nationkey", "cells")
 
 
-@query("SELECT doc_id, (len(string_split(text, chr(10))))::BIGINT AS lines_before, length(replace(replace(text, ' ', ''), chr(10), ''))::BIGINT AS chars FROM documents WHERE lang = 'en'")
+@query()
 def wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapping moves only spaces and line breaks."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    bare = F.regexp_replace(rendering.wrap(F.col("text"), 80), "[ \n]", "")
-    return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines_before"), F.length(bare).cast("long").alias("chars"))
+    """All documents wrapped at 80 characters: number of lines, longest line, hash."""
+    wrapped = table(spark, sf_dir, "documents").select("doc_id", rendering.wrap(F.col("text"), 80).alias("text"))
+    lines = F.split("text", "\n")
+    return wrapped.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"), F.md5("text").alias("hash"))
 
 
 @query(

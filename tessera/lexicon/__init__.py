@@ -53,6 +53,21 @@ TABLE_KINDS = {
     "comparison": [r"compar", r"\bprior (year|period)\b", r"\bversus\b"],
 }
 
+#: Section key -> target words of its chunks, as results depend on them.
+CHUNK_SIZES = {
+    "Item 1": 1200,
+    "Item 1A": 1500,
+    "Item 5": 1200,
+    "Item 7": 1500,
+    "Item 8": 800,
+    "Part I, Item 1": 800,
+    "Part I, Item 2": 1500,
+    "Part II, Item 1A": 1500,
+    "Board of Directors": 1000,
+    "Compensation Discussion": 1200,
+    "Executive Compensation": 1200,
+}
+
 #: Section key -> title.
 SECTIONS = {"Item 1": "Business", "Item 1A": "Risk Factors", "Item 2": "Properties", "Item 3": "Legal Proceedings", "Item 7": "Management's Discussion and Analysis", "Item 8": "Financial Statements"}
 

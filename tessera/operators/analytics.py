@@ -16,10 +16,10 @@ def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest, ["path", "hash"], "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """All rows, with the new one where both have the key."""
+def upsert(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
+    """All rows, with the new one where both have the key; of several new ones the first in the given order, and then by the hash of the row."""
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)))
-    return latest_per(both, [key], F.desc("_turn")).drop("_turn")
+    return latest_per(both, [key], F.desc("_turn"), *order, F.xxhash64(*old.columns)).drop("_turn")
 
 
 def status_counts(frame: DataFrame, group: str, status: str, values: list[str]) -> DataFrame:
@@ -27,10 +27,11 @@ def status_counts(frame: DataFrame, group: str, status: str, values: list[str])
     return frame.groupBy(group).agg(*(F.count_if(F.col(status) == v).alias(f"n_{v.lower()}") for v in values), F.count(F.lit(1)).alias("total"))
 
 
-def exact_duplicates(frame: DataFrame, key: Column, *order: str) -> DataFrame:
-    """Adds ``nth`` (1 for the first of a key) and ``first_id``, the first one's id."""
-    by = Window.partitionBy("_key").orderBy(*order)
-    return frame.withColumn("_key", key).withColumns({"nth": F.row_number().over(by), "first_id": F.first(order[0]).over(by)}).drop("_key")
+def exact_duplicates(frame: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """Adds ``first_id``, the smallest id with the same key. Keys are summed up before they meet, so many rows of one key are no group."""
+    keyed = frame.withColumn("_key", key)
+    first = keyed.groupBy(F.col("_key").alias("_of")).agg(F.min(id_col).alias("first_id"))
+    return keyed.join(first, F.col("_key").eqNullSafe(F.col("_of"))).drop("_key", "_of")
 
 
 def feedback_summary(log: DataFrame) -> DataFrame:
@@ -44,4 +45,5 @@ def diverse_sample(frame: DataFrame, kind: str, bucket: str, id_col: str, quota:
     """Per kind ``quota`` rows, taken from its buckets in turn."""
     in_bucket = F.row_number().over(Window.partitionBy(kind, bucket).orderBy(id_col))
     turn = F.row_number().over(Window.partitionBy(kind).orderBy("_in", bucket))
-    return frame.withColumn("_in", in_bucket).withColumn("pick", turn).where(F.col("pick") <= quota).drop("_in")
+    # Each window is followed by its limit, so that tasks keep that many rows before they shuffle.
+    return frame.withColumn("_in", in_bucket).where(F.col("_in") <= quota).withColumn("pick", turn).where(F.col("pick") <= quota).drop("_in")

@@ -22,7 +22,7 @@ def weights(spark, given: dict | None = None) -> DataFrame:
 def with_weights(sections: DataFrame, section_col: str, table: DataFrame) -> DataFrame:
     """Sections with their weight; those not in the table have the default."""
     key = text_functions.canonical_section(F.col(section_col))
-    met = sections.join(F.broadcast(table), key == table.section_key, "left").drop("section_key")
+    met = sections.join(table, key == table.section_key, "left").drop("section_key")
     return met.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in zip(("weight", "base_tokens", "guidance"), lexicon.DEFAULT_WEIGHT, strict=True)})
 
 

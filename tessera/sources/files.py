@@ -41,7 +41,9 @@ def manifest(spark: SparkSession, at: str) -> DataFrame:
 
     try:
         return spark.read.schema(MANIFEST).parquet(at)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST)
 
 

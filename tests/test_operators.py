@@ -26,6 +26,10 @@ def brute_pack(parts, target, overlap):
     done, cur, size = [], [], 0
     for p in parts:
         n = len(p.split())
+        if n > target:  # one sentence here: a chunk of its own
+            done += [cur, [p]]
+            cur, size = [], 0
+            continue
         if cur and size + n > target:
             done.append(cur)
             kept, total = [], 0
@@ -46,6 +50,49 @@ def test_packing(spark, overlap):
     assert got == brute_pack(parts, 20, overlap)
 
 
+def test_blocks_keep_tables_whole(spark):
+    t = "one\n two \n\n \nthree\n[TABLE: a]\nr  1\n\nr 2\n[/TABLE] tail\nmore\n\n[TABLE: open\nx"
+    assert value(spark, chunking.blocks(F.col("t")), t=t) == ["one two", "three", "[TABLE: a]\nr  1\n\nr 2\n[/TABLE]", "tail more", "[TABLE: open\nx"]
+    assert value(spark, chunking.blocks(F.col("t")), t=None) == []
+
+
+def test_chunks_of_sections(spark):
+    table = "[TABLE: t]\nhead\n" + "\n".join(f"r{i} x" for i in range(9)) + "\n[/TABLE]"
+    long = " ".join(f"{words(7, 's')}." for _ in range(6))
+    t = f"{words(10, 'a')}\n\n{words(5, 'b')}\n\n{table}\n\n{words(4, 'c')}\n\n{long}\n\n{words(3, 'd')}"
+    got = value(spark, chunking.pack_chunks(chunking.blocks(F.col("t")), 16, overlap=6, table_size=12), t=t)
+    assert got[0]["text"] == words(10, "a") + "\n\n" + words(5, "b")
+    tables = [c for c in got if c["text"].startswith("[TABLE: t]\nhead\n")]
+    assert [c["continues"] for c in tables] == [False, True, True] and got[1:4] == tables
+    assert got[4]["text"] == words(4, "c") and [len(c["text"].split()) for c in got[5:8]] == [14, 14, 14]
+    assert " ".join(c["text"] for c in got[5:8]) == long and got[8]["text"] == words(3, "d") and len(got) == 9
+    assert value(spark, chunking.target_size(F.col("t")), t="Item 8") == 800 and value(spark, chunking.target_size(F.col("t")), t="Item 99") == 1000
+
+
+def brute_chars(text, most):
+    if len(text) <= most:
+        return [text]
+    done, cur, size = [], [], 0
+    for p in (p.strip(" ") for p in text.split("\n")):
+        if not p:
+            continue
+        pieces = [(x, len(x), k == 0) for k, x in enumerate(p.replace(". ", ".\0").split("\0"))] if len(p) + 2 > most else [(p, len(p) + 2, False)]
+        for x, n, opens in pieces:
+            if opens or size + n > most:
+                if cur:
+                    done.append("\n\n".join(cur))
+                cur, size = [], 0
+            cur.append(x)
+            size += n
+    return [*done, "\n\n".join(cur)]
+
+
+@pytest.mark.parametrize("most", [20, 60, 100, 1000])
+def test_split_by_characters(spark, most):
+    t = "\n".join([words(3, "a"), ". ".join(words(n, "b") for n in (4, 2, 9, 1, 30)) + ".", "", words(8, "c"), words(8, "d") + ". e"])
+    assert value(spark, chunking.split_by_chars(F.col("t"), most), t=t) == brute_chars(t, most)
+
+
 def test_sentences_and_tables(spark):
     assert value(spark, chunking.sentences(F.col("t")), t="One. Two! Three? Four 1.5 five") == ["One.", "Two!", "Three?", "Four 1.5 five"]
     whole = "[TABLE: t]\nhead row\n" + "\n".join(f"r{i} x" for i in range(5)) + "\n[/TABLE]"
@@ -219,6 +266,50 @@ def test_rendering(spark):
     assert wrapped[0].startswith("# x") and wrapped[-1].startswith("| c") and all(len(x) <= 40 for x in wrapped[1:-1]) and wrapped[2].startswith("  word")
 
 
+def brute_wrap(text, width):
+    """Words of long lines, filled greedily; headings, tables, rules and code stay."""
+    out, code = [], False
+    for line in text.split("\n"):
+        code ^= line.lstrip().startswith("```")
+        if code or len(line) <= width or line.lstrip().startswith(("#", "|", "```", "---")):
+            out.append(line)
+            continue
+        hang = len(line) - len(line.lstrip()) + (2 if line.lstrip()[:2] in ("- ", "* ") else 0)
+        cur = line[: len(line) - len(line.lstrip())]
+        filled = False
+        for word in line.split():
+            if filled and len(cur) + 1 + len(word) > width:
+                out.append(cur)
+                cur, filled = " " * hang, False
+            cur, filled = cur + (" " if filled else "") + word, True
+        out.append(cur)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("width", [20, 80])
+def test_wrapping(spark, width):
+    long = words(30, "word")
+    t = "\n".join(["# " + long, "short", long, "- " + long, "  * " + long, "| " + long, "```", long, "```", "", "---" + long, "x" * 100, "a " + "y" * 100 + " b"])
+    got = value(spark, rendering.wrap(F.col("t"), width), t=t)
+    assert got == brute_wrap(t, width)
+    assert value(spark, rendering.wrap(F.col("t"), width), t=None) is None
+
+
+def test_duplicates_and_upserts(spark):
+    rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (5, None), (4, "b")], "id long, k string")
+    assert {r["id"]: r["first_id"] for r in analytics.exact_duplicates(rows, F.col("k"), "id").collect()} == {3: 1, 1: 1, 2: 2, 5: 2, 4: 4}
+    new = spark.createDataFrame([(7, "a"), (8, "a")], "id long, k string")
+    assert {(r["id"], r["k"]) for r in analytics.upsert(rows.where("k is not null and id <> 3"), new, "k", F.desc("id")).collect()} == {(8, "a"), (4, "b")}
+
+
+def test_changed_files_replace_their_chunks(spark, tmp_path):
+    files_ = spark.createDataFrame([("a", "h2"), ("b", "h"), ("c", "h")], "path string, hash string")
+    known = spark.createDataFrame([("a", "h1"), ("b", "h")], "path string, hash string")
+    chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("z", 0)], "path string, n int")
+    assert sorted(map(tuple, index.without_changed(chunks, files_, known).collect())) == [("b", 0), ("z", 0)]
+    assert files.manifest(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_transcript(spark):
     call = "Acme (ACME)\nParticipants\nAnn Lee - CEO\nBob O'Neil - Analyst\nPresentation\nintro\nAnn Lee\nhello\nPage 2\nthere\nQuestions and Answers\nBob O'Neil\nwhy?\nAnn Lee\nbecause"
     calls = spark.createDataFrame([(1, call), (2, None)], "id long, text string")
