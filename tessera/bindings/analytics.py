@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
@@ -48,21 +48,62 @@ def insider_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "code")
 
 
-@query(f"SELECT l_orderkey, 'S' || l_suppkey AS security, date::VARCHAR AS date, code, shares::DOUBLE AS shares, sign FROM ({_TX})")
+def _tag(name: str, *parts) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *(p.cast("string") for p in parts), F.lit(f"</{name}>"))
+
+
+def _held(name: str, value: Column) -> Column:
+    return _tag(name, _tag("value", value))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as ownership forms: every third line number a derivative transaction, those numbered 5 and up holdings, the rest plain transactions."""
+    nothing, n = F.lit(""), F.col("l_linenumber")
+    price = F.coalesce(_held("transactionPricePerShare", F.format_number("price", 4)), nothing)
+    security = _held("securityTitle", F.concat(F.lit("S"), F.col("l_suppkey")))
+    shares = F.format_number("shares", 4)
+    body = F.concat(
+        security,
+        _held("transactionDate", F.date_format("date", "MM/dd/yyyy")),
+        _tag("transactionCoding", _tag("transactionCode", F.col("code"))),
+        F.when(n % 3 == 0, _held("conversionOrExercisePrice", n)).otherwise(nothing),
+        _tag("transactionAmounts", _held("transactionShares", shares), F.when(n % 2 == 0, price).otherwise(nothing), F.when(F.col("sign") == "D", _held("transactionAcquiredDisposedCode", F.col("sign"))).otherwise(nothing)),
+    )
+    after = _tag("postTransactionAmounts", _held("sharesOwnedFollowingTransaction", shares))
+    held = F.concat(security, after, F.when(n % 2 == 0, _tag("ownershipNature", _held("directOrIndirectOwnership", F.lit("I")), _held("natureOfOwnership", F.lit("By Trust &amp; Co")))).otherwise(nothing))
+    is_derivative, is_holding = n % 3 == 0, (n >= 5) & (n % 3 != 0)
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(is_holding, _tag("nonDerivativeHolding", held)).when(is_derivative, _tag("derivativeTransaction", body)).otherwise(_tag("nonDerivativeTransaction", body, after)).alias("x"), is_derivative.alias("d"))))
+    part = lambda d: F.array_join(F.transform(F.filter("lines", lambda r: r["d"] == d), lambda r: r["x"]), "\n")
+    forms = _transactions(spark, sf_dir).groupBy("l_orderkey").agg(lines.alias("lines"))
+    k = F.col("l_orderkey")
+    owner = _tag("reportingOwner", _tag("reportingOwnerId", _tag("rptOwnerCik", k % 97), _tag("rptOwnerName", F.concat(F.lit("Owner "), k % 97))), _tag("reportingOwnerRelationship", _tag("isDirector", k % 2), _tag("isOfficer", F.when(k % 3 == 0, "1").otherwise("0")), _tag("officerTitle", F.when(k % 6 == 0, "CFO").otherwise(""))))
+    head = F.concat(_tag("periodOfReport", F.lit("2024-03-31")), _tag("issuer", _tag("issuerCik", k), _tag("issuerName", F.lit("A &amp; B")), _tag("issuerTradingSymbol", F.lit("AB"))), owner)
+    xml = F.concat(F.lit('<?xml version="1.0"?>\n'), _tag("ownershipDocument", head, _tag("nonDerivativeTable", part(False)), _tag("derivativeTable", part(True))))
+    return forms.select("l_orderkey", xml.alias("xml"))
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber % 3 = 0 AS derivative, 'S' || l_suppkey AS security, date::VARCHAR AS date, code, shares::DOUBLE AS shares, sign,
+    CASE WHEN l_linenumber % 2 = 0 AND price IS NOT NULL THEN price WHEN l_linenumber % 3 = 0 THEN l_linenumber END::DOUBLE AS price, CASE WHEN l_linenumber % 3 <> 0 THEN shares END::DOUBLE AS owned_after, 'Owner ' || l_orderkey % 97 AS owner FROM ({_TX}) WHERE l_linenumber < 5 OR l_linenumber % 3 = 0"""
+)
 def form4_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as ownership forms, their lines as transactions, and read again."""
-    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
-    held = lambda name, value: tag(name, tag("value", value))
-    line = tag("nonDerivativeTransaction", F.concat(
-        held("securityTitle", F.concat(F.lit("S"), F.col("l_suppkey"))),
-        held("transactionDate", F.date_format("date", "MM/dd/yyyy")),
-        tag("transactionCoding", tag("transactionCode", F.col("code"))),
-        tag("transactionAmounts", F.concat(held("transactionShares", F.format_number("shares", 4)), held("transactionAcquiredDisposedCode", F.col("sign")))),
-    ))
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x"))))
-    body = F.concat(F.lit('<?xml version="1.0"?><ownershipDocument><nonDerivativeTable>'), F.array_join(F.transform(lines, lambda r: r["x"]), ""), F.lit("</nonDerivativeTable></ownershipDocument>"))
-    forms = _transactions(spark, sf_dir).groupBy("l_orderkey").agg(body.alias("xml"))
-    return insider.parse_form4(forms, "l_orderkey", "xml").select("l_orderkey", "security", F.col("date").cast("string").alias("date"), "code", F.col("shares").cast("double").alias("shares"), "sign")
+    found = insider.parse_form4(_forms(spark, sf_dir), "l_orderkey", "xml")
+    return found.select("l_orderkey", "derivative", "security", F.col("date").cast("string").alias("date"), "code", "sign", *(F.col(c).cast("double").alias(c) for c in ("shares", "price", "owned_after")), "owner")
+
+
+@query(f"SELECT l_orderkey, 'S' || l_suppkey AS security, shares::DOUBLE AS shares, CASE l_linenumber % 2 WHEN 0 THEN 'I' ELSE 'D' END AS ownership, CASE l_linenumber % 2 WHEN 0 THEN 'By Trust & Co' ELSE '' END AS nature FROM ({_TX}) WHERE l_linenumber >= 5 AND l_linenumber % 3 <> 0")
+def form4_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = insider.holdings(insider.read_form4(_forms(spark, sf_dir), "l_orderkey", "xml"), "l_orderkey")
+    return found.select("l_orderkey", "security", F.col("shares").cast("double").alias("shares"), "ownership", "nature")
+
+
+@query(
+    """SELECT l_orderkey, '2024-03-31' AS period, 'A & B' AS issuer, l_orderkey::VARCHAR AS issuer_cik, 'AB' AS ticker, 'Owner ' || l_orderkey % 97 AS owner, (l_orderkey % 97)::VARCHAR AS owner_cik, l_orderkey % 2 = 1 AS is_director, l_orderkey % 3 = 0 AS is_officer,
+    CASE WHEN l_orderkey % 6 = 0 THEN 'CFO' ELSE '' END AS title, CASE WHEN l_orderkey % 6 = 0 THEN 'CFO' WHEN l_orderkey % 3 = 0 THEN 'Officer, Director' WHEN l_orderkey % 2 = 1 THEN 'Director' ELSE 'Unknown' END AS role FROM (SELECT DISTINCT l_orderkey FROM lineitem)"""
+)
+def form4_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = insider.filings(insider.read_form4(_forms(spark, sf_dir), "l_orderkey", "xml"), "l_orderkey")
+    return found.withColumn("period", F.col("period").cast("string")).drop("is_ten_percent_owner", "is_other")
 
 
 @query("SELECT o_orderpriority, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")

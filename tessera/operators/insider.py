@@ -7,8 +7,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import parse_date, parse_decimal
 
-#: Public transaction codes of ownership forms.
-CODES = {"P": "Purchase", "S": "Sale", "A": "Award", "D": "Disposition", "F": "Tax Payment", "M": "Option Exercise", "C": "Conversion", "G": "Gift", "X": "Option Exercise", "J": "Other", "U": "Tender", "W": "Inheritance"}
+#: Names of the transaction codes of ownership forms, and which of them count as bought and sold; results show them.
+CODES = {
+    "A": "Grant/Award",
+    "C": "Conversion",
+    "F": "Tax Withholding",
+    "G": "Gift",
+    "J": "Other",
+    "K": "Equity Swap",
+    "M": "Exercise/Conversion",
+    "P": "Purchase",
+    "S": "Sale",
+    "U": "Disposition to Issuer",
+    "W": "Exercise of In-Money",
+    "X": "Exercise of Out-of-Money",
+}
 BUYS, SELLS = ("P", "A", "M", "C", "W", "X"), ("S", "F", "G", "U")
 
 
@@ -55,27 +68,97 @@ def clean_xml(text: Column) -> Column:
     return F.regexp_extract(out, r"(?s)(<ownershipDocument.*)", 1)
 
 
-def parse_form4(forms: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    """One row per transaction with a date: (id, nth, owner, security, date, code, shares, price, sign, owned_after).
+_VALUE = "struct<value:string>"
+_OWNERSHIP = f"struct<directOrIndirectOwnership:{_VALUE},natureOfOwnership:{_VALUE}>"
+_AFTER = f"struct<sharesOwnedFollowingTransaction:{_VALUE}>"
+_TRANSACTION = (
+    f"struct<securityTitle:{_VALUE},transactionDate:{_VALUE},transactionCoding:struct<transactionCode:string>,conversionOrExercisePrice:{_VALUE},"
+    f"transactionAmounts:struct<transactionShares:{_VALUE},transactionPricePerShare:{_VALUE},transactionAcquiredDisposedCode:{_VALUE}>,"
+    f"postTransactionAmounts:{_AFTER},ownershipNature:{_OWNERSHIP}>"
+)
+_HOLDING = f"struct<securityTitle:{_VALUE},postTransactionAmounts:{_AFTER},ownershipNature:{_OWNERSHIP}>"
+_OWNER = "struct<reportingOwnerId:struct<rptOwnerName:string,rptOwnerCik:string>,reportingOwnerName:string,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,isOther:string,officerTitle:string>>"
+#: What is read of an ownership form.
+FORM = (
+    "periodOfReport string, reportingOwnerName string, issuer struct<issuerCik:string,issuerName:string,issuerTradingSymbol:string>, "
+    f"reportingOwner array<{_OWNER}>, nonDerivativeTable struct<nonDerivativeTransaction:array<{_TRANSACTION}>,nonDerivativeHolding:array<{_HOLDING}>>, derivativeTable struct<derivativeTransaction:array<{_TRANSACTION}>>"
+)
+
+
+def _text(value: Column, default: str | None = None) -> Column:
+    """Trimmed text; the default where there is none."""
+    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(default).cast("string"))
+
+
+def _decimal(value: Column) -> Column:
+    return F.coalesce(parse_decimal(value), F.lit(0).cast("decimal(20,4)"))
 
-    Shares default to 0 and the sign to A; a missing price stays null.
+
+def read_form4(forms: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(id, form): each ownership form parsed once; what can't be parsed is null throughout."""
+    return forms.select(id_col, F.from_xml(clean_xml(F.col(xml_col)), FORM, {"rowTag": "ownershipDocument"}).alias("form"))
+
+
+def filings(read: DataFrame, id_col: str) -> DataFrame:
+    """(id, period, issuer, issuer_cik, ticker, owner, owner_cik, is_director, is_officer, is_ten_percent_owner, is_other, title, role): the first reporting owner; flags are true where they say 1."""
+    first = F.try_element_at("form.reportingOwner", F.lit(1))
+    relation = first["reportingOwnerRelationship"]
+    flag = lambda name: F.coalesce(F.trim(relation[name]) == "1", F.lit(False)).alias(name)
+    owner = F.coalesce(_text(first["reportingOwnerId"]["rptOwnerName"]), _text(first["reportingOwnerName"]), _text(F.col("form.reportingOwnerName"), ""))
+    out = read.select(
+        id_col,
+        parse_date(F.trim("form.periodOfReport")).alias("period"),
+        _text(F.col("form.issuer.issuerName"), "").alias("issuer"),
+        _text(F.col("form.issuer.issuerCik"), "").alias("issuer_cik"),
+        _text(F.col("form.issuer.issuerTradingSymbol"), "").alias("ticker"),
+        owner.alias("owner"),
+        _text(first["reportingOwnerId"]["rptOwnerCik"], "").alias("owner_cik"),
+        *map(flag, ("isDirector", "isOfficer", "isTenPercentOwner", "isOther")),
+        _text(relation["officerTitle"], "").alias("title"),
+    )
+    out = out.withColumnsRenamed({"isDirector": "is_director", "isOfficer": "is_officer", "isTenPercentOwner": "is_ten_percent_owner", "isOther": "is_other"})
+    return out.withColumn("role", role(F.col("title"), F.col("is_officer"), F.col("is_director"), F.col("is_ten_percent_owner")))
+
+
+def transactions(read: DataFrame, id_col: str) -> DataFrame:
+    """(id, derivative, nth, security, date, code, shares, price, sign, owned_after, ownership) of transactions with a date.
+
+    Shares default to 0, the sign to A, ownership to D. A derivative's missing price
+    is its conversion or exercise price, and its ownership counts as direct.
     """
-    base = "/ownershipDocument/nonDerivativeTable/nonDerivativeTransaction"
-    xml = clean_xml(F.col(xml_col))
-    fields = {"security": "securityTitle/value", "date": "transactionDate/value", "code": "transactionCoding/transactionCode", "shares": "transactionAmounts/transactionShares/value", "price": "transactionAmounts/transactionPricePerShare/value", "sign": "transactionAmounts/transactionAcquiredDisposedCode/value", "owned_after": "postTransactionAmounts/sharesOwnedFollowingTransaction/value"}
-    held = forms.select(id_col, xml.alias("_xml"), F.xpath_string(xml, F.lit("/ownershipDocument/reportingOwner/reportingOwnerId/rptOwnerName")).alias("owner"))
-    n = F.xpath_int("_xml", F.lit(f"count({base})"))
-    parts = {k: F.xpath("_xml", F.lit(f"{base}/{path}/text()")) for k, path in fields.items()}
-    each = held.where(n > 0).select(id_col, "owner", F.posexplode(F.arrays_zip(*(v.alias(k) for k, v in parts.items()))).alias("nth", "t"))
-    return each.select(
+    each = lambda path, derivative: read.select(id_col, F.lit(derivative).alias("derivative"), F.posexplode(path).alias("nth", "t"))
+    both = each("form.nonDerivativeTable.nonDerivativeTransaction", False).unionByName(each("form.derivativeTable.derivativeTransaction", True))
+    amounts, derivative = F.col("t.transactionAmounts"), F.col("derivative")
+    price = parse_decimal(amounts["transactionPricePerShare"]["value"])
+    return both.select(
         id_col,
+        "derivative",
         "nth",
-        "owner",
-        "t.security",
-        parse_date(F.col("t.date")).alias("date"),
-        "t.code",
-        F.coalesce(parse_decimal(F.col("t.shares")), F.lit(0).cast("decimal(20,4)")).alias("shares"),
-        parse_decimal(F.col("t.price")).alias("price"),
-        F.coalesce("t.sign", F.lit("A")).alias("sign"),
-        parse_decimal(F.col("t.owned_after")).alias("owned_after"),
+        _text(F.col("t.securityTitle.value"), "").alias("security"),
+        parse_date(F.trim("t.transactionDate.value")).alias("date"),
+        _text(F.col("t.transactionCoding.transactionCode"), "").alias("code"),
+        _decimal(amounts["transactionShares"]["value"]).alias("shares"),
+        F.when(derivative, F.coalesce(price, parse_decimal(F.col("t.conversionOrExercisePrice.value")))).otherwise(price).alias("price"),
+        _text(amounts["transactionAcquiredDisposedCode"]["value"], "A").alias("sign"),
+        F.when(~derivative, parse_decimal(F.col("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value"))).alias("owned_after"),
+        F.when(derivative, "D").otherwise(_text(F.col("t.ownershipNature.directOrIndirectOwnership.value"), "D")).alias("ownership"),
     ).where("date IS NOT NULL")
+
+
+def holdings(read: DataFrame, id_col: str) -> DataFrame:
+    """(id, nth, security, shares, ownership, nature) of holdings without a transaction; shares default to 0, ownership to D, its nature to nothing."""
+    each = read.select(id_col, F.posexplode("form.nonDerivativeTable.nonDerivativeHolding").alias("nth", "h"))
+    return each.select(
+        id_col,
+        "nth",
+        _text(F.col("h.securityTitle.value"), "").alias("security"),
+        _decimal(F.col("h.postTransactionAmounts.sharesOwnedFollowingTransaction.value")).alias("shares"),
+        _text(F.col("h.ownershipNature.directOrIndirectOwnership.value"), "D").alias("ownership"),
+        _text(F.col("h.ownershipNature.natureOfOwnership.value"), "").alias("nature"),
+    )
+
+
+def parse_form4(forms: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """``transactions`` of forms with their owner."""
+    read = read_form4(forms, id_col, xml_col)
+    return transactions(read, id_col).join(filings(read, id_col).select(id_col, "owner"), id_col)

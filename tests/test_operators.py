@@ -165,11 +165,26 @@ FORM = """<?xml version="1.0"?><!DOCTYPE x><ownershipDocument><reportingOwner><r
 
 
 def test_form4(spark):
-    forms = spark.createDataFrame([(1, FORM), (2, "<ownershipDocument/>")], "id long, xml string")
-    (row,) = insider.parse_form4(forms, "id", "xml").collect()
-    assert (row["owner"], row["code"], row["sign"], float(row["shares"]), float(row["price"]), row["date"]) == ("Doe Jo", "S", "D", 1000.0, 12.5, datetime.date(2024, 2, 1))
+    xml = """<?xml version="1.0"?><!DOCTYPE x><ownershipDocument><issuer><issuerName>Acme</issuerName></issuer><reportingOwner><reportingOwnerId><rptOwnerName> Ann </rptOwnerName></reportingOwnerId>
+    <reportingOwnerRelationship><isDirector>1</isDirector><isTenPercentOwner>true</isTenPercentOwner></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>
+    <nonDerivativeTransaction><securityTitle><value>Common</value><footnoteId id="F1"/></securityTitle><transactionDate><value>2024-01-02</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>1,000.5</value></transactionShares></transactionAmounts></nonDerivativeTransaction>
+    <nonDerivativeTransaction><securityTitle><value>No date</value></securityTitle></nonDerivativeTransaction>
+    <nonDerivativeTransaction><transactionDate><value>20240103</value></transactionDate><transactionAmounts><transactionPricePerShare><value>2</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction>
+    <nonDerivativeHolding><securityTitle><value>Held</value></securityTitle></nonDerivativeHolding></nonDerivativeTable>
+    <derivativeTable><derivativeTransaction><securityTitle><value>Option</value></securityTitle><conversionOrExercisePrice><value>7.5</value></conversionOrExercisePrice><transactionDate><value>01/04/2024</value></transactionDate><transactionCoding><transactionCode>M</transactionCode></transactionCoding><ownershipNature><directOrIndirectOwnership><value>I</value></directOrIndirectOwnership></ownershipNature></derivativeTransaction></derivativeTable></ownershipDocument>"""
+    forms = spark.createDataFrame([(1, xml), (2, "<ownershipDocument/>"), (3, "no form"), (4, None)], "id long, xml string")
+    rows = {(r["derivative"], r["nth"]): r for r in insider.parse_form4(forms, "id", "xml").collect()}
+    assert set(rows) == {(False, 0), (False, 2), (True, 0)} and {r["owner"] for r in rows.values()} == {"Ann"}
+    plain, bare, option = rows[False, 0], rows[False, 2], rows[True, 0]
+    assert (plain["security"], plain["code"], float(plain["shares"]), plain["price"], plain["sign"]) == ("Common", "S", 1000.5, None, "A")
+    assert (bare["security"], bare["code"], bare["shares"], float(bare["price"]), str(bare["date"])) == ("", "", 0, 2.0, "2024-01-03")  # fields stay with their transaction
+    assert (option["security"], float(option["price"]), option["ownership"], str(option["date"])) == ("Option", 7.5, "D", "2024-01-04")
+    read = insider.read_form4(forms, "id", "xml")
+    assert [(r["id"], r["security"], r["shares"], r["ownership"], r["nature"]) for r in insider.holdings(read, "id").collect()] == [(1, "Held", 0, "D", "")]
+    filed = {r["id"]: r for r in insider.filings(read, "id").collect()}
+    assert (filed[1]["issuer"], filed[1]["is_director"], filed[1]["is_ten_percent_owner"], filed[1]["role"]) == ("Acme", True, False, "Director") and filed[2]["owner"] == ""
     assert value(spark, insider.role(F.lit(""), F.lit(True), F.lit(True), F.lit(False))) == "Officer, Director"
-    assert value(spark, insider.code_name(F.lit("Q"))) == "Other (Q)"
+    assert value(spark, insider.code_name(F.lit("Q"))) == "Other (Q)" and value(spark, insider.code_name(F.lit("K"))) == "Equity Swap"
 
 
 def test_merges(spark):
