@@ -240,7 +240,7 @@ def _parted(length: int, width: int):
 
 
 def _hot(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame | None:
-    """(uid, lo, hi) for anchors that are found very often; None if there are none.
+    """(uid, spans) for anchors that are found very often; None if there are none.
 
     Each different segment's strings are parted, by the place of the anchor in them, into
     ranges, and the bytes that all strings of a range share are the key under
@@ -267,9 +267,17 @@ def _hot(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame | None
 
 
 def _placed(segments: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans within segments, given by their numbers -> (uid, lo, hi) in texts."""
-    spans = found.select("uid", F.col("lo").alias("a"), F.col("hi").alias("b")).join(known.select("uid", "h", "seg"), "uid").select("h", "seg", "a", "b")
-    return segments.select("h", "seg", "uid", "lo").join(spans, ["h", "seg"]).select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    """Spans within segments, given by their numbers -> (uid, spans) in texts: one row per place of a segment, whose spans are merged before they meet its places."""
+    ordered = F.array_sort(F.collect_set(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))))
+    state = "struct<done:array<struct<a:bigint,b:bigint>>,a:bigint,b:bigint>"
+    closed = lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+    grown = lambda s, x: F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b")).cast(state)
+    opened = lambda s, x: F.struct(closed(s).alias("done"), x["a"].alias("a"), x["b"].alias("b")).cast(state)
+    zero = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")).cast(state)
+    merged = F.aggregate("each", zero, lambda s, x: F.when(x["a"] <= s["b"] + 1, grown(s, x)).otherwise(opened(s, x)), closed)
+    spans = found.groupBy("uid").agg(ordered.alias("each")).select("uid", merged.alias("spans")).join(known.select("uid", "h", "seg"), "uid").select("h", "seg", "spans")
+    at = segments.select("h", "seg", "uid", "lo").join(spans, ["h", "seg"])
+    return at.select("uid", F.transform("spans", lambda x: F.struct((F.col("lo") + x["a"]).alias("lo"), (F.col("lo") + x["b"]).alias("hi"))).alias("spans"))
 
 
 def _cut(length: int):
@@ -322,8 +330,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = scratch.keep(segments, "segments")
     cold = segments.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long")
     hot = _hot(segments.where("hot").drop("hot"), length, scratch)
-    found = cold.unionByName(hot) if hot is not None else cold
-    spans = found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = cold.select("uid", F.array(F.struct("lo", "hi")).alias("spans"))
+    spans = (found if hot is None else found.unionByName(hot)).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = packed.join(spans, "uid").select("uid", "z", "spans").mapInArrow(_cut(length), "uid long, removed array<struct<start:long,stop:long>>, kept binary")
     cut = cut.select("uid", "removed", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), *(["kept"] if with_kept else []))
 
