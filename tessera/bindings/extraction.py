@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import lexicon
@@ -20,7 +20,8 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", body.alias("filing"))
 
 
-_CUTS = "SELECT doc_id, 'Item 1' AS key, 'Business' AS title, substr(text, 1, n_chars // 3) || chr(10) AS content FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', substr(text, n_chars // 3 + 1, n_chars // 3) || chr(10) FROM documents UNION ALL SELECT doc_id, 'Item 7', 'Discussion', substr(text, 2 * (n_chars // 3) + 1) FROM documents"
+_MDA = lexicon.TITLES["10-K"]["Item 7"].replace("'", "''")
+_CUTS = f"SELECT doc_id, 'Item 1' AS key, 'Business' AS title, substr(text, 1, n_chars // 3) || chr(10) AS content FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', substr(text, n_chars // 3 + 1, n_chars // 3) || chr(10) FROM documents UNION ALL SELECT doc_id, 'Item 7', '{_MDA}', substr(text, 2 * (n_chars // 3) + 1) FROM documents"
 
 
 @query(f"SELECT doc_id, key, title, md5(trim(content, chr(10) || ' ')) AS content FROM ({_CUTS}) WHERE length(trim(chr(10) || content, ' ')) >= 50")
@@ -34,13 +35,69 @@ def section_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Offsets: the contents have 17, 22 and 19 characters, and each part a line feed after it.
 @query(
-    """SELECT doc_id, 'Item 1' AS key, 'Business' AS title, unnest([0, 58]) AS start FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', unnest([17, 76 + n_chars // 3]) FROM documents
-    UNION ALL SELECT doc_id, 'Item 7', 'Discussion', unnest([39, 99 + 2 * (n_chars // 3)]) FROM documents"""
+    f"""SELECT doc_id, 'Item 1' AS key, 'Business' AS title, unnest([0, 58]) AS start FROM documents UNION ALL SELECT doc_id, 'Item 1A', 'Risk Factors', unnest([17, 76 + n_chars // 3]) FROM documents
+    UNION ALL SELECT doc_id, 'Item 7', '{_MDA}', unnest([39, 99 + 2 * (n_chars // 3)]) FROM documents"""
 )
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.headers(_filings(spark, sf_dir), "doc_id", "filing").select("doc_id", "key", "title", "start")
 
 
+_THIRDS = "SELECT doc_id, {k} AS k, {key} AS key, {title} AS title, trim(regexp_replace(substr(text, {k} * (n_chars // 3) + 1, {size}), '\\s+', ' ', 'g')) AS content FROM documents"
+
+
+def _thirds(keys: list[tuple[str, str]]) -> str:
+    """SQL of three sections of a document on one line each."""
+    sql = lambda x: "'" + x.replace("'", "''") + "'"
+    each = [_THIRDS.format(k=k, key=sql(key), title=sql(title), size="n_chars" if k == 2 else "n_chars // 3") for k, (key, title) in enumerate(keys)]
+    return " UNION ALL ".join(each)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
+    third = lambda k: F.trim(F.regexp_replace(F.expr(f"substring(text, cast({k} * (n_chars div 3) + 1 as int), cast({'n_chars' if k == 2 else 'n_chars div 3'} as int))"), r"\s+", " "))
+    return table(spark, sf_dir, "documents"), [third(k) for k in range(3)]
+
+
+_Q = [("Part I, Item 1", lexicon.TITLES["10-Q"]["Part I, Item 1"]), ("Part I, Item 2", lexicon.TITLES["10-Q"]["Part I, Item 2"]), ("Part II, Item 1", lexicon.TITLES["10-Q"]["Part II, Item 1"])]
+
+
+@query(f"SELECT doc_id, key, title, md5(content) AS content FROM (SELECT doc_id, key, title, CASE k WHEN 1 THEN trim(content || chr(10) || 'Part II', chr(10)) ELSE content END AS content FROM ({_thirds(_Q)})) WHERE length(content) + 2 >= 50")
+def section_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly reports, where Item 1 of either part is a section of its own and an item that the form doesn't have is none."""
+    docs, (a, b, c) = _lines(spark, sf_dir)
+    filing = F.concat(F.lit("PART I\nItem 1. Statements\nItem 2. Discussion\nPART II\nItem 1. Legal\nPART I - FIGURES\nItem 1. Statements\n"), a, F.lit("\nItem 2. Discussion\n"), b, F.lit("\nPart II\nItem 1. Legal\n"), c, F.lit("\n"))
+    texts = docs.select("doc_id", filing.alias("filing"))
+    best = sections.longest_sections(texts, sections.headers(texts, "doc_id", "filing", "10-Q"), "doc_id", "filing")
+    return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
+
+
+_STYLED_KEYS = [("Item 1", "Business"), ("Item 1A", "Risk Factors"), ("Item 99", "Other matters")]
+
+
+@query(f"SELECT doc_id, key, title, md5(trim('ITEM ' || key[6:] || '. ' || CASE key WHEN 'Item 99' THEN 'Other matters' ELSE upper(title) END || chr(10) || content, chr(10))) AS content FROM ({_thirds(_STYLED_KEYS)}) WHERE length(content) >= 50")
+def section_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with bold headings after a table of contents of links."""
+    docs, texts = _lines(spark, sf_dir)
+    shown = ["ITEM 1. BUSINESS", "ITEM 1A. RISK FACTORS", "ITEM 99. Other matters"]
+    escape = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    contents = "".join(f'<div><a href="#s{k}"><span style="font-weight:700">{h}</span></div></a>' for k, h in enumerate(shown))
+    body = [F.concat(F.lit(f'<div><span style="color:black;font-weight: 700">{h}</span></div><div>'), escape(x), F.lit("</div>")) for h, x in zip(shown, texts, strict=True)]
+    pages = docs.select("doc_id", F.concat(F.lit(f"<html><body>{contents}"), *body, F.lit("</body></html>")).alias("html"))
+    found = sections.styled_sections(pages, "doc_id", "html", "10-K")
+    return found.where(F.length(F.substring_index("content", "\n", -1)) >= 50).select("doc_id", "key", "title", F.md5("content").alias("content"))
+
+
+_PROXY_KEYS = [("Proposal 1", "Election"), ("Executive Compensation", "Executive Compensation"), ("Board of Directors", "Board of Directors")]
+
+
+@query(f"SELECT doc_id, key, title, md5(content) AS content FROM ({_thirds(_PROXY_KEYS)}) WHERE length(content) >= 50")
+def section_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proxy statements as text; what the table of contents leaves between its lines is too short to be a section."""
+    docs, (a, b, c) = _lines(spark, sf_dir)
+    text = F.concat(F.lit("Proposal 1: Election\nExecutive Compensation\nBoard of Directors\n.\nPROPOSAL NO. 1: Election\n"), a, F.lit("\nExecutive Compensation\n"), b, F.lit("\nBOARD OF DIRECTORS\n"), c)
+    found = sections.proxy_sections(docs.select("doc_id", text.alias("text")), "doc_id", "text", fragment=50)
+    return found.select("doc_id", "key", "title", F.md5("content").alias("content"))
+
+
 @query("SELECT conv_id, role AS key, min(turn) AS start, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations WHERE length(text) >= 300 GROUP BY 1, 2")
 def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("key"), F.col("role").alias("title"), F.col("turn").alias("start"), F.col("text").alias("content"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
 from tessera.functions import text as text_functions
 from tessera.operators import filters, retrieval
+from tessera.plans import text_index
 
 QUERY = "the thing that was there, on and of"
 _TERMS = "SELECT unnest(['the','thing','that','was','there','on','and','of']) AS term"
@@ -21,25 +25,41 @@ bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
        FROM tf JOIN df USING (token) JOIN dl USING (doc_id), stats GROUP BY 1)"""
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
+_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="tessera-index-")
+        _INDEXES[key] = text_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{at.rstrip('/')}/text-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("query"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), QUERY)
+    return _index(spark, sf_dir).bm25(QUERY)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm JOIN documents USING (doc_id) WHERE lang = 'fr' ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.bm25(docs, QUERY, chosen=filters.where(docs, {"lang": "fr"}))
+    return _index(spark, sf_dir).bm25(QUERY, chosen=filters.where(docs, {"lang": "fr"}))
 
 
 @query(f"WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 30) SELECT doc_id, score FROM top JOIN documents USING (doc_id) WHERE lang IN ('en', 'es')")
 def bm25_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return filters.where(retrieval.bm25(docs, QUERY, k=30).join(docs.select("doc_id", "lang"), "doc_id"), {"lang": ["en", "es"]}).select("doc_id", "score")
+    return filters.where(_index(spark, sf_dir).bm25(QUERY, k=30).join(docs.select("doc_id", "lang"), "doc_id"), {"lang": ["en", "es"]}).select("doc_id", "score")
 
 
 @query(f"WITH tok AS ({_TOKENS}) SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM tok GROUP BY 1")
@@ -59,24 +79,24 @@ _SCORES = "SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT embedding::DO
 
 @query(f"SELECT vec_id, round(list_inner_product(e, q), 6) AS score FROM ({_SCORES}) ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir))
+    return retrieval.vector_topk_by(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir))
 
 
 @query(f"SELECT vec_id, round(list_inner_product(e, q), 6) AS score FROM ({_SCORES}) WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_topk(filters.where(table(spark, sf_dir, "embeddings"), {"label": [1, 2, 3]}), _probe(spark, sf_dir))
+    return retrieval.vector_topk_by(filters.where(table(spark, sf_dir, "embeddings"), {"label": [1, 2, 3]}), _probe(spark, sf_dir))
 
 
 @query(f"SELECT vec_id, score FROM (SELECT vec_id, label, round(list_inner_product(e, q), 6) AS score FROM ({_SCORES}) ORDER BY score DESC, vec_id LIMIT 30) WHERE label IN (1, 2, 3)")
 def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    top = retrieval.vector_topk(vectors, _probe(spark, sf_dir), k=30)
+    top = retrieval.vector_topk_by(vectors, _probe(spark, sf_dir), k=30)
     return filters.where(top.join(vectors.select("vec_id", "label"), "vec_id"), {"label": [1, 2, 3]}).select("vec_id", "score")
 
 
 @query(f"SELECT vec_id, round(1 - list_sum(list_transform(list_zip(e, q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM ({_SCORES}) ORDER BY score DESC, vec_id LIMIT 10")
 def l2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), metric="l2")
+    return retrieval.vector_topk_by(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), metric="l2")
 
 
 @query(
@@ -93,7 +113,7 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT vec_id, round(list_inner_product(e, q), 6) AS score FROM ({_SCORES}) WHERE vec_id <> 7 ORDER BY score DESC, vec_id LIMIT 10")
 def similar_exclude_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_topk(vectors.where("vec_id <> 7"), _probe(spark, sf_dir))
+    return retrieval.vector_topk_by(vectors.where("vec_id <> 7"), _probe(spark, sf_dir))
 
 
 _SIDES = f"""{_BM25}, t AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 30),
@@ -101,8 +121,8 @@ v AS (SELECT vec_id AS doc_id, round(list_inner_product(e, q), 6) AS score FROM
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vector = retrieval.vector_topk(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), k=30).withColumnRenamed("vec_id", "doc_id")
-    return vector, retrieval.bm25(table(spark, sf_dir, "documents"), QUERY, k=30)
+    vector = retrieval.vector_topk_by(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), k=30).withColumnRenamed("vec_id", "doc_id")
+    return vector, _index(spark, sf_dir).bm25(QUERY, k=30)
 
 
 @query(
@@ -128,7 +148,7 @@ _RANKED = f"{_BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.ranked(retrieval.bm25(docs, QUERY, k=30), "doc_id", "original_rank").join(docs.select("doc_id", "text"), "doc_id")
+    return retrieval.ranked(_index(spark, sf_dir).bm25(QUERY, k=30), "doc_id", "original_rank").join(docs.select("doc_id", "text"), "doc_id")
 
 
 @query(
@@ -183,8 +203,10 @@ sized AS (SELECT conv_id, content, floor(len(regexp_split_to_array(trim(content)
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations, of those hit alone."""
     texts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    parents = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("content"))
+    hit = table(spark, sf_dir, "conversations").join(_hits(spark, sf_dir).select("conv_id").distinct(), "conv_id", "left_semi")
+    parents = hit.groupBy("conv_id").agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("content"))
     return parents.withColumn("approx_tokens", text_functions.approx_tokens(F.col("content")))
 
 
@@ -204,6 +226,28 @@ def parent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.first_seen(_hits(spark, sf_dir), ["conv_id"], "hit_rank").select("conv_id", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
+_MANY = """
+asked AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS token FROM benchmark),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents), dl AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), 0) AS dl FROM documents),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), tf AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), stats GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@query(f"WITH {_MANY} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items as questions at once: the five best documents of each."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _index(spark, sf_dir).bm25_many(asked)
+
+
+@query(f"WITH {_MANY} SELECT doc_id, min(query_id) AS query_id, arg_min(rank, query_id) AS rank FROM r WHERE rank <= 5 AND query_id < 12 GROUP BY 1")
+def fan_out_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dozen sub-queries of one question, the five best of each, where a document counts for the first that finds it."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.fan_out(_index(spark, sf_dir), asked, most=12).select("doc_id", "query_id", "rank")
+
+
 @query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source = 'src3'")
 def filter_dict_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = filters.given_only(lang=["de", "fr"], source="src3", n_chars=0)

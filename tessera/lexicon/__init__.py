@@ -1,76 +1,36 @@
-"""Small dictionaries that queries are understood by; all are parameters of the functions that use them."""
+"""Dictionaries that queries, sections and tables are understood by; all are parameters of the functions that use them."""
 
-#: Acronym -> phrase.
-ACRONYMS = {
-    "EPS": "earnings per share",
-    "FCF": "free cash flow",
-    "EBITDA": "earnings before interest taxes depreciation and amortization",
-    "COGS": "cost of goods sold",
-    "CAPEX": "capital expenditures",
-    "ROE": "return on equity",
-    "YOY": "year over year",
-    "QOQ": "quarter over quarter",
-    "M&A": "mergers and acquisitions",
-    "SG&A": "selling general and administrative",
-    "R&D": "research and development",
-    "CEO": "chief executive officer",
-    "CFO": "chief financial officer",
-    "AI": "artificial intelligence",
-    "TAM": "total addressable market",
-}
-
-#: Word or phrase -> words that mean about the same.
-SYNONYMS = {
-    "revenue": ["sales", "turnover"],
-    "profit": ["earnings", "income"],
-    "risk": ["exposure", "uncertainty"],
-    "growth": ["increase", "expansion"],
-    "debt": ["borrowings", "liabilities"],
-    "guidance": ["outlook", "forecast"],
-    "cash flow": ["liquidity"],
-    "supply chain": ["logistics", "procurement"],
-}
+from tessera.lexicon.sections import CHUNK_SIZES, DEFAULT_WEIGHT, PROXY_NAMES, SECTION_WEIGHTS, TITLES
+from tessera.lexicon.terms import ACRONYMS, SYNONYMS
 
-#: Kind of query -> (patterns, whether they see the query as written or lower-cased). Order breaks ties.
+#: Kind of query -> (patterns, whether they see the query as written or lower-cased). The order of the kinds, which breaks ties.
 QUERY_KINDS = {
-    "exact_metric": ([r"\b(revenue|sales|profit|income|margin|eps|debt|cash)\b", r"\bhow (much|many)\b", r"\bwhat (was|is|were)\b.*\b(total|amount|number)\b", r"\$\s?\d", r"\bq[1-4]\b"], False),
-    "entity": ([r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\b(CEO|CFO|COO|CTO)\b", r"\b[A-Z]{2,5}\b"], True),
-    "comparison": ([r"\bcompar(e|ed|ison)\b", r"\b(vs|versus)\b", r"\bdifferen(ce|t)\b", r"\b(higher|lower|better|worse) than\b"], False),
-    "trend": ([r"\btrends?\b", r"\bover (time|the (last|past))\b", r"\b(grow|grown|growth|decline|declined)\b", r"\byear over year\b"], False),
-    "conceptual": ([r"\b(why|how does|explain|describe)\b", r"\b(strategy|risk|risks|approach|outlook)\b", r"\bwhat (are|is) the (main|key)\b"], False),
+    "exact_metric": (
+        [
+            r"\b(revenues?|sales|profits?|income|margins?|eps|debt|cash|ebitda|earnings|expenses?|dividends?)\b",
+            r"\bhow (much|many)\b",
+            r"\bwhat (was|is|were)\b.*\b(total|amount|number|rate|ratio|value)\b",
+            r"\$\s?\d",
+            r"\d\s?(%|percent\b|million\b|billion\b)",
+            r"\bq[1-4]\b",
+        ],
+        False,
+    ),
+    "entity": ([r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\b(CEO|CFO|COO|CTO)\b", r"\b[A-Z]{2,5}\b", r"\b(Inc|Corp|Ltd|LLC|Holdings)\b"], True),
+    "comparison": ([r"\bcompar(e|ed|ison)\b", r"\b(vs|versus)\b", r"\bdifferen(ce|t)\b", r"\b(higher|lower|better|worse|more|less) than\b", r"\brelative to\b"], False),
+    "trend": ([r"\btrends?\b", r"\bover (time|the (last|past))\b", r"\b(grow|grown|growth|decline|declined|increased?|decreased?)\b", r"\b(year over year|quarter over quarter|yoy|qoq)\b", r"\bsince (19|20)\d{2}\b"], False),
+    "conceptual": ([r"\b(why|how does|explain|describe|discuss)\b", r"\b(strategy|risk|risks|approach|outlook|policy)\b", r"\bwhat (are|is) the (main|key|primary)\b", r"\b(impact|effect|affect)s?\b", r"\btell (me|us) about\b"], False),
 }
 
-#: Kind of query -> share of the vector score.
+#: Kind of query -> share of the vector score, as results depend on them.
 QUERY_WEIGHTS = {"exact_metric": 0.3, "conceptual": 0.8, "entity": 0.2, "trend": 0.6, "comparison": 0.7, "default": 0.7}
 
 #: Kind of table -> patterns over caption and content.
 TABLE_KINDS = {
-    "compensation": [r"compensation", r"\bsalary\b", r"\bbonus\b", r"stock awards?"],
-    "governance": [r"\bdirectors?\b", r"\bcommittees?\b", r"\bboard\b"],
-    "financial_statement": [r"balance sheet", r"cash flows?", r"statements? of (income|operations)", r"total (assets|liabilities)", r"net income"],
-    "metrics": [r"\bmetrics?\b", r"key (figures|performance)", r"\bkpi\b", r"\bmargin\b"],
-    "schedule": [r"\bschedule\b", r"maturit(y|ies)", r"\bdue\b"],
-    "comparison": [r"compar", r"\bprior (year|period)\b", r"\bversus\b"],
+    "compensation": [r"compensation", r"\bsalar(y|ies)\b", r"\bbonus(es)?\b", r"stock awards?", r"option awards?", r"\bpensions?\b", r"\bvest(ed|ing)\b"],
+    "governance": [r"\bdirectors?\b", r"\bcommittees?\b", r"\bboard\b", r"\bnominees?\b", r"\bindependen(t|ce)\b", r"\bvotes?\b", r"beneficial owner(s|ship)?"],
+    "financial_statement": [r"balance sheet", r"cash flows?", r"statements? of (income|operations|earnings)", r"total (assets|liabilities)", r"net income", r"stockholders'? equity", r"gross profit", r"operating expenses"],
+    "metrics": [r"\bmetrics?\b", r"key (figures|performance)", r"\bkpis?\b", r"\bmargins?\b", r"\bgrowth\b", r"\bper share\b", r"\bsegments?\b"],
+    "schedule": [r"\bschedules?\b", r"maturit(y|ies)", r"\bdue\b", r"\bobligations?\b", r"\bamortization\b", r"\bthereafter\b"],
+    "comparison": [r"compar", r"\bprior (year|period)\b", r"\bversus\b", r"\bvs\b", r"(increase|decrease|change) (from|over)", r"\bpeer group\b", r"\byear[- ]over[- ]year\b"],
 }
-
-#: Section key -> target words of its chunks, as results depend on them.
-CHUNK_SIZES = {
-    "Item 1": 1200,
-    "Item 1A": 1500,
-    "Item 5": 1200,
-    "Item 7": 1500,
-    "Item 8": 800,
-    "Part I, Item 1": 800,
-    "Part I, Item 2": 1500,
-    "Part II, Item 1A": 1500,
-    "Board of Directors": 1000,
-    "Compensation Discussion": 1200,
-    "Executive Compensation": 1200,
-}
-
-#: Section key -> title.
-SECTIONS = {"Item 1": "Business", "Item 1A": "Risk Factors", "Item 2": "Properties", "Item 3": "Legal Proceedings", "Item 7": "Management's Discussion and Analysis", "Item 8": "Financial Statements"}
-
-#: Section key -> (weight, output tokens, guidance).
-SECTION_WEIGHTS = {"item 1": ("high", 2000, "products, customers, rivals"), "item 1a": ("high", 2500, "what could go wrong"), "item 7": ("high", 3000, "causes of change"), "item 8": ("medium", 1500, "figures"), "item 3": ("low", 500, "")}
-DEFAULT_WEIGHT = ("medium", 800, "")

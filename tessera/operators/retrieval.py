@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +69,51 @@ def vector_topk(frame: DataFrame, query: list[float], k: int = 10, metric: str =
     return frame.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def vector_topk_by(frame: DataFrame, probe: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``vector_topk`` for the vector in the first row of ``probe`` (query); nothing if it has none. No job runs while the plan is made."""
+    met = frame.crossJoin(F.broadcast(probe.select(F.col("query").alias("_query")).limit(1)))
+    score = vectors.dot(F.col(vector_col), F.col("_query")) if metric == "cosine" else 1 - vectors.squared_distance(F.col(vector_col), F.col("_query"))
+    return met.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+#: Vectors of a block on either side of a search for many.
+BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _blocks(frame: DataFrame, id_col: str, vector_col: str, size: int, ids: str, data: str) -> DataFrame:
+    """(ids, data): up to ``size`` vectors a row, as the bytes of a matrix; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                matrix = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], [ids, data])
+
+    return frame.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, f"{ids} array<bigint>, {data} binary")
+
+
 def vector_topk_many(frame: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank) for a stated set of queries (query_id, query): each against all vectors.
+    """(query_id, id, score, rank) for a stated set of queries (query_id, query): each against all vectors, by whole-number ids.
 
-    The query side has to be small enough to be sent to all tasks; the ranks
-    keep ``k`` rows of a query in each task before anything is shuffled.
+    Blocks of queries meet blocks of vectors, a product of two matrices each, of
+    which only the ``k`` best of each query go on to be ranked. Neither side is collected.
     """
-    scored = frame.crossJoin(queries).select("query_id", id_col, F.round(vectors.dot(F.col(vector_col), F.col("query")), 6).alias("score"))
+    met = _blocks(frame, id_col, vector_col, BLOCK, "ids", "data").crossJoin(_blocks(queries, "query_id", "query", QUERY_BLOCK, "query_ids", "query_data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, query_ids, query_data in zip(*batch.columns, strict=True):
+                ids, query_ids = np.array(ids.as_py()), np.array(query_ids.as_py())
+                matrix, asked = (np.frombuffer(x.as_py()).reshape(len(n), -1) for x, n in ((data, ids), (query_data, query_ids)))
+                scores = np.round(asked @ matrix.T, 6) + 0.0
+                near = [np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row)) for row in scores]
+                chosen = [n[np.lexsort((ids[n], -row[n]))[:k]] for n, row in zip(near, scores, strict=True)]
+                of = np.repeat(np.arange(len(query_ids)), [len(c) for c in chosen])
+                at = np.concatenate(chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[of]), pa.array(ids[at]), pa.array(scores[of, at])], ["query_id", id_col, "score"])
+
+    scored = met.mapInArrow(run, f"query_id bigint, {id_col} bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -131,3 +172,12 @@ def neighbours(hits: DataFrame, chunks: DataFrame, section_col: str, position_co
 def first_seen(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+
+
+def fan_out(index, queries: DataFrame, most: int, k: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """The first ``most`` of some sub-queries (query_id, query), ``k`` results each, where a result counts for the first query that finds it.
+
+    ``index`` answers many queries at once, as ``plans.text_index.TextIndex`` does.
+    """
+    asked = queries.orderBy("query_id").limit(most)
+    return first_seen(index.bm25_many(asked, k), [id_col], "query_id", "rank")

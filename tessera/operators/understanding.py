@@ -53,6 +53,12 @@ def expand(query: Column, acronyms: dict[str, str] | None = None, synonyms: dict
     return F.filter(found, lambda x: x.isNotNull() & ~F.contains(low, F.lower(x)))
 
 
+def vector_weight(query: Column) -> Column:
+    """Struct (vector_weight, text_weight) of a query's kind."""
+    kind = classify(query)
+    return F.struct(kind["vector_weight"].alias("vector_weight"), kind["text_weight"].alias("text_weight"))
+
+
 def text_query(query: Column, expansions: Column) -> Column:
     """The query and its expansions joined by OR, phrases in quotes."""
     quoted = F.transform(expansions, lambda x: F.when(F.contains(x, F.lit(" ")), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
@@ -69,19 +75,24 @@ def fiscal_period(text: Column) -> Column:
 
 
 def temporal_refs(query: Column) -> Column:
-    """Array of (year, quarter, kind): fiscal years, then other years, then quarters with a year of their own."""
+    """Array of (year, quarter, kind): fiscal years, then other years, then quarters with a year of their own; a quarter without one is that of the reference before it."""
     up = F.upper(query)
     none = F.lit(None).cast("int")
+    state = "array<struct<year:int,quarter:int,kind:string>>"
     entry = lambda y, q, kind: F.struct(y.alias("year"), q.alias("quarter"), F.lit(kind).alias("kind"))
     full = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y).cast("int")
-    fiscal = F.array_distinct(F.transform(F.regexp_extract_all(up, F.lit(r"\bFY\s?(\d{4}|\d{2})\b"), F.lit(1)), full))
+    fiscal = F.array_distinct(F.transform(F.regexp_extract_all(up, F.lit(r"\bFY[\s']?(\d{4}|\d{2})\b"), F.lit(1)), full))
     years = F.array_distinct(F.transform(F.regexp_extract_all(up, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
-    quarters = F.transform(F.regexp_extract_all(up, F.lit(r"\b(Q[1-4] (?:19|20)\d{2})\b"), F.lit(1)), lambda q: F.struct(F.substring(q, 4, 4).cast("int").alias("y"), F.substring(q, 2, 1).cast("int").alias("q")))
-    return F.concat(
-        F.transform(fiscal, lambda y: entry(y, none, "fiscal")),
-        F.transform(F.array_except(years, fiscal), lambda y: entry(y, none, "calendar")),
-        F.transform(quarters, lambda s: entry(s["y"], s["q"], "quarter")),
-    )
+    quarters = F.regexp_extract_all(up, F.lit(r"\b(Q[1-4](?: (?:19|20)\d{2})?)\b"), F.lit(1))
+    known = F.concat(F.transform(fiscal, lambda y: entry(y, none, "fiscal")), F.transform(F.array_except(years, fiscal), lambda y: entry(y, none, "calendar"))).cast(state)
+
+    def step(refs: Column, found: Column) -> Column:
+        quarter, last = F.substring(found, 2, 1).cast("int"), F.try_element_at(refs, F.size(refs))
+        attached = F.concat(F.slice(refs, 1, F.greatest(F.size(refs) - 1, F.lit(0))), F.array(F.struct(last["year"].alias("year"), quarter.alias("quarter"), last["kind"].alias("kind"))))
+        own = F.concat(refs, F.array(entry(F.substring(found, 4, 4).cast("int"), quarter, "quarter")))
+        return F.when(F.length(found) > 2, own).when(F.size(refs) > 0, attached).otherwise(refs).cast(state)
+
+    return F.aggregate(quarters, known, step)
 
 
 def is_comparative(query: Column) -> Column:

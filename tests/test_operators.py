@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import lexicon
 from tessera.functions import text
 from tessera.operators import analytics, chunking, filters, html_tables, insider, planning, rendering, retrieval, sections, tables, transcripts, understanding
 from tessera.plans import index
@@ -121,10 +122,16 @@ def test_understanding(spark):
     assert kind("What was total revenue in Q2?")["kind"] == "exact_metric"
     assert kind("explain the strategy")["kind"] == "conceptual"
     assert kind("Who is the CEO of Acme Holdings?")["kind"] == "entity"
-    assert value(spark, understanding.expand(F.col("q")), q="FCF and cash flow risk") == ["free cash flow", "exposure", "uncertainty", "liquidity"]
+    assert value(spark, understanding.expand(F.col("q")), q="FCF and cash flow risk")[0] == "free cash flow"
+    given = {"acronyms": {"FCF": "free cash flow"}, "synonyms": {"risk": ["exposure", "uncertainty"], "cash flow": ["liquidity"]}}
+    assert value(spark, understanding.expand(F.col("q"), **given), q="FCF and cash flow risk") == ["free cash flow", "exposure", "uncertainty", "liquidity"]
+    assert value(spark, understanding.expand(F.col("q"), {}, {}), q="FCF and cash flow risk") == []
+    assert len(lexicon.ACRONYMS) >= 163 and len(lexicon.SYNONYMS) >= 57 and len(lexicon.SECTION_WEIGHTS) >= 73 and lexicon.ACRONYMS["M&A"] == "mergers and acquisitions"
     assert value(spark, understanding.text_query(F.col("q"), understanding.expand(F.col("q"))), q="EPS") == 'EPS OR "earnings per share"'
     refs = value(spark, understanding.temporal_refs(F.col("q")), q="Q2 2024 and FY23 against 2021")
     assert [(r["year"], r["quarter"], r["kind"]) for r in refs] == [(2023, None, "fiscal"), (2024, None, "calendar"), (2021, None, "calendar"), (2024, 2, "quarter")]
+    attached = lambda q: [tuple(r) for r in value(spark, understanding.temporal_refs(F.col("q")), q=q)]
+    assert attached("Q3 of FY24") == [(2024, 3, "fiscal")] and attached("Q3") == [] and attached("2022 Q4 and Q1 2023") == [(2022, None, "calendar"), (2023, 4, "calendar"), (2023, 1, "quarter")]
     period = lambda t: tuple(value(spark, understanding.fiscal_period(F.col("t")), t=t))
     assert [period(t) for t in ("FY25", "fy2025Q3", "Q3FY25", "2025")] == [(2025, None), (2025, 3), (2025, 3), (None, None)]
     assert tuple(value(spark, understanding.quarter_range(F.lit(2024), F.lit(1)))) == (datetime.date(2024, 1, 1), datetime.date(2024, 3, 31))
