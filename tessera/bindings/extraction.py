@@ -60,11 +60,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
 _Q = [("Part I, Item 1", lexicon.TITLES["10-Q"]["Part I, Item 1"]), ("Part I, Item 2", lexicon.TITLES["10-Q"]["Part I, Item 2"]), ("Part II, Item 1", lexicon.TITLES["10-Q"]["Part II, Item 1"])]
 
 
-@query(f"SELECT doc_id, key, title, md5(content) AS content FROM (SELECT doc_id, key, title, CASE k WHEN 1 THEN trim(content || chr(10) || 'Part II', chr(10)) ELSE content END AS content FROM ({_thirds(_Q)})) WHERE length(content) + 2 >= 50")
+@query(f"SELECT doc_id, key, title, md5(content) AS content FROM (SELECT doc_id, key, title, CASE k WHEN 1 THEN trim(content || chr(10) || 'Part II', chr(10)) WHEN 2 THEN trim('Legal matters: ' || content) ELSE content END AS content FROM ({_thirds(_Q)})) WHERE length(content) + 2 >= 50")
 def section_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly reports, where Item 1 of either part is a section of its own and an item that the form doesn't have is none."""
     docs, (a, b, c) = _lines(spark, sf_dir)
-    filing = F.concat(F.lit("PART I\nItem 1. Statements\nItem 2. Discussion\nPART II\nItem 1. Legal\nPART I - FIGURES\nItem 1. Statements\n"), a, F.lit("\nItem 2. Discussion\n"), b, F.lit("\nPart II\nItem 1. Legal\n"), c, F.lit("\n"))
+    filing = F.concat(F.lit("PART I\nItem 1. Statements\nItem 2. Discussion\nPART II\nItem 1. Legal\nPART I\nItem 1. Statements\n"), a, F.lit("\nItem 2. Discussion\n"), b, F.lit("\nPart II\nItem 1. Legal\nLegal matters: "), c, F.lit("\n"))
     texts = docs.select("doc_id", filing.alias("filing"))
     best = sections.longest_sections(texts, sections.headers(texts, "doc_id", "filing", "10-Q"), "doc_id", "filing")
     return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
