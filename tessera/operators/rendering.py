@@ -126,3 +126,65 @@ def sub_queries(reply: Column) -> Column:
     """Array of strings of a model's JSON reply, with or without a code fence; empty if it is none."""
     bare = F.trim(F.regexp_replace(reply, r"(?s)^\s*```(?:json)?|```\s*$", ""))
     return F.coalesce(F.from_json(bare, "array<string>"), F.array().cast("array<string>"))
+
+
+#: What a section's summary should be, by its weight.
+PROMPTS = {
+    "high": "Summarise this section in depth: every figure, change and reason that a reader would act on.",
+    "medium": "Summarise this section: its main figures and changes.",
+    "low": "Say in a few sentences what this section adds.",
+}
+
+
+def section_prompt(weight: Column, guidance: Column) -> Column:
+    """The prompt of a section's weight (medium for unknown ones), with guidance where there is some."""
+    base = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PROMPTS.items() for x in pair)), weight), F.lit(PROMPTS["medium"]))
+    return F.concat_ws("\n\nFor this section: ", base, F.nullif(guidance, F.lit("")))
+
+
+def user_message(company: Column, context: Column, question: Column) -> Column:
+    """A question with the excerpts that it is to be answered from."""
+    return F.concat(F.lit("Excerpts from filings of "), company, F.lit(":\n\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer from the excerpts alone and name the filing and section of each fact."))
+
+
+def marked_note(text: Column, mark: str, chars: int = 500) -> Column:
+    """From a mark to the next blank line, or ``chars`` characters where none follows; empty without the mark."""
+    at = F.locate(mark, text)
+    rest = F.substr(text, at)
+    stop = F.locate("\n\n", rest)
+    return F.when(at > 0, F.trim(F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(F.substring(rest, 1, chars)))).otherwise(F.lit(""))
+
+
+def results_json(results: DataFrame, key: str, rank: str, header: dict[str, Column]) -> DataFrame:
+    """(key, json): the results of each question in order, under a header with their number; tables only where a result has one. Results are as few as a question returns."""
+    with_table = lambda c: F.when(F.col("has_table"), F.col(c)).alias(c)
+    row = F.struct("filing_type", "filing_date", "section", "score", "text", "has_table", with_table("table_html"), with_table("table_caption"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), row.alias("r")))), lambda x: x["r"])
+    grouped = results.groupBy(key).agg(ordered.alias("results"), *(F.first(c).alias(n) for n, c in header.items()))
+    return grouped.select(key, F.to_json(F.struct(*header, F.size("results").alias("result_count"), "results"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_summary(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, head, section, title, weight, truncated, summary) of rendered summaries: one row per section, in the text's order by ``at``."""
+    lines = texts.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, "^\\uFEFF", ""), "\n")).alias("at", "line"))
+    up_to = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda pattern, g: F.nullif(F.regexp_extract("line", pattern, g), F.lit(""))
+    header = r"^### ([^:\n]+): (.*?)( \(truncated\))?$"
+    seen = lines.withColumns({
+        "head": F.first(part(r"^# (.+)$", 1), ignorenulls=True).over(up_to),
+        "weight": F.lower(F.last(part(r"^## (\w+) weight$", 1), ignorenulls=True).over(up_to)),
+        "starts": F.col("line").rlike(header),
+        "nth": F.sum(F.col("line").rlike(header).cast("int")).over(up_to),
+        "other": F.col("line").rlike(r"^#{1,2} "),
+    })
+    body = F.array_sort(F.collect_list(F.when(~F.col("starts") & ~F.col("other"), F.struct("at", "line"))))
+    first = lambda c: F.max(F.when(F.col("starts"), c))
+    cut = seen.where("nth > 0").groupBy(id_col, "nth").agg(
+        F.max("head").alias("head"),
+        first(F.regexp_extract("line", header, 1)).alias("section"),
+        first(F.regexp_extract("line", header, 2)).alias("title"),
+        first(F.col("weight")).alias("weight"),
+        first(F.regexp_extract("line", header, 3) != "").alias("truncated"),
+        F.btrim(F.array_join(F.transform(body, lambda x: x["line"]), "\n"), F.lit("\n ")).alias("summary"),
+    )
+    return cut.withColumnRenamed("nth", "at")

@@ -60,3 +60,34 @@ def html_text(html: Column) -> Column:
     for entity, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.regexp_replace(out, entity, letter)
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+
+
+#: Kind of table -> words of its caption, in the order in which they are tried.
+CORPUS_LABELS = {
+    "financial_statement": ["balance sheet", "statements of operations", "income statement", "cash flow", "stockholders equity"],
+    "compensation": ["compensation", "stock awards", "option", "equity", "salary", "bonus", "executive"],
+    "segment_data": ["segment", "geographic", "product line"],
+    "schedule": ["schedule", "reconciliation", "rollforward"],
+    "governance": ["vote", "proposal", "director", "nominee"],
+    "metrics": ["metrics", "kpi", "summary", "highlights"],
+}
+
+
+def corpus_label(caption: Column, html: Column) -> Column:
+    """The first kind with a word in the caption; comparison if the table names a year, else other."""
+    low, out = F.lower(caption), F
+    for kind, words in CORPUS_LABELS.items():
+        out = out.when(reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in words)), F.lit(kind))
+    return out.when(html.rlike(r"20\d{2}"), F.lit("comparison")).otherwise(F.lit("other"))
+
+
+def corpus_tables(found: Column, html_chars: Column) -> Column:
+    """Tables (an array of cell rows) fit for a corpus: 2 to 100 rows, two columns at least, and no more than 50000 characters of markup."""
+    return F.size(found).between(2, 100) & (F.array_max(F.transform(found, F.size)) >= 2) & (html_chars <= 50_000)
+
+
+def with_markdown(text: Column, found: Column) -> Column:
+    """A page's text (see ``html_tables.parse``) where each marked table is its Markdown."""
+    marked = F.filter(found, lambda t: F.size(t["rows"]) >= 2)
+    plain = F.split(text, r"(?s)\[TABLE: [^\n]*\]\n.*?\[/TABLE\]")
+    return F.array_join(F.transform(plain, lambda part, i: F.concat(part, F.coalesce(markdown(F.try_element_at(marked, i + 1)["rows"]), F.lit("")))), "")

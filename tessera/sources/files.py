@@ -67,6 +67,12 @@ def to_fetch(offered: DataFrame, known: DataFrame, years: int = 3, start: str |
     return chosen.join(known.select("accession"), "accession", "left_anti")
 
 
+def since(offered: DataFrame, known: DataFrame, date_col: str = "filing_date") -> DataFrame:
+    """What is offered from the day of the newest known on; all of it where nothing is known."""
+    mark = known.agg(F.max(F.col("last_updated").cast("date")).alias("mark"))
+    return offered.crossJoin(F.broadcast(mark)).where(F.col("mark").isNull() | (F.col(date_col) >= F.col("mark"))).drop("mark")
+
+
 def feedback(spark: SparkSession, at: str) -> DataFrame:
     """Searches of a feedback log; ratings have no mode and are left out."""
     return spark.read.schema(FEEDBACK).json(at).where("mode IS NOT NULL")
@@ -78,6 +84,12 @@ def log_searches(searches: DataFrame, at: str) -> None:
     searches.withColumn("top_results", cut).write.mode("append").json(at)
 
 
+def log_ratings(ratings: DataFrame, at: str) -> None:
+    """Appends what users say of results (query, user_rating[, user_selected_indices]) to the log of searches."""
+    given = [c for c in ("timestamp", "ticker", "query", "user_rating", "user_selected_indices") if c in ratings.columns]
+    ratings.select(*given, F.lit("user_feedback").alias("type")).write.mode("append").json(at)
+
+
 def questions(frame: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, section, id, depth, status, question, answer) of Markdown question files; comments are stripped, bad blocks left out."""
     bare = frame.select(path_col, F.regexp_replace(text_col, r"(?s)<!--.*?-->", "").alias("_t"))

@@ -337,3 +337,123 @@ def test_transcript(spark):
     calls = spark.createDataFrame([(1, call), (2, None)], "id long, text string")
     blocks = transcripts.speaker_blocks(calls, "id", "text").orderBy("block").collect()
     assert [(r["part"], r["name"], r["title"], r["text"].replace("\n\n", "\n")) for r in blocks] == [("presentation", "Ann Lee", "CEO", "hello\nthere"), ("qa", "Bob O'Neil", "Analyst", "why?"), ("qa", "Ann Lee", "CEO", "because")]
+
+
+def test_conditions(spark):
+    assert filters.fiscal("FY25") == {"fiscal_year": 2025} and filters.fiscal("q3fy2024") == {"fiscal_year": 2024, "fiscal_quarter": 3} and filters.fiscal("Q1FY24Q2") == {"fiscal_year": 2024, "fiscal_quarter": 2}
+    assert filters.fiscal("2024") == filters.fiscal(None) == {}
+    assert filters.content_kind(False, "metrics") == {"content_type": "table", "table_type": "metrics"} and filters.content_kind(False) == {"content_type": "text"} and filters.content_kind() == {}
+    assert filters.doc_types(["transcripts", "no such", "sec"]) == ["transcript", "10-K", "10-Q", "8-K", "DEF 14A"] and filters.doc_types([]) == []
+    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, n int")
+    assert [(r["n"], r["score"]) for r in filters.by_id(chunks, "b").collect()] == [(2, 1.0)] and filters.by_id(chunks, "z").collect() == []
+    assert [r["n"] for r in filters.by_ids(chunks, spark.createDataFrame([("a",), ("a",), ("x",)], "chunk_id string")).collect()] == [1]
+
+
+def test_days_of_results(spark):
+    days = ["2023-12-31", "2024", "2024-02-01", "", None, "soon", "2024-06-30", "2025-01-01", "2024-03-03", "2024-03-04", "2024-03-05"]
+    results = spark.createDataFrame(list(enumerate(days)), "rank int, filing_date string")
+    kept = lambda *a: [r["rank"] for r in filters.between(results, *a).orderBy("rank").collect()]
+    assert kept("2024-02-02", "2024-06-30") == [1, 5, 6, 8, 9] and kept(None, "2023-12-31", 9) == [0, 5]
+
+
+def test_questions_to_run(spark):
+    asked = spark.createDataFrame([(k, s) for k, s in enumerate(["pending", "answered", "error", "needs_deeper"])], "id int, status string")
+    ids = lambda **o: sorted(r["id"] for r in filters.runnable(asked, **o).collect())
+    assert ids() == [0] and ids(retry_errors=True) == [0, 2] and ids(retry_errors=True, retry_needs_deeper=True) == [0, 2, 3] and len(ids(retry_errors=True, sample=1)) == 1
+    filed = spark.createDataFrame([("10-K", "2023-02-01", "a"), ("10-K", "2024-02-01", "b"), ("8-K", "2025-01-01", "c")], "filing_type string, filing_date string, accession string")
+    assert filters.latest_matching(filed, "10-K").first()["accession"] == "b" and filters.latest_matching(filed, "10-K", "2023-02-01").first()["accession"] == "a"
+
+
+def test_prompts_and_notes(spark):
+    assert value(spark, rendering.section_prompt(F.lit("high"), F.lit(None).cast("string"))) == rendering.PROMPTS["high"]
+    assert value(spark, rendering.section_prompt(F.lit("odd"), F.lit("x"))) == rendering.PROMPTS["medium"] + "\n\nFor this section: x"
+    assert value(spark, rendering.marked_note(F.col("t"), "**Fiscal"), t="a\n**Fiscal year** ends\nin June\n\nmore") == "**Fiscal year** ends\nin June"
+    assert value(spark, rendering.marked_note(F.col("t"), "**Fiscal", 10), t="x **Fiscal year") == "**Fiscal y"
+    assert value(spark, rendering.marked_note(F.col("t"), "none"), t="text") == ""
+    assert "Question: why?" in value(spark, rendering.user_message(F.lit("ACME"), F.lit("ctx"), F.lit("why?")))
+
+
+def test_results_as_json(spark):
+    import json
+
+    rows = spark.createDataFrame([(1, 2, "8-K", None, "s", 0.5, "t2", False, "<x>", "c"), (1, 1, "10-K", "2024", "s", 0.7, "t1", True, "<x>", "c")], "q int, rank int, filing_type string, filing_date string, section string, score double, text string, has_table boolean, table_html string, table_caption string")
+    (row,) = rendering.results_json(rows, "q", "rank", {"query": F.lit("why"), "top_k": F.lit(5)}).collect()
+    got = json.loads(row["json"])
+    assert (got["query"], got["top_k"], got["result_count"]) == ("why", 5, 2) and [r["text"] for r in got["results"]] == ["t1", "t2"]
+    assert got["results"][0]["table_html"] == "<x>" and got["results"][1]["table_html"] is None
+
+
+def test_summaries_are_read_again(spark):
+    parts = [("k", "Item 1", "Business: all of it", "high", "one\n\ntwo", False), ("k", "Item 2", "Properties", "low", "# no head", True), ("k", "Item 7", "MD&A", "high", "", False)]
+    text = rendering.summary(spark.createDataFrame(parts, "key string, section string, title string, weight string, summary string, truncated boolean"), "key", F.lit("# Acme 10-K"))
+    got = rendering.read_summary(text, "key", "text").orderBy("at").collect()
+    assert [(r["head"], r["section"], r["title"], r["weight"], r["truncated"]) for r in got] == [("Acme 10-K", "Item 1", "Business: all of it", "high", False), ("Acme 10-K", "Item 7", "MD&A", "high", False), ("Acme 10-K", "Item 2", "Properties", "low", True)]
+    assert got[0]["summary"] == "one\n\ntwo" and got[1]["summary"] == ""
+
+
+def test_tables_for_a_corpus(spark):
+    assert value(spark, tables.corpus_label(F.lit("Director Option Awards"), F.lit(""))) == "compensation" and value(spark, tables.corpus_label(F.lit("x"), F.lit("<td>2024"))) == "comparison" and value(spark, tables.corpus_label(F.lit("x"), F.lit("y"))) == "other"
+    page = "<p>before</p><table><tr><th colspan=2>a<th>b</tr><tr><td>1<td>2<td>3</tr></table><p>after</p>"
+    read = value(spark, html_tables.parse(F.col("t")), t=page)
+    assert read["tables"][0]["rows"] == [["a", "", "b"], ["1", "2", "3"]]
+    shown = spark.createDataFrame([(page,)], "t string").select(html_tables.parse(F.col("t")).alias("p")).select(tables.with_markdown(F.col("p.text"), F.col("p.tables")).alias("v")).first()["v"]
+    assert shown == "before\n| a |  | b |\n| --- | --- | --- |\n| 1 | 2 | 3 |\nafter"
+
+
+def test_records_and_index_tables(spark, tmp_path):
+    chunks = spark.createDataFrame([("t", "transcript", None, 3)], "text string, doc_type string, fiscal_year int, chunk_index int")
+    row = index.records(chunks).first()
+    assert (row["filing_type"], row["fiscal_year"], row["chunk_index"], row["prev_chunk_id"], row["content_type"]) == ("transcript", 0, 3, None, "text") and '"doc_type":"transcript"' in row["metadata_json"]
+    at = str(tmp_path / "index")
+    assert index.count(spark, at) == 0
+    index.create(index.records(chunks), at)
+    index.write(index.records(chunks), at)
+    assert index.count(spark, at) == 2
+    index.clear(spark, at)
+    assert index.count(spark, at) == 0
+
+
+def test_chunks_of_calls_and_reports(spark):
+    call = "Acme (ACME)\nPresentation\n..... 3\nParticipants\nAnn Lee - CEO\nPresentation\nAnn Lee\nhello\nQuestions and Answers\nAnn Lee\nyes"
+    blocks = transcripts.speaker_blocks(spark.createDataFrame([(1, call)], "id int, t string"), "id", "t")
+    got = transcripts.speaker_chunks(blocks, "id").orderBy("chunk_index").collect()
+    assert [(r["chunk_index"], r["section"], r["speaker"], r["text"]) for r in got] == [(0, "presentation", "Ann Lee - CEO", "hello"), (1, "qa", "Ann Lee - CEO", "yes")]
+    cut = spark.createDataFrame([(1, "Valuation", 2, "b"), (1, "Risks", 1, "a")], "id int, title string, page int, content string")
+    told = spark.createDataFrame([(1, "Firm", "Buy")], "id int, firm string, rating string")
+    assert [(r["chunk_index"], r["section"], r["firm"]) for r in transcripts.report_chunks(cut, told, "id").orderBy("chunk_index").collect()] == [(0, "Risks", "Firm"), (1, "Valuation", "Firm")]
+
+
+def test_fetch_since(spark):
+    offered = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-01")], "id int, d string").selectExpr("id", "cast(d as date) as filing_date")
+    known = spark.createDataFrame([("2024-02-01 10:00:00",)], "t string").selectExpr("cast(t as timestamp) as last_updated")
+    assert [r["id"] for r in files.since(offered, known).collect()] == [2] and files.since(offered, known.limit(0)).count() == 2
+
+
+def test_text_index(spark, tmp_path):
+    from tessera.plans import text_index
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["cash flow rose", "cash", "", None, "Flow of cash and cash", "other words"])], "doc_id long, text string")
+    made = text_index.build(docs, str(tmp_path / "i"))
+    for query in ("cash flow", "words", "none of these", ""):
+        assert made.bm25(query, 3).collect() == retrieval.bm25(docs, query, 3).collect()
+    asked = spark.createDataFrame([(1, "cash flow"), (2, "words"), (3, "zzz")], "query_id long, query string")
+    many = made.bm25_many(asked, 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in many] == [(q["query_id"], r["doc_id"], r["score"]) for q in asked.collect() for r in made.bm25(q["query"], 3).collect()]
+
+
+def test_vectors_for_many_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for k in range(60)] + [(60, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = frame.where("vec_id % 6 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got = {}
+    for r in retrieval.vector_topk_many(frame, asked, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in rows:
+        if q % 6 == 0 and v:
+            best = sorted(((round(sum(a * b for a, b in zip(v, w)), 6), k) for k, w in rows if w), key=lambda x: (-x[0], x[1]))[:4]
+            assert sorted(got[q]) == [(n + 1, k, s) for n, (s, k) in enumerate(best)]
