@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
 from tessera.functions import text as text_functions
-from tessera.operators import analytics, insider
+from tessera.operators import analytics, filters, insider
+from tessera.plans import index
 
 _TX = """SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE 'J' END AS code, CASE l_linestatus WHEN 'O' THEN 'A' ELSE 'D' END AS sign,
 l_quantity::DECIMAL(12,2) AS shares, CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice::DECIMAL(12,2) END AS price, l_shipdate::DATE AS date FROM lineitem"""
@@ -190,3 +191,37 @@ def multi_format_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decimal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("o_orderkey") % 5 == 0, "--").otherwise(F.format_number("o_totalprice", 2))
     return table(spark, sf_dir, "orders").select("o_orderkey", text_functions.parse_decimal(shown).cast("double").alias("amount"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'answered' WHEN 'O' THEN 'pending' ELSE 'error' END AS status FROM orders WHERE o_orderstatus <> 'F'")
+def runnable_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions: those still open, and failed ones again."""
+    status = F.when(F.col("o_orderstatus") == "F", "answered").when(F.col("o_orderstatus") == "O", "pending").otherwise("error")
+    return filters.runnable(table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status")), retry_errors=True)
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS filing_date FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1997-10-15' ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def results_between_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest orders of a span of days, days written as text."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(-F.col("o_totalprice"), "o_orderkey").alias("rank"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"))
+    return filters.between(orders, "1996-03-01", "1997-10-15", 15).select("o_orderkey", "filing_date")
+
+
+@query("SELECT o_orderpriority, max(o_orderdate)::DATE::VARCHAR AS filing_date FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY 1")
+def latest_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest order of the priority that comes first."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("filing_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.col("o_orderkey").alias("accession"))
+    first = orders.agg(F.min("filing_type").alias("first"))
+    of_type = orders.join(F.broadcast(first), F.col("filing_type") == F.col("first"))
+    return of_type.orderBy(F.desc("filing_date"), "accession").limit(1).select(F.col("filing_type").alias("o_orderpriority"), "filing_date")
+
+
+@query(
+    """SELECT doc_id, lang AS filing_type, source, '' AS filing_date, 'text' AS content_type, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (2000 + doc_id % 20)::INT END AS fiscal_year, 0 AS fiscal_quarter, false AS has_table, md5(text) AS text FROM documents"""
+)
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks with few columns, stored with all of them; the rest comes back from the JSON."""
+    docs = table(spark, sf_dir, "documents").select("text", F.col("lang").alias("doc_type"), "source", F.when(F.col("doc_id") % 3 != 0, 2000 + F.col("doc_id") % 20).alias("fiscal_year"), "doc_id")
+    stored = index.records(docs)
+    own = F.get_json_object("metadata_json", "$.doc_id").cast("long")
+    return stored.select(own.alias("doc_id"), "filing_type", "source", "filing_date", "content_type", "fiscal_year", "fiscal_quarter", "has_table", F.md5("text").alias("text"))

@@ -65,3 +65,12 @@ def summary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(k == 0, F.date_format("o_orderdate", "MMM d, yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("")
     name = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" "), day, F.lit(".pdf"))
     return table(spark, sf_dir, "orders").select("o_orderkey", transcripts.summary_name(name, "call", F.col("o_orderdate")).alias("name"))
+
+
+@query(
+    f"""SELECT conv_id, turn AS chunk_index, CASE WHEN turn < 2 THEN 'presentation' ELSE 'qa' END AS section, CASE role {' '.join(f"WHEN '{r}' THEN '{n} - {t}'" for r, (n, t) in _WHO.items())} END AS speaker, md5(trim(replace(text, chr(10), ' '))) AS text FROM conversations"""
+)
+def call_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as one chunk per speaker block."""
+    chunks = transcripts.speaker_chunks(transcripts.speaker_blocks(_calls(spark, sf_dir), "conv_id", "call"), "conv_id")
+    return chunks.select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section", "speaker", F.md5("text").alias("text"))

@@ -171,3 +171,19 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.struct("c_nationkey", "block").alias("key")
     found = page_tables(pages.select(key, html.alias("html")), "key", "html")
     return found.select("key.*", "position", "caption", "n_rows", "n_cols", "kind", F.md5("markdown").alias("markdown"))
+
+
+_LABELLED = "CASE p_partkey % 7 WHEN 0 THEN 'Consolidated Balance Sheets' WHEN 1 THEN 'Director Nominees' WHEN 2 THEN 'Stock Option Awards' WHEN 3 THEN 'Revenue by Geographic Area' WHEN 4 THEN 'Reconciliation of figures' WHEN 5 THEN 'Highlights' ELSE 'Part' END"
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'financial_statement' WHEN 1 THEN 'governance' WHEN 2 THEN 'compensation' WHEN 3 THEN 'segment_data' WHEN 4 THEN 'schedule' WHEN 5 THEN 'metrics'
+    ELSE CASE WHEN p_size % 2 = 0 THEN 'comparison' ELSE 'other' END END AS label, p_size BETWEEN 2 AND 100 AS fit FROM (SELECT *, {_LABELLED} AS caption FROM part)"""
+)
+def corpus_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables of as many rows as their size, half of which name a year."""
+    k = F.col("p_partkey") % 7
+    caption = F.element_at(F.array(*map(F.lit, ["Consolidated Balance Sheets", "Director Nominees", "Stock Option Awards", "Revenue by Geographic Area", "Reconciliation of figures", "Highlights", "Part"])), (k + 1).cast("int"))
+    html = F.when(F.col("p_size") % 2 == 0, "<td>2024").otherwise("<td>x")
+    rows = F.array_repeat(F.array(F.lit("a"), F.lit("b")), F.col("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", tables.corpus_label(caption, html).alias("label"), tables.corpus_tables(rows, F.length(html)).alias("fit"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import lexicon
 from tessera.catalog import query, table
 from tessera.functions import text as text_functions
-from tessera.operators import planning
+from tessera.operators import planning, rendering
 
 _NAMES = ["Item 1", "Item-1A", "ITEM 7", "Item  8", "Exhibits & Schedules"]
 _WEIGHTS = ", ".join(f"('{k}', '{w}', {n})" for k, (w, n, _) in lexicon.SECTION_WEIGHTS.items())
@@ -99,3 +99,16 @@ def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of language and source once, with the first document that cites it."""
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first_doc")).withColumn("citation", F.format_string("[%s (%s)]", "lang", "source"))
+
+
+_PROMPT = " ".join(f"WHEN '{w}' THEN {chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39)}" for w, p in rendering.PROMPTS.items())
+_GUIDES = ", ".join(f"('{k}', '{w}', '{g}')" for k, (w, _, g) in lexicon.SECTION_WEIGHTS.items())
+
+
+@query(
+    f"""WITH w(k, weight, guidance) AS (VALUES {_GUIDES}) SELECT doc_id, CASE coalesce(weight, 'medium') {_PROMPT} END || CASE WHEN coalesce(guidance, '') = '' THEN '' ELSE chr(10) || chr(10) || 'For this section: ' || guidance END AS prompt
+    FROM ({_SECTIONS}) LEFT JOIN w ON k = {_KEY}"""
+)
+def section_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = planning.with_weights(_sections(spark, sf_dir), "section", planning.weights(spark))
+    return weighted.select("doc_id", rendering.section_prompt(F.col("weight"), F.col("guidance")).alias("prompt"))

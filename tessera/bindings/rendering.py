@@ -86,3 +86,39 @@ def summary_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("section"), "lang").agg(F.min("doc_id").cast("string").alias("title"), F.count(F.lit(1)).alias("n"))
     parts = parts.select("lang", "section", "title", weight.alias("weight"), F.col("n").cast("string").alias("summary"), (F.col("n") > 30).alias("truncated"))
     return rendering.summary(parts, "lang", F.concat(F.lit("# "), F.col("lang")))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn + 1 AS rank, role AS filing_type, CASE WHEN turn % 2 = 0 THEN '2024-01-0' || (turn % 9 + 1) END AS filing_date, text, turn % 3 = 0 AS has_table FROM conversations WHERE turn < 10)
+    SELECT conv_id, count(*)::INT AS result_count, string_agg(filing_type || '|' || coalesce(filing_date, '-') || '|' || md5(text) || '|' || CASE WHEN has_table THEN 'c' || rank ELSE '-' END, ',' ORDER BY rank) AS results FROM r GROUP BY 1"""
+)
+def results_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten turns of a conversation as results, exported as JSON and read again."""
+    turns = table(spark, sf_dir, "conversations").where("turn < 10")
+    results = turns.select("conv_id", (F.col("turn") + 1).alias("rank"), F.col("role").alias("filing_type"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("2024-01-0"), F.col("turn") % 9 + 1)).alias("filing_date"), F.lit("s").alias("section"), F.lit(0.5).alias("score"), "text", (F.col("turn") % 3 == 0).alias("has_table"), F.lit("<table>").alias("table_html"), F.concat(F.lit("c"), F.col("turn") + 1).alias("table_caption"))
+    shown = rendering.results_json(results, "conv_id", "rank", {"query": F.lit("why?"), "mode": F.lit("hybrid"), "top_k": F.lit(10)})
+    read = shown.select("conv_id", F.from_json("json", "result_count int, results array<struct<filing_type:string,filing_date:string,text:string,table_caption:string>>").alias("j"))
+    line = F.transform("j.results", lambda r: F.concat_ws("|", r["filing_type"], F.coalesce(r["filing_date"], F.lit("-")), F.md5(r["text"]), F.coalesce(r["table_caption"], F.lit("-"))))
+    return read.select("conv_id", "j.result_count", F.array_join(line, ",").alias("results"))
+
+
+@query(
+    """WITH s AS (SELECT source AS section, lang, CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'medium' ELSE 'low' END AS weight, min(doc_id)::VARCHAR AS title, count(*) AS n FROM documents GROUP BY 1, 2)
+    SELECT lang, lang || ' summary' AS head, section, title, weight, n > 30 AS truncated, n || chr(10) || chr(10) || 'documents' AS summary FROM s"""
+)
+def summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries rendered and read again."""
+    weight = F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "medium").otherwise("low")
+    parts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("section"), "lang").agg(F.min("doc_id").cast("string").alias("title"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select("lang", "section", "title", weight.alias("weight"), F.concat(F.col("n"), F.lit("\n\ndocuments")).alias("summary"), (F.col("n") > 30).alias("truncated"))
+    rendered = rendering.summary(parts, "lang", F.concat(F.lit("# "), F.col("lang"), F.lit(" summary")))
+    return rendering.read_summary(rendered, "lang", "text").drop("at")
+
+
+@query("SELECT doc_id, length(text) AS chars, CASE WHEN doc_id % 4 = 0 THEN rtrim(substr(text, 1, 500)) ELSE '' END AS note FROM (SELECT doc_id, replace(text, chr(10) || chr(10), chr(10)) AS text FROM documents)")
+def marked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth document has a mark in front, without a blank line after it."""
+    bare = F.replace("text", F.lit("\n\n"), F.lit("\n"))
+    marked = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("**Note"), bare)).otherwise(bare)
+    note = F.regexp_replace(rendering.marked_note(marked, "**Note", 506), r"^\*\*Note", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(bare).alias("chars"), F.when(F.col("doc_id") % 4 == 0, note).otherwise(F.lit("")).alias("note"))
