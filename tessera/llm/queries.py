@@ -17,23 +17,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, whatever it holds: doc_id, n_words, n_tokens, n_unknown; zeros for null and empty texts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of maximal conversations: conv_id, part, piece, n_turns, text; rows alike count once; nulls as ``chat.format_chats`` says."""
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its counts, base_failed and kept; null and empty texts fail. Repeated rows each have a row."""
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")  # depends on the order of the rules
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item that it leaks: doc_id, item_id, share, answer_share; null and empty texts leak nothing."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; a null or empty text is one piece of the end's id."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -42,24 +47,29 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars; an empty text where the page is null, empty or has no article."""
     pages = _table(spark, sf_dir, "pages")
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, and the host's trust and distrust; null urls have an empty host and are allowed."""
     judged = urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
     return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id; null, empty and blank texts have fingerprint zero and are linked like any other."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; null texts are empty."""
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False).drop("removed")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_sha256; null and empty texts have one empty line, whose empty key never goes."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = lines.with_dropped(docs, lines.line_bitmaps(docs, min_docs=10, min_chars=1))
     return marked.select(
