@@ -142,15 +142,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x.as_py()) for x in batch.column(1)], pa.binary())], ["uid", "z"])
 
 
-_SEGMENT = "h long, seg long, uid long, lo long, place int, data binary, hot boolean"
+_SEGMENT = "h long, seg long, uid long, lo long, hi long, place long, data binary, hot boolean"
 
 
 def _segments(length: int):
-    """Rows (uid, z, hits) -> one row per hit with its segment's hash, and its bytes where this task didn't send them yet."""
+    """Rows (uid, z, hits) -> one row per hit with its segment's hash, first and last start, its anchor's place, and its bytes where this task didn't send them yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, sent = zstandard.ZstdDecompressor(), set()
-        schema = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("place", pa.int32()), ("data", pa.binary()), ("hot", pa.bool_())])
+        schema = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("place", pa.int64()), ("data", pa.binary()), ("hot", pa.bool_())])
         for batch in batches:
             for uid, z, hits in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("uid", "z", "hits")), strict=True):
                 text, uid, rows = unpack.decompress(z.as_py()), uid.as_py(), []
@@ -163,7 +163,7 @@ def _segments(length: int):
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(key)
-                    rows.append((hit["h"], seg, uid, lo, place, data if new else None, hit["hot"]))
+                    rows.append((hit["h"], seg, uid, lo, lo + more, lo + place, data if new else None, hit["hot"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -210,19 +210,19 @@ def _sort_blocks(length: int):
     return run
 
 
-_PART = "key long, seg long, uid long, lo long, hi long, place int, data binary"
+_PART = "key long, seg long, uid long, lo long, hi long, place long, data binary"
 
 
 def _parted(length: int, width: int):
     """Rows (uid, lo, hi, place, data) -> one row per range of ``width`` places of the anchor in a string.
 
-    ``data`` has the strings that start from ``lo`` to ``hi`` of a segment, whose anchor stands at
+    ``data`` has the strings that start from ``lo`` to ``hi``, whose anchor stands at
     ``place``. All strings of one range have some bytes around the anchor in common;
     ``key`` is the hash of these, so strings that are alike meet under one key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("key", "seg", "uid", "lo", "hi")] + [("place", pa.int32()), ("data", pa.binary())])
+        schema = pa.schema([(c, pa.int64()) for c in ("key", "seg", "uid", "lo", "hi", "place")] + [("data", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 out = []
@@ -240,44 +240,37 @@ def _parted(length: int, width: int):
 
 
 def _hot(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame | None:
-    """(uid, spans) for anchors that are found very often; None if there are none.
+    """(uid, lo, hi) for anchors that are found very often; None if there are none.
 
-    Each different segment's strings are parted, by the place of the anchor in them, into
+    A segment that its task had sent before is repeated, whole; so is the first one of a
+    task if others have it, too. Each segment that stands in one place alone is compared with
+    the other different ones: their strings are parted, by the place of the anchor in them, into
     ranges, and the bytes that all strings of a range share are the key under
     which they meet. Groups of up to HOT are sorted; larger ones are parted again into narrower ranges, which share
     more bytes, until a range is one string, whose key alone tells which are alike. So
     a segment makes a few rows a level, and only where its group stays large.
     """
-    known = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("data").alias("data"), F.max("place").alias("place"))
-    known = scratch.keep(known.select("*", F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("lo"), (F.length("data") - length).cast("long").alias("hi")), "hot-known")
+    single = F.col("n") == 1
+    known = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("data").alias("data"), *(F.max(c).alias(c) for c in ("uid", "lo", "hi", "place")))
+    # Where a segment stands in several places, its bytes alone count: any one of these places gives their lengths.
+    known = scratch.keep(known.select("h", "seg", "n", F.when(single, F.col("uid")).alias("uid"), *(F.when(single, F.col(c)).otherwise(v).alias(c) for c, v in (("lo", F.lit(0)), ("hi", F.length("data") - length), ("place", F.col("place") - F.col("lo")))), "data"), "hot-known")
     if not known.limit(1).count():
         return None
-    found = known.where("n > 1").select("uid", "lo", "hi")
+    spans = ["uid", "lo", "hi"]
+    others = known.where("n > 1").select("h", "seg")
+    found = segments.where("data is null").select(*spans).unionByName(segments.where("data is not null").join(others, ["h", "seg"], "left_semi").select(*spans))
     rest = known
     for k, width in enumerate(WIDTHS):
         parts = scratch.keep(rest.select("uid", "lo", "hi", "place", "data").mapInArrow(_parted(length, width), _PART), f"hot-parts-{k}")
         sizes = scratch.keep(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"hot-sizes-{k}")
         if width == 1:
-            return _placed(segments, known, found.unionByName(parts.join(sizes.select("key"), "key", "left_semi").select("uid", "lo", "hi")))
+            return found.unionByName(parts.where("uid is not null").join(sizes.select("key"), "key", "left_semi").select(*spans))
         few = parts.join(sizes.where(F.col("n") <= HOT).select("key"), "key", "left_semi").select(F.col("key").alias("h"), "seg", "uid", "lo", "data")
-        found = found.unionByName(few.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long"))
+        sorted_ = few.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long")
+        found = found.unionByName(sorted_.where("uid is not null"))
         rest = scratch.keep(parts.join(sizes.where(F.col("n") > HOT).select("key"), "key", "left_semi"), f"hot-rest-{k}")
         if not rest.limit(1).count():
-            return _placed(segments, known, found)
-
-
-def _placed(segments: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans within segments, given by their numbers -> (uid, spans) in texts: one row per place of a segment, whose spans are merged before they meet its places."""
-    ordered = F.array_sort(F.collect_set(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))))
-    state = "struct<done:array<struct<a:bigint,b:bigint>>,a:bigint,b:bigint>"
-    closed = lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
-    grown = lambda s, x: F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b")).cast(state)
-    opened = lambda s, x: F.struct(closed(s).alias("done"), x["a"].alias("a"), x["b"].alias("b")).cast(state)
-    zero = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")).cast(state)
-    merged = F.aggregate("each", zero, lambda s, x: F.when(x["a"] <= s["b"] + 1, grown(s, x)).otherwise(opened(s, x)), closed)
-    spans = found.groupBy("uid").agg(ordered.alias("each")).select("uid", merged.alias("spans")).join(known.select("uid", "h", "seg"), "uid").select("h", "seg", "spans")
-    at = segments.select("h", "seg", "uid", "lo").join(spans, ["h", "seg"])
-    return at.select("uid", F.transform("spans", lambda x: F.struct((F.col("lo") + x["a"]).alias("lo"), (F.col("lo") + x["b"]).alias("hi"))).alias("spans"))
+            return found
 
 
 def _cut(length: int):
@@ -330,8 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = scratch.keep(segments, "segments")
     cold = segments.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), "uid long, lo long, hi long")
     hot = _hot(segments.where("hot").drop("hot"), length, scratch)
-    found = cold.select("uid", F.array(F.struct("lo", "hi")).alias("spans"))
-    spans = (found if hot is None else found.unionByName(hot)).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = (cold if hot is None else cold.unionByName(hot)).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = packed.join(spans, "uid").select("uid", "z", "spans").mapInArrow(_cut(length), "uid long, removed array<struct<start:long,stop:long>>, kept binary")
     cut = cut.select("uid", "removed", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), *(["kept"] if with_kept else []))
 

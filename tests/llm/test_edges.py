@@ -32,7 +32,7 @@ def docs(spark):
 
 
 def _benchmark(spark):
-    return spark.createDataFrame([(1, "an item of seven words that nobody has", "clash"), (2, None, "clash"), (2, "", "clash"), (None, "a", "clash")], "item_id long, text string, leaks string")
+    return spark.createDataFrame([(1, "an item of seven words that nobody has", "clash"), (2, None, "clash"), (2, "", "clash"), (None, "zzz", "clash")], "item_id long, text string, leaks string")
 
 
 OPERATORS = {
@@ -81,7 +81,7 @@ def test_stages(spark, docs, tmp_path, name, stage):
     elif name == "near_dedup":
         assert sum((r["text"] or "").upper() == GOOD.upper() for r in found) == 1 and sum(not (r["text"] or "").strip() for r in found) == 1
     elif name in kept:
-        assert len(found) >= kept[name] - sum(t == "a" for _, t in rows) - 2
+        assert len(found) >= kept[name]
     assert stage(spark, frame.limit(0), str(tmp_path)).collect() == []
 
 
