@@ -32,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
 
     def _path(self, at: str, act):
@@ -43,8 +44,15 @@ class Scratch:
         """Writes the frame and returns it as read from the written table."""
         at = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(at)
+        self.names.add(name)
         return self.spark.read.schema(frame.schema).parquet(at)
 
     def drop(self, name: str) -> None:
         """Frees a table that nothing reads any more."""
         self._path(f"{self.root}/{name}", lambda fs, path: fs.delete(path, True))
+
+    def clear(self, *but: str) -> None:
+        """Frees all tables but those named: what is written from the others has all that it needs."""
+        for name in self.names - set(but):
+            self.drop(name)
+        self.names &= set(but)

@@ -124,4 +124,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = scratch.keep(_rooted(prints, scratch, most_bits, blocks).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._hash"), "stay")
     kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]) & (F.xxhash64(docs[text_col]) == stay["_hash"]), "left_semi")
     again = made.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    scratch.clear("stay")
     return kept.dropDuplicates([id_col, text_col]) if again else kept
