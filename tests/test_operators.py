@@ -457,3 +457,22 @@ def test_vectors_for_many_match_brute_force(spark, monkeypatch):
         if q % 6 == 0 and v:
             best = sorted(((round(sum(a * b for a, b in zip(v, w)), 6), k) for k, w in rows if w), key=lambda x: (-x[0], x[1]))[:4]
             assert sorted(got[q]) == [(n + 1, k, s) for n, (s, k) in enumerate(best)]
+
+
+def test_indexes_of_filings_calls_and_reports(spark):
+    body = "\n\n".join(words(40, "p") for _ in range(3))
+    filing = f"Item 1. Business\n{body}\n\n[TABLE: Sales]\nhead\nrow 1\n[/TABLE]\nItem 1A. Risks\n{words(30, 'r')}\n"
+    stored, chunks = index.index_filings(spark.createDataFrame([("f1", filing)], "hash string, text string"))
+    assert {r["section_id"]: r["title"] for r in stored.collect()} == {"f1_Item-1": "Business", "f1_Item-1A": "Risk Factors"}
+    rows = chunks.orderBy("section_id", "chunk_index").collect()
+    assert [(r["section_id"], r["chunk_index"], r["content_type"], r["table_caption"], r["next_chunk_id"]) for r in rows] == [("f1_Item-1", 0, "text", "", "f1_Item-1_1"), ("f1_Item-1", 1, "table", "Sales", None), ("f1_Item-1A", 0, "text", "", None)]
+    whole = {r["chunk_id"]: r["section_content"] for r in index.section_of(chunks, stored).collect()}
+    assert whole["f1_Item-1_1"].startswith("p0") or body in whole["f1_Item-1_1"]
+    call = "Acme (ACME)\nQ1 2024 Call\nJanuary 5, 2024\nParticipants\nAnn Lee - CEO\nPresentation\nAnn Lee\nhello\nQuestions and Answers\nAnn Lee\nyes"
+    spoken = index.index_calls(spark.createDataFrame([("c1", call)], "hash string, text string")).orderBy("chunk_index").collect()
+    assert [(r["chunk_id"], r["ticker"], r["filing_date"], r["next_chunk_id"]) for r in spoken] == [("c1_0", "ACME", "2024-01-05", "c1_1"), ("c1_1", "ACME", "2024-01-05", None)]
+    page = "Harbor Street Capital\nNYSE: ACME\nRating: Buy\nValuation\n" + words(30)
+    made = index.index_reports(spark.createDataFrame([("r1", [page])], "hash string, pages array<string>"))
+    (row,) = made.collect()
+    assert (row["chunk_id"], row["section"], row["rating"], row["firm"], row["doc_type"]) == ("r1_0", "Valuation", "Buy", "Harbor Street Capital", "analyst_report")
+    assert index.records(made).first()["filing_type"] == "analyst_report"
