@@ -42,10 +42,17 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "chunk")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_UNITS}, d AS (SELECT doc_id, list(n::BIGINT ORDER BY k) AS ns, list(alone ORDER BY k) AS al, list(t ORDER BY k) AS ts, count(*) AS m FROM u GROUP BY 1),
+    g AS (SELECT doc_id, 1::BIGINT AS k, 1::BIGINT AS st, 0 AS chunk FROM d UNION ALL SELECT doc_id, k + 1,
+      CASE WHEN al[k + 1] OR al[k] THEN k + 1 WHEN list_sum(ns[st:k]) + ns[k + 1] > 100 THEN k + 1 - list_max(list_filter(range(0, k - st + 2), lambda j: coalesce(list_sum(ns[k - j + 1:k]), 0) <= 25)) ELSE st END,
+      chunk + CASE WHEN al[k + 1] OR al[k] OR list_sum(ns[st:k]) + ns[k + 1] > 100 THEN 1 ELSE 0 END FROM g JOIN d USING (doc_id) WHERE k < m)
+    SELECT doc_id, chunk::BIGINT AS chunk_index, array_to_string(any_value(ts)[min(st):max(k)], chr(10) || chr(10)) AS chunk FROM g JOIN d USING (doc_id) GROUP BY 1, 2"""
+)
 def pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk starts with as many of the last paragraphs as have 25 words together."""
     packed = chunking.pack(chunking.paragraphs(F.col("text")), 100, overlap=25)
-    return _parts(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "chunk"))
+    return _parts(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_index", "chunk")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(

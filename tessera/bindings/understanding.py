@@ -70,7 +70,17 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("x") > 0).select("o_orderkey", F.array_join("x", "|").alias("expansions"))
 
 
-@query()
+_ORDERED = ", ".join(f"({h}, {i}, {_sql(k)}, {_sql(x)})" for h, (k, v) in enumerate(lexicon.SYNONYMS.items()) for i, x in enumerate(v))
+
+
+@query(
+    f"""WITH a(i, name, phrase) AS (VALUES {_ACRONYMS}), s(h, i, head, synonym) AS (VALUES {_ORDERED}), asked AS ({_ASK}),
+    ws AS (SELECT o_orderkey, q, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_&/-]+') AS ws FROM asked), w AS (SELECT o_orderkey, q, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM ws),
+    found AS (SELECT o_orderkey, q, phrase AS x, pos AS place FROM w JOIN a ON upper(word) = name UNION ALL SELECT o_orderkey, q, name, 1000000 + i FROM asked JOIN a ON contains(lower(q), lower(phrase))
+      UNION ALL SELECT o_orderkey, q, synonym, 2000000 + 1000 * pos + i FROM w JOIN s ON lower(word) = head WHERE NOT contains(head, ' ') UNION ALL SELECT o_orderkey, q, synonym, 3000000 + 1000 * h + i FROM asked JOIN s ON contains(lower(q), head) WHERE contains(head, ' ')),
+    first AS (SELECT o_orderkey, x, min(place) AS place FROM found WHERE NOT contains(lower(q), lower(x)) GROUP BY 1, 2)
+    SELECT asked.o_orderkey, any_value(q) || coalesce(string_agg(' OR ' || CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END, '' ORDER BY place), '') AS text_query FROM asked LEFT JOIN first USING (o_orderkey) GROUP BY 1"""
+)
 def text_query_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("q")
     return _asked(spark, sf_dir).select("o_orderkey", understanding.text_query(q, understanding.expand(q)).alias("text_query"))
