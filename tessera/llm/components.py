@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low"))
-    low = low.select("a", F.least("a", "low").alias("low"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark parts a partition that the hub of a star fills.
+    low = scratch.keep(low.select("a", F.least("a", "low").alias("low")), name)
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
@@ -40,8 +41,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 50) -> Dat
     for k in range(1, most_rounds + 1):
         if not seen[0]:
             break
-        now = scratch.keep(oriented(_small_star(_large_star(now))), f"edges-{k}")
+        now = scratch.keep(oriented(_small_star(_large_star(now, scratch, f"low-{k}"))), f"edges-{k}")
         scratch.drop(f"edges-{k - 1}")
+        scratch.drop(f"low-{k}")
         before, seen = seen, mark(now)
         if before == seen:
             break

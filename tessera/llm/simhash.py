@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     rooted = _rooted(prints, scratch, most_bits, blocks)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # Written, so that both sides of the join are plain shuffles, of which Spark parts a partition that one fingerprint fills.
+    named = scratch.keep(rooted.join(least, "root").select("fp", "component_id"), "named")
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
