@@ -30,6 +30,24 @@ def files(spark: SparkSession, pattern: str) -> DataFrame:
     return read.select("path", F.md5("content").alias("hash"), "content", F.col("modificationTime").alias("modified"))
 
 
+def listing(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
+    """(source, path, name, modified, bytes) of the files that each source's pattern names; their content isn't read."""
+    from functools import reduce
+
+    each = lambda source, pattern: spark.read.format("binaryFile").load(pattern).select(F.lit(source).alias("source"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return reduce(DataFrame.unionByName, (each(*x) for x in patterns.items()))
+
+
+def inventory(listed: DataFrame) -> DataFrame:
+    """(source, files, bytes, newest) of a listing, and of all sources together (null)."""
+    return listed.rollup("source").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("newest"))
+
+
+def write_texts(rendered: DataFrame, at: str, path_col: str = "path", text_col: str = "text") -> None:
+    """Writes each rendered text as a file of its own, in a folder named by its path's value."""
+    rendered.select(path_col, text_col).write.mode("overwrite").partitionBy(path_col).text(at, lineSep="\n")
+
+
 def texts(frame: DataFrame) -> DataFrame:
     """Files with their content as text; bytes that aren't UTF-8 become the replacement character."""
     return frame.withColumn("text", F.decode("content", "utf-8")).drop("content")
