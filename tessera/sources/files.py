@@ -31,7 +31,7 @@ def files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
-    """(source, path, name, modified, bytes) of the files that each source's pattern names; their content isn't read."""
+    """(source, path, name, modified, bytes) of the files that each source's pattern names; their content isn't read, and empty files are left out."""
     from functools import reduce
 
     each = lambda source, pattern: spark.read.format("binaryFile").load(pattern).select(F.lit(source).alias("source"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))

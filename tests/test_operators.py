@@ -479,12 +479,12 @@ def test_indexes_of_filings_calls_and_reports(spark):
 
 
 def test_listing_inventory_and_written_texts(spark, tmp_path):
-    for name, data in (("a/x.pdf", b"12"), ("a/y.pdf", b"123"), ("b/z.pdf", b"")):
+    for name, data in (("a/x.pdf", b"12"), ("a/y.pdf", b"123"), ("b/z.pdf", b"1")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     listed = files.listing(spark, {"calls": f"{tmp_path}/a/*.pdf", "reports": f"{tmp_path}/b/*.pdf"})
-    assert sorted((r["source"], r["name"], r["bytes"]) for r in listed.collect()) == [("calls", "x.pdf", 2), ("calls", "y.pdf", 3), ("reports", "z.pdf", 0)]
-    assert {r["source"]: (r["files"], r["bytes"]) for r in files.inventory(listed).collect()} == {"calls": (2, 5), "reports": (1, 0), None: (3, 5)}
+    assert sorted((r["source"], r["name"], r["bytes"]) for r in listed.collect()) == [("calls", "x.pdf", 2), ("calls", "y.pdf", 3), ("reports", "z.pdf", 1)]
+    assert {r["source"]: (r["files"], r["bytes"]) for r in files.inventory(listed).collect()} == {"calls": (2, 5), "reports": (1, 1), None: (3, 6)}
     files.write_texts(spark.createDataFrame([("q1", "# a\n\nb"), ("q2", "c")], "path string, text string"), str(tmp_path / "out"))
     back = files.texts(files.files(spark, f"{tmp_path}/out/path=*/*.txt")).select("path", "text").collect()
     assert sorted(r["text"].strip("\n") for r in back) == ["# a\n\nb", "c"]
