@@ -184,10 +184,12 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
 
     Only the number of pieces of each length (``capacity`` numbers at most)
     comes to the driver, where best-two-fit plans kinds of sequences. Pieces
-    are ranked within their length, in buckets, and ranks pick their places
-    in the plan; equal rows may swap places. Pieces must be of length 1 to ``capacity``.
+    are numbered as they are written, ranked within their length, in buckets by that number, so that
+    rows alike are dealt out, too, and ranks pick their places
+    in the plan. Pieces must be of length 1 to ``capacity``. An empty table gives an empty result.
     """
     spark = cut.sparkSession
+    cut = Scratch(spark, "packing").keep(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("a piece doesn't fit")
@@ -206,12 +208,12 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     plan = spark.sparkContext.broadcast((np.array([n * step + r for n, r, _, _ in flat], np.int64), np.array([r for _, r, _, _ in flat], np.int64), np.array([b for _, _, b, _ in flat], np.int64), np.array([o for _, _, _, o in flat], np.int64)))
 
     buckets = 1 + max(counts.values(), default=0) // RANKED
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranks = dealt.withColumn("_nth", nth).join(sizes, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_bucket", "_nth", "_before")
+    nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1
+    ranks = dealt.withColumn("_nth", nth).join(sizes, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_row", "_bucket", "_nth", "_before")
 
     schema = T.StructType([f for f in ranks.schema.fields if f.name != "_rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -227,9 +229,8 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """Tokenises, cuts and packs: one row per piece with its place. Rows of ``docs`` alike are documents each."""
-    scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.keep(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces"), capacity)
+    """Tokenises, cuts and packs: one row per piece with its place. Rows of ``docs`` alike are documents each; other columns are ignored."""
+    return pack(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
