@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +26,26 @@ bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
        FROM tf JOIN df USING (token) JOIN dl USING (doc_id), stats GROUP BY 1)"""
 
 
-_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+#: Where the index of a table stands, by session and table.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
-    """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries."""
+    """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries; again if it is gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="tessera-index-")
-        _INDEXES[key] = text_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{at.rstrip('/')}/text-index-{uuid.uuid4().hex}")
-    return _INDEXES[key]
+    if key in _INDEXES:
+        try:
+            return text_index.open_index(spark, _INDEXES[key])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tessera-index-")
+    _INDEXES[key] = f"{at.rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    return text_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), _INDEXES[key])
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,10 @@ def build(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "tex
     dealt = counted.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(PARTS))).sortWithinPartitions("bucket", "token")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
     words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).write.mode("overwrite").parquet(f"{at}/stats")
-    return open_index(docs.sparkSession, at, id_col)
+    return open_index(docs.sparkSession, at, id_col, dict(docs.dtypes)[id_col])
 
 
-def open_index(spark: SparkSession, at: str, id_col: str = "doc_id") -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/stats"), id_col)
+def open_index(spark: SparkSession, at: str, id_col: str = "doc_id", id_type: str = "bigint") -> TextIndex:
+    """A written index, which may be that of no texts at all."""
+    postings = spark.read.schema(f"token string, {id_col} {id_type}, tf int, dl int, bucket int").parquet(f"{at}/postings")
+    return TextIndex(postings, spark.read.parquet(f"{at}/stats"), id_col)
