@@ -99,19 +99,23 @@ def read_form4(forms: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     return forms.select(id_col, F.from_xml(clean_xml(F.col(xml_col)), FORM, {"rowTag": "ownershipDocument"}).alias("form"))
 
 
+def _owner() -> Column:
+    first = F.try_element_at("form.reportingOwner", F.lit(1))
+    return F.coalesce(_text(first["reportingOwnerId"]["rptOwnerName"]), _text(first["reportingOwnerName"]), _text(F.col("form.reportingOwnerName"), ""))
+
+
 def filings(read: DataFrame, id_col: str) -> DataFrame:
     """(id, period, issuer, issuer_cik, ticker, owner, owner_cik, is_director, is_officer, is_ten_percent_owner, is_other, title, role): the first reporting owner; flags are true where they say 1."""
     first = F.try_element_at("form.reportingOwner", F.lit(1))
     relation = first["reportingOwnerRelationship"]
     flag = lambda name: F.coalesce(F.trim(relation[name]) == "1", F.lit(False)).alias(name)
-    owner = F.coalesce(_text(first["reportingOwnerId"]["rptOwnerName"]), _text(first["reportingOwnerName"]), _text(F.col("form.reportingOwnerName"), ""))
     out = read.select(
         id_col,
         parse_date(F.trim("form.periodOfReport")).alias("period"),
         _text(F.col("form.issuer.issuerName"), "").alias("issuer"),
         _text(F.col("form.issuer.issuerCik"), "").alias("issuer_cik"),
         _text(F.col("form.issuer.issuerTradingSymbol"), "").alias("ticker"),
-        owner.alias("owner"),
+        _owner().alias("owner"),
         _text(first["reportingOwnerId"]["rptOwnerCik"], "").alias("owner_cik"),
         *map(flag, ("isDirector", "isOfficer", "isTenPercentOwner", "isOther")),
         _text(relation["officerTitle"], "").alias("title"),
@@ -120,18 +124,21 @@ def filings(read: DataFrame, id_col: str) -> DataFrame:
     return out.withColumn("role", role(F.col("title"), F.col("is_officer"), F.col("is_director"), F.col("is_ten_percent_owner")))
 
 
-def transactions(read: DataFrame, id_col: str) -> DataFrame:
-    """(id, derivative, nth, security, date, code, shares, price, sign, owned_after, ownership) of transactions with a date.
+def transactions(read: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """(id, derivative, nth, security, date, code, shares, price, sign, owned_after, ownership) of transactions with a date, and ``more`` columns of ``read``.
 
     Shares default to 0, the sign to A, ownership to D. A derivative's missing price
-    is its conversion or exercise price, and its ownership counts as direct.
+    is its conversion or exercise price, and its ownership counts as direct. Both
+    kinds come out of one pass, so each form is parsed once.
     """
-    each = lambda path, derivative: read.select(id_col, F.lit(derivative).alias("derivative"), F.posexplode(path).alias("nth", "t"))
-    both = each("form.nonDerivativeTable.nonDerivativeTransaction", False).unionByName(each("form.derivativeTable.derivativeTransaction", True))
+    each = lambda path, derivative: F.transform(F.coalesce(path, F.array().cast(f"array<{_TRANSACTION}>")), lambda t, i: F.struct(F.lit(derivative).alias("derivative"), i.alias("nth"), t.alias("t")))
+    listed = F.concat(each("form.nonDerivativeTable.nonDerivativeTransaction", False), each("form.derivativeTable.derivativeTransaction", True))
+    both = read.select(id_col, *more, F.inline(listed))
     amounts, derivative = F.col("t.transactionAmounts"), F.col("derivative")
     price = parse_decimal(amounts["transactionPricePerShare"]["value"])
     return both.select(
         id_col,
+        *more,
         "derivative",
         "nth",
         _text(F.col("t.securityTitle.value"), "").alias("security"),
@@ -161,4 +168,4 @@ def holdings(read: DataFrame, id_col: str) -> DataFrame:
 def parse_form4(forms: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """``transactions`` of forms with their owner."""
     read = read_form4(forms, id_col, xml_col)
-    return transactions(read, id_col).join(filings(read, id_col).select(id_col, "owner"), id_col)
+    return transactions(read.withColumn("owner", _owner()), id_col, "owner")
