@@ -31,6 +31,15 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
   OR (n_lines > 3 AND 10 * {_FOUND.format('(?m)^[' + chr(92) + 'x20' + chr(92) + 'x09]*[-*•][' + chr(92) + 'x20' + chr(92) + 'x09]')} > 9 * n_lines) AS rejected FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b"""
 
+JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * met.n >= 90 * (a.n + b.n - met.n)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1"""
+
 _SHIELDED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 _ROLE = _SHIELDED.format(r"replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n')")
 
