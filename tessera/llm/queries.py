@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html, jaccard, lines, oracles, packing, quality, simhash, suffixes, tokens, urls
+from tessera.llm import chat, decontaminate, html, jaccard, lines, mining, oracles, packing, quality, simhash, suffixes, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per anchor, positive and hard negative: anchor_id, positive_id, rank, negative_id and both scores; odd rows as ``mining.mine`` says."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mining.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; null, empty and blank texts have no shingles and keep their own id."""
     return jaccard.link_documents(_table(spark, sf_dir, "documents"), width=3, percent=90)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
     "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
@@ -105,5 +112,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_formatting": oracles.CHAT,
     "op7_url_filters": oracles.urls(URL_RULES),
     "op10_line_dedup": oracles.LINES,
+    "op11_hard_negative_mining": oracles.MINING,
     "op13_ngram_jaccard_join": oracles.JACCARD,
 }
