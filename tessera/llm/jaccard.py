@@ -22,6 +22,8 @@ PAIRWISE_MOST = 32
 GROUP = 1 << 19
 #: Least ratio of the largest to the smallest size of a band.
 STRETCH = 1.5
+#: Words of the sketch that candidates are compared by before their sets are.
+WORDS = ["s1", "s2", "s3", "s4"]
 _SLICE = 256
 _ODD = np.random.default_rng(13).integers(0, 1 << 64, 3, np.uint64) | np.uint64(1)
 
@@ -83,24 +85,24 @@ class Bands:
 
 
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, text) -> (doc_id, text_hash, n_shingles, set_id, s1, s2, keys): two words of a sketch of fixed length, keys of the blocks."""
+    """(doc_id, text_hash, text) -> (doc_id, text_hash, n_shingles, set_id, s1 to s4, keys): a sketch of fixed length, keys of the blocks."""
     longs = T.LongType()
-    schema = T.StructType([*docs.schema.fields[:2], T.StructField("n_shingles", longs), T.StructField("set_id", T.BinaryType()), T.StructField("s1", longs), T.StructField("s2", longs), T.StructField("keys", T.ArrayType(longs))])
+    schema = T.StructType([*docs.schema.fields[:2], T.StructField("n_shingles", longs), T.StructField("set_id", T.BinaryType()), *(T.StructField(c, longs) for c in WORDS), T.StructField("keys", T.ArrayType(longs))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                n, names, both, keys = [], [], [], []
+                n, names, fixed, keys = [], [], [], []
                 for text in part.column(2):
                     found = _shingles(text.as_py(), width)
                     n.append(len(found))
                     names.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    both.append(_sketch(found, 2).view(np.int64))
+                    fixed.append(_sketch(found, len(WORDS)).view(np.int64))
                     keys.append(bands.keys(found))
-                both = np.array(both)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))], schema.names)
+                fixed = np.array(fixed)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), *map(pa.array, fixed.T), pa.array(keys, pa.list_(pa.int64()))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -119,8 +121,8 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether sets of these prefixes' sizes and sketches can link: Hamming distance and difference of sizes are no more than the shingles that may differ."""
-    apart = F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
-    return F.greatest(apart, F.abs(F.col(f"{a}n") - F.col(f"{b}n"))) * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+    apart = sum(F.bit_count(F.col(f"{a}_{w}").bitwiseXOR(F.col(f"{b}_{w}"))) for w in WORDS)
+    return F.greatest(apart, F.abs(F.col(f"{a}_n") - F.col(f"{b}_n"))) * (100 + percent) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent)
 
 
 def _compare(percent: int):
@@ -149,29 +151,27 @@ def _compare(percent: int):
     return run
 
 
-def _rooted(nodes: DataFrame, rows: DataFrame, again: bool, scratch: Scratch, rounds: list[Scratch], width: int, percent: int) -> DataFrame:
-    """(node, doc_id, text_hash, n, s1, s2, keys) and (doc_id, text_hash, text) -> (node, root) of the sets with a link; ``again``: rows may be alike.
+def _rooted(nodes: DataFrame, met: DataFrame, rows: DataFrame, again: bool, scratch: Scratch, rounds: list[Scratch], width: int, percent: int) -> DataFrame:
+    """(node, doc_id, text_hash), blocks that sets share (key, m, node, n, sketch) and (doc_id, text_hash, text) -> (node, root) of the sets with a link; ``again``: rows may be alike.
 
     Sets that share a block with few others are compared in pairs. Where many share a block they
     are compared with its centre, the set that meets most others over all blocks; what then
     stands outside the block's largest component is compared, in groups, with all sets of other
     components there. So every two sets that share a block are compared or are in one component already.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "s1", "s2")
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
-    met = scratch.keep(keyed.join(shared, "key"), "met")
-    named = nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
-    texts = rows.join(named, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash"))).select("node", "text")
-    sets = scratch.keep(_sets(texts.dropDuplicates(["node"]) if again else texts, width), "sets")
-
-    side = lambda frame, c: frame.select("key", F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("s1").alias(f"{c}1"), F.col("s2").alias(f"{c}2"))
+    side = lambda frame, c: frame.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *WORDS)))
     cold, hot = met.where(F.col("m") <= PAIRWISE_MOST), met.where(F.col("m") > PAIRWISE_MOST)
     pairs = side(cold, "a").join(side(cold, "b"), "key").where((F.col("a") > F.col("b")) & _may_link("a", "b", percent)).select("a", "b")
     degree = hot.groupBy("node").agg(F.sum("m").alias("degree"))
-    centre = hot.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", "s1", "s2")).alias("c"))
-    centre = scratch.keep(centre.select("key", "c.node", "c.n", "c.s1", "c.s2"), "centres")
+    centre = hot.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", *WORDS)).alias("c"))
+    centre = scratch.keep(centre.select("key", *(f"c.{x}" for x in ("node", "n", *WORDS))), "centres")
     stars = side(hot, "a").join(side(centre, "b"), "key").where((F.col("a") != F.col("b")) & _may_link("a", "b", percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     wanted = scratch.keep(pairs.unionByName(stars).distinct(), "pairs")
+
+    wanted_nodes = wanted.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
+    named = nodes.join(wanted_nodes, "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
+    texts = rows.join(named, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash"))).select("node", "text")
+    sets = scratch.keep(_sets(texts.dropDuplicates(["node"]) if again else texts, width), "sets")
     both = F.size(F.array_intersect("set_a", "set_b"))
     there = wanted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     edges = scratch.keep(there.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "links")
@@ -212,17 +212,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch, rounds = Scratch(spark, "jaccard"), [Scratch(spark, "jaccard-rounds") for _ in range(2)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.encode(F.col(text_col), "utf-8").alias("text"))
     signed = scratch.keep(_signed(rows, width, percent), "signed")
-    found = signed.where("n_shingles > 0")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("text_hash"))).alias("first")
-    grouped = found.groupBy("set_id").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("s1", "s2", "keys")))
-    nodes = scratch.keep(grouped.select(F.monotonically_increasing_id().alias("node"), "set_id", "first.doc_id", "first.text_hash", "rows", "n", "s1", "s2", "keys"), "nodes")
+    grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*WORDS, "keys")))
+    wide = scratch.keep(grouped.select(F.monotonically_increasing_id().alias("node"), "set_id", "first.doc_id", "first.text_hash", "rows", "n", *WORDS, "keys"), "wide")
     again = signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    linked = _rooted(nodes, rows, bool(again), scratch, rounds, width, percent)
+    sized = scratch.keep(signed.select("doc_id", "n_shingles", "set_id"), "sized")
+    scratch.drop("signed")
+    keyed = wide.select(F.explode("keys").alias("key"), "node")
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(keyed, "key"), "shared")
+    nodes = scratch.keep(wide.drop("keys"), "nodes")
+    scratch.drop("wide")
+    met = scratch.keep(shared.join(nodes.select("node", "n", *WORDS), "node"), "met")
+    linked = _rooted(nodes, met, rows, bool(again), scratch, rounds, width, percent)
     rooted = scratch.keep(nodes.select("node", "set_id", "doc_id", "rows").join(linked, "node", "left").select("set_id", "doc_id", "rows", F.coalesce("root", "node").alias("root")), "components")
     least = scratch.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "least")
     named = scratch.keep(join_named(rooted.select("set_id", "rows", "root"), least, "root", "sets").select("set_id", "rows", "component_id"), "named")
-    sized = signed.select("doc_id", "n_shingles", "set_id")
     for done in (*rounds, scratch):
-        done.clear("signed", "named")
+        done.clear("sized", "named")
     blank = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return join_named(sized.where("n_shingles > 0"), named, "set_id", "rows").select("doc_id", "n_shingles", "component_id").unionByName(blank)
