@@ -49,6 +49,49 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5"""
 
+def _way(rest: str, cost: str, edit: str) -> str:
+    """An edit before a way, which is nine digits of cost and the audit, so that the least string is the best way."""
+    return f"printf('%09d', substr({rest}, 1, 9)::BIGINT + {cost}) || '{edit}' || substr({rest}, 10)"
+
+
+def _step() -> str:
+    """The ways from nothing, after s, u and a (b0, bs, bu, ba), one row earlier."""
+    out, extra = [], "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    for state, to, keeps in (("b0", "bu", {"s": "bs", "u": "bu"}), ("bs", "bu", {"u": "bu"}), ("bu", "ba", {"a": "ba"}), ("ba", "bu", {"u": "bu"})):
+        keep = " ".join(f"WHEN initial = '{i}' THEN {_way(then, extra, 'K')}" for i, then in keeps.items())
+        out.append(f"least({_way(state, '4', 'D')}, CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE {_way(to, '3 + ' + extra, 'R')} END, CASE WHEN fault IN ('blank', 'duplicate') THEN NULL {keep} END) AS {state}")
+    return ", ".join(out)
+
+
+#: Rows are numbered backwards, so step k of the recursion puts row k before what stands after it.
+REPAIR = rf"""
+WITH RECURSIVE bytes AS (SELECT range AS b, list_reduce([range, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256)),
+crc AS (SELECT list(t ORDER BY b) AS t FROM bytes),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ord(name[i])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM named, crc),
+copied AS (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy FROM copied),
+ends AS (SELECT *, rtrim(text, {_BLANK}) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+told AS (SELECT conv_id, turn, role, text, k, n - k AS back, n, substr(role, 1, 1) AS initial,
+  CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(last, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM ends),
+pairs AS (SELECT *, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial NOT IN ('su', 'ua', 'au'), false) AS bad FROM told),
+counts AS (SELECT conv_id, any_value(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM pairs GROUP BY 1),
+ways AS (
+  SELECT conv_id, n, 0 AS k, printf('%09d', 0) AS b0, printf('%09d', 6) || 'II' AS bs, printf('%09d', 3) || 'I' AS bu, printf('%09d', 0) AS ba FROM counts
+  UNION ALL
+  SELECT conv_id, n, k, least(b0, {_way('least(bu, ' + _way('ba', '3', 'I') + ')', '3', 'I')}) AS b0, least(bs, {_way('least(bu, ' + _way('ba', '3', 'I') + ')', '3', 'I')}) AS bs, least(bu, {_way('ba', '3', 'I')}) AS bu, least(ba, {_way('bu', '3', 'I')}) AS ba
+  FROM (SELECT w.conv_id, w.n, w.k + 1 AS k, {_step()} FROM ways w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.back = w.k)),
+best AS (SELECT conv_id, n, substr(b0, 1, 9)::BIGINT AS cost, substr(b0, 10) AS audit FROM ways WHERE k = n),
+edits AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS spot FROM best WHERE audit <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS k FROM edits),
+kept AS (SELECT p.conv_id, spot, edit, CASE WHEN edit = 'K' THEN initial END AS initial, CASE WHEN edit = 'K' THEN role END AS role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text
+  FROM placed p LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.k = p.k WHERE edit <> 'D'),
+numbered AS (SELECT *, max(CASE WHEN initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system, row_number() OVER (PARTITION BY conv_id ORDER BY spot) AS i FROM kept),
+lines AS (SELECT conv_id, i, coalesce(role, CASE WHEN (i - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text AS line FROM numbered),
+hashed AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS sha FROM lines GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 _SHIELDED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 _ROLE = _SHIELDED.format(r"replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n')")
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html, jaccard, lines, mining, oracles, packing, quality, simhash, suffixes, tokens, urls
+from tessera.llm import chat, decontaminate, html, jaccard, lines, mining, oracles, packing, quality, repair, simhash, suffixes, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,15 @@ def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, damaged as ``repair.damage`` says: conv_id, its faults, cost, audit and repaired_sha256; zeros and empty texts where no row is left."""
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damage(rows)).withColumnRenamed("conv_id", "_id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; null, empty and blank texts have no shingles and keep their own id."""
     return jaccard.link_documents(_table(spark, sf_dir, "documents"), width=3, percent=90)
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negative_mining": op11_hard_negative_mining,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
@@ -113,5 +123,6 @@ ORACLES: dict[str, str] = {
     "op7_url_filters": oracles.urls(URL_RULES),
     "op10_line_dedup": oracles.LINES,
     "op11_hard_negative_mining": oracles.MINING,
+    "op12_conversation_repair": oracles.REPAIR,
     "op13_ngram_jaccard_join": oracles.JACCARD,
 }

@@ -5,7 +5,7 @@ from tests import oracle
 pytestmark = pytest.mark.skipif(not oracle.DATA.exists(), reason="no tables here")
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_chat_formatting", "op7_url_filters", "op10_line_dedup", "op11_hard_negative_mining", "op13_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_chat_formatting", "op7_url_filters", "op10_line_dedup", "op11_hard_negative_mining", "op12_conversation_repair", "op13_ngram_jaccard_join"])
 def test_query_matches_its_sql(spark, name):
     from tessera.llm import queries
 
