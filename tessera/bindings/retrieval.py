@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tessera.catalog import query, table
 from tessera.functions import text as text_functions
 from tessera.operators import filters, retrieval
 from tessera.plans import text_index
+from tessera.sources import folders
 
 QUERY = "the thing that was there, on and of"
 _TERMS = "SELECT unnest(['the','thing','that','was','there','on','and','of']) AS term"
@@ -26,26 +26,27 @@ bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
        FROM tf JOIN df USING (token) JOIN dl USING (doc_id), stats GROUP BY 1)"""
 
 
-#: Where the index of a table stands, by session and table.
+#: Where the index of a table stands, by session and state of the table.
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
-    """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries; again if it is gone."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _INDEXES:
-        try:
-            return text_index.open_index(spark, _INDEXES[key])
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share; a temporary one only where none is set and Spark runs locally."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tessera-index-")
-    _INDEXES[key] = f"{at.rstrip('/')}/text-index-{uuid.uuid4().hex}"
-    return text_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), _INDEXES[key])
+        at = tempfile.mkdtemp(prefix="tessera-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries; again if the table's files have changed or the index is gone."""
+    key = (spark.sparkContext.applicationId, folders.fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key in _INDEXES and folders.names(spark, _INDEXES[key]):
+        return text_index.open_index(spark, _INDEXES[key])
+    _INDEXES[key] = new_folder(spark, "text-index")
+    return text_index.create(table(spark, sf_dir, "documents").select("doc_id", "text"), _INDEXES[key])
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:

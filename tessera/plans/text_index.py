@@ -1,73 +1,297 @@
-"""Inverted index of texts: written once, read for the terms of a question alone."""
+"""Text index in segments: chunks, postings with positions and a dictionary, that grow, lose sources and are merged, version by version."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions import boolean
 from tessera.functions import text as text_functions
 from tessera.operators.retrieval import B, K1, query_terms
+from tessera.sources import folders
 
-#: Folders that tokens are dealt to by hash, and parts of each by document, so that a common token is no single task.
-BUCKETS, PARTS = 32, 8
+#: Folders that a segment's tokens are dealt to at least, and token occurrences of a file, about.
+BUCKETS, PER_FILE = 32, 4_000_000
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def _norm() -> Column:
+    return K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (token, id, tf, dl) by bucket of the token, ordered by it, and one row of statistics (n, avgdl)."""
+    """One version of an index under ``at``; it reads the same whatever is written meanwhile.
 
-    postings: DataFrame
-    stats: DataFrame
-    id_col: str
+    A segment holds ``chunks`` (all columns given, with ``dl``, the number of tokens), ``postings`` (token, id, tf, dl,
+    positions; by bucket of the token, ordered by it) and ``terms`` (token, df). Deleted ids stand in
+    ``dead`` tables with the counts of the terms that go with them, so numbers of documents, tokens and documents
+    of a term are sums over segments less what is dead, and are those of an index built anew. Ids of living chunks
+    must differ; null ids are left out, null texts are empty.
+    """
 
-    def bm25(self, query: str, k: int = 10, chosen: DataFrame | None = None) -> DataFrame:
-        """(id, score) of the ``k`` best texts, ties by id; ``chosen`` (ids) limits what is ranked, not the statistics.
+    spark: SparkSession
+    at: str
+    state: dict = field(hash=False)
 
-        Only files of the terms' buckets are read, and of these the row groups that may hold
-        a term; only postings of the terms are shuffled.
-        """
+    @property
+    def id_col(self) -> str:
+        return self.state["id_col"]
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
+
+    # What is there
+
+    def count(self) -> int:
+        """Number of living chunks."""
+        return sum(s["rows"] for s in self.state["segments"]) - sum(d["rows"] for d in self.state["dead"])
+
+    def _stats(self) -> list[Column]:
+        n = self.count()
+        tokens = sum(s["tokens"] for s in self.state["segments"]) - sum(d["tokens"] for d in self.state["dead"])
+        return [F.lit(n).alias("n"), F.lit(tokens / n if n else 0.0).alias("avgdl")]
+
+    def _table(self, kind: str, schema: str, segments: list[dict] | None = None) -> DataFrame:
+        """Rows of all segments, each with its segment's name."""
+        read = lambda s: self.spark.read.schema(schema).parquet(f"{self.at}/segments/{s['name']}/{kind}").withColumn("segment", F.lit(s["name"]))
+        frames = [read(s) for s in (self.state["segments"] if segments is None else segments)]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema + ", segment string")
+
+    @property
+    def _id(self) -> str:
+        return f"`{self.id_col}` {self.state['id_type']}"
+
+    def _dead(self, kind: str, schema: str) -> DataFrame | None:
+        paths = list(dict.fromkeys(f"{self.at}/dead/{d['name']}/{kind}" for d in self.state["dead"]))
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        dead = self._dead("ids", f"segment string, {self._id}")
+        return rows if dead is None else rows.join(dead, ["segment", self.id_col], "left_anti")
+
+    def chunks(self) -> DataFrame:
+        """All living chunks, as they were given."""
+        return self._living(self._table("chunks", self.state["schema"])).drop("segment", "dl")
+
+    def sources(self) -> DataFrame:
+        """(source, chunks) of what is in the index."""
+        return self.chunks().groupBy(F.col(self.state["source_col"]).alias("source")).agg(F.count(F.lit(1)).alias("chunks"))
+
+    def _known(self, tokens: DataFrame) -> DataFrame:
+        """(token, df) of some distinct tokens that living chunks hold."""
+        found = self._asked("terms", "token string, df bigint, bucket int", tokens).select("token", "df")
+        dead = self._dead("terms", "segment string, token string, df bigint")
+        if dead is not None:
+            here = F.col("segment").isin(*(s["name"] for s in self.state["segments"]))
+            found = found.unionByName(dead.where(here).join(tokens, "token", "left_semi").select("token", (-F.col("df")).alias("df")))
+        return found.groupBy("token").agg(F.sum("df").alias("df"))
+
+    def _asked(self, kind: str, schema: str, tokens: DataFrame) -> DataFrame:
+        """Rows of some distinct tokens: in each segment a join on bucket and token, so that only folders of these are read where the tokens are few."""
+        frames = [self._table(kind, schema, [s]).join(tokens.withColumn("bucket", _bucket(F.col("token"), s["buckets"])), ["bucket", "token"]) for s in self.state["segments"]]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema + ", segment string")
+
+    def _of_terms(self, kind: str, schema: str, terms: list[str]) -> DataFrame:
+        """Rows of a few terms, known when the plan is made: only their folders are listed."""
+        of = lambda s: self._table(kind, schema, [s]).where(F.col("bucket").isin(*(_bucket(F.lit(t), s["buckets"]) for t in terms)) & F.col("token").isin(terms))
+        frames = [of(s) for s in self.state["segments"]] if terms else []
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema + ", segment string")
+
+    @property
+    def _postings(self) -> str:
+        return f"token string, {self._id}, tf int, dl int, bucket int"
+
+    # Ranking
+
+    def bm25(self, query: str, k: int = 10, chosen: DataFrame | None = None) -> DataFrame:
+        """(id, score) of the ``k`` best texts, ties by id; ``chosen`` (ids) limits what is ranked, not the statistics."""
         terms = query_terms(query)
-        met = self.postings.where(F.col("bucket").isin(*(_bucket(F.lit(t)) for t in terms)) & F.col("token").isin(terms)) if terms else self.postings.limit(0)
-        known = met.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the question has terms
+        known = self._of_terms("terms", "token string, df bigint, bucket int", terms).select("token", "df")
+        dead = self._dead("terms", "segment string, token string, df bigint")
+        if dead is not None:
+            here = F.col("segment").isin(*(s["name"] for s in self.state["segments"]))
+            known = known.unionByName(dead.where(here & F.col("token").isin(terms)).select("token", (-F.col("df")).alias("df")))
+        known = known.groupBy("token").agg(F.sum("df").alias("df"))  # as many rows as the question has terms
+        met = self._living(self._of_terms("postings", self._postings, terms))
         ranked = met if chosen is None else met.join(chosen.select(self.id_col), self.id_col, "left_semi")
-        scored = ranked.join(F.broadcast(known), "token").crossJoin(F.broadcast(self.stats))
-        return scored.groupBy(self.id_col).agg(F.round(F.sum(_part()), 6).alias("score")).orderBy(F.desc("score"), self.id_col).limit(k)
+        scored = ranked.join(F.broadcast(known), "token").select("*", *self._stats())
+        part = _idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + _norm())
+        return scored.groupBy(self.id_col).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), self.id_col).limit(k)
 
     def bm25_many(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """(query_id, id, score, rank) of the ``k`` best texts for each of many questions (query_id, query)."""
-        asked = queries.select("query_id", F.explode(F.array_distinct(text_functions.tokens(F.col("query")))).alias("token")).withColumn("bucket", _bucket(F.col("token")))
-        met = asked.join(self.postings, ["bucket", "token"])
-        known = self.postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"]).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        scored = met.join(known, "token").crossJoin(F.broadcast(self.stats)).groupBy("query_id", self.id_col).agg(F.round(F.sum(_part()), 6).alias("score"))
+        """(query_id, id, score, rank) of the ``k`` best texts for each of many questions (query_id, query), taken as words."""
+        asked = queries.select("query_id", F.explode(F.array_distinct(text_functions.tokens(F.col("query")))).alias("token"))
+        tokens = asked.select("token").distinct()
+        met = self._living(self._asked("postings", self._postings, tokens)).join(self._known(tokens), "token").select("*", *self._stats())
+        scored = asked.join(met, "token").groupBy("query_id", self.id_col).agg(F.round(F.sum(_idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + _norm())), 6).alias("score"))
+        return self._best(scored, k)
+
+    def _best(self, scored: DataFrame, k: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
+    def search_many(self, queries: DataFrame, k: int = 10, chosen: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score, rank) for questions (query_id, query) with phrases and operators, as ``boolean.atoms`` reads them.
+
+        A phrase is met where its terms' lists of positions, each moved back by the term's place, meet; it weighs as much as
+        its terms together. The score is BM25 over words and phrases; a text must meet one that is not forbidden.
+        """
+        atoms = queries.select("query_id", F.posexplode(boolean.atoms(F.col("query"))).alias("atom", "a")).select("query_id", "atom", "a.sign", "a.terms")
+        must = atoms.where("sign = '+'").groupBy("query_id").agg(F.count(F.lit(1)).alias("musts"))
+        # Texts are met once for each different atom, whatever number of questions asks for it.
+        each = atoms.select("terms").distinct().select("terms", F.size("terms").alias("m"), F.posexplode("terms").alias("slot", "token"))
+        tokens = each.select("token").distinct()
+        rows = self._living(self._asked("postings", f"token string, {self._id}, tf int, dl int, positions array<int>, bucket int", tokens))
+        if chosen is not None:
+            rows = rows.join(chosen.select(self.id_col), self.id_col, "left_semi")
+        met = each.join(rows, "token")
+        words = met.where("m = 1").select("terms", self.id_col, "dl", "tf")
+        moved = F.transform("positions", lambda p: p - F.col("slot"))
+        grouped = met.where("m > 1").groupBy("terms", "m", self.id_col).agg(F.first("dl").alias("dl"), F.collect_list(moved).alias("lists"))
+        common = F.aggregate(F.slice("lists", 2, F.col("m")), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+        phrases = grouped.where(F.size("lists") == F.col("m")).select("terms", self.id_col, "dl", F.size(common).alias("tf")).where("tf > 0")
+        weight = each.join(self._known(tokens), "token").select("terms", *self._stats(), "df").select("terms", "n", "avgdl", _idf().alias("idf"))
+        weight = weight.groupBy("terms").agg(F.sum("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
+        scored = words.unionByName(phrases).join(weight, "terms").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + _norm()))
+        counted = lambda sign: F.count_if(F.col("sign") == sign)
+        found = atoms.join(scored, "terms").groupBy("query_id", self.id_col).agg(F.round(F.sum(F.when(F.col("sign") != "-", F.col("part"))), 6).alias("score"), counted("+").alias("met"), counted("-").alias("against"))
+        fits = (F.col("against") == 0) & F.col("score").isNotNull() & (F.col("met") == F.coalesce("musts", F.lit(0)))
+        return self._best(found.join(must, "query_id", "left").where(fits).select("query_id", self.id_col, "score"), k)
+
+    def search(self, query: str, k: int = 10, chosen: DataFrame | None = None) -> DataFrame:
+        """(id, score) of the ``k`` best texts for one question with phrases and operators."""
+        return self.search_many(self.spark.createDataFrame([(0, query)], "query_id int, query string"), k, chosen).select(self.id_col, "score")
+
+    # Changes, each of which makes a new version
+
+    def _commit(self, **changed) -> TextIndex:
+        state = self.state | changed | {"version": self.version + 1}
+        folders.Versions(self.spark, self.at).commit(state["version"], state)
+        return TextIndex(self.spark, self.at, state)
+
+    def _counted(self, at: str) -> tuple[int, int]:
+        n, tokens = self.spark.read.parquet(at).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return n, tokens
+
+    def _segment(self, chunks: DataFrame) -> dict:
+        """Writes chunks as a segment of its own."""
+        name = uuid.uuid4().hex
+        at = f"{self.at}/segments/{name}"
+        text, key = F.col(self.state["text_col"]), F.col(self.id_col)
+        kept = chunks.where(key.isNotNull()).withColumn("dl", F.size(text_functions.tokens(text)))
+        kept.sortWithinPartitions(self.state["source_col"]).write.parquet(f"{at}/chunks")
+        rows, tokens = self._counted(f"{at}/chunks")
+        written = self.spark.read.schema(self.state["schema"]).parquet(f"{at}/chunks")
+        each = written.select(key, "dl", F.posexplode(text_functions.tokens(text)).alias("position", "token"))
+        segment = {"name": name, "rows": rows, "tokens": tokens} | self._dealt(rows, tokens)
+        spread = each.select("*", *self._places(segment)).repartition(segment["buckets"] * segment["parts"], "bucket", "part")
+        posted = spread.groupBy("bucket", "part", "token", self.id_col).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("position")).alias("positions"))
+        self._write(posted, segment)
+        return segment
+
+    @staticmethod
+    def _dealt(rows: int, tokens: int) -> dict:
+        """Buckets, and parts of each by id, so that a token that all texts hold is no single file."""
+        parts = max(1, ceil(rows / PER_FILE))
+        return {"parts": parts, "buckets": max(BUCKETS, ceil(tokens / PER_FILE / parts))}
+
+    def _places(self, segment: dict) -> list[Column]:
+        return [_bucket(F.col("token"), segment["buckets"]).alias("bucket"), F.pmod(F.xxhash64(self.id_col), F.lit(segment["parts"])).cast("int").alias("part")]
+
+    def _write(self, posted: DataFrame, segment: dict) -> None:
+        at = f"{self.at}/segments/{segment['name']}"
+        posted.drop("part").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{at}/postings")
+        terms = self.spark.read.schema(self._postings).parquet(f"{at}/postings").groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
+        terms.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{at}/terms")
+
+    def append(self, chunks: DataFrame) -> TextIndex:
+        """Adds chunks, whose ids are new."""
+        return self._commit(segments=[*self.state["segments"], self._segment(chunks)])
+
+    def _buried(self, condition: Column | None = None, sources: DataFrame | None = None) -> list[dict]:
+        """Writes the ids of living chunks that go, and the terms that go with them."""
+        name, text = uuid.uuid4().hex, self.state["text_col"]
+        rows = self._living(self._table("chunks", self.state["schema"]))
+        gone = rows.where(condition) if sources is None else rows.join(sources, rows[self.state["source_col"]] == sources["source"], "left_semi")
+        at = f"{self.at}/dead/{name}"
+        gone.select("segment", self.id_col, "dl").write.parquet(f"{at}/ids")
+        counted = self.spark.read.parquet(f"{at}/ids").groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.sum("dl").alias("tokens")).collect()  # a row per segment
+        # The texts are told again by the ids written, not by the condition, which may change its mind.
+        again = self._table("chunks", self.state["schema"]).join(self.spark.read.schema(f"segment string, {self._id}").parquet(f"{at}/ids"), ["segment", self.id_col], "left_semi")
+        again.select("segment", F.explode(F.array_distinct(text_functions.tokens(F.col(text)))).alias("token")).groupBy("segment", "token").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{at}/terms")
+        return [{"name": name, "segment": r["segment"], "rows": r["rows"], "tokens": r["tokens"]} for r in counted]
+
+    def delete(self, condition: Column) -> tuple[TextIndex, int]:
+        """Without the chunks that a condition on their columns holds for, and how many they were."""
+        dead = self._buried(condition)
+        return self._commit(dead=self.state["dead"] + dead), sum(d["rows"] for d in dead)
+
+    def delete_source(self, source: str) -> tuple[TextIndex, int]:
+        return self.delete(F.col(self.state["source_col"]) == source)
+
+    def replace(self, chunks: DataFrame) -> tuple[TextIndex, int]:
+        """All chunks of the given ones' sources give way to these in one version; the number of those that went."""
+        sources = chunks.select(F.col(self.state["source_col"]).alias("source")).distinct()
+        dead = self._buried(sources=sources)
+        return self._commit(segments=[*self.state["segments"], self._segment(chunks)], dead=self.state["dead"] + dead), sum(d["rows"] for d in dead)
+
+    def merge(self, under: int = 1_000_000) -> TextIndex:
+        """Segments of fewer living rows than ``under`` become one, without their dead; postings are taken over, no text is read again."""
+        gone = {}
+        for d in self.state["dead"]:
+            gone[d["segment"]] = gone.get(d["segment"], 0) + d["rows"]
+        small = [s for s in self.state["segments"] if s["rows"] - gone.get(s["name"], 0) < under]
+        if len(small) < 2 and not any(s["name"] in gone for s in small):
+            return self
+        segment = {"name": uuid.uuid4().hex}
+        at = f"{self.at}/segments/{segment['name']}"
+        self._living(self._table("chunks", self.state["schema"], small)).drop("segment").sortWithinPartitions(self.state["source_col"]).write.parquet(f"{at}/chunks")
+        rows, tokens = self._counted(f"{at}/chunks")
+        segment |= {"rows": rows, "tokens": tokens} | self._dealt(rows, tokens)
+        posted = self._living(self._table("postings", f"token string, {self._id}, tf int, dl int, positions array<int>", small)).drop("segment", "bucket")
+        self._write(posted.select("*", *self._places(segment)).repartition(segment["buckets"] * segment["parts"], "bucket", "part"), segment)
+        names = {s["name"] for s in small}
+        return self._commit(segments=[*(s for s in self.state["segments"] if s["name"] not in names), segment], dead=[d for d in self.state["dead"] if d["segment"] not in names])
+
+    def clear(self) -> TextIndex:
+        """A version with nothing in it."""
+        return self._commit(segments=[], dead=[])
 
-def _part() -> Column:
-    """What a term adds to a text's score."""
-    df, tf = F.col("df"), F.col("tf")
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
+    def vacuum(self) -> None:
+        """Frees what this version doesn't read; readers of older versions must have ended."""
+        for kind in ("segments", "dead"):
+            used = {s["name"] for s in self.state[kind]}
+            for name in folders.names(self.spark, f"{self.at}/{kind}"):
+                if name not in used:
+                    folders.delete(self.spark, f"{self.at}/{kind}/{name}")
 
 
-def build(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Writes the index of ``docs`` (an id for each text) under ``at`` and opens it."""
-    words = docs.select(id_col, text_functions.tokens(F.col(text_col)).alias("words"))
-    each = words.select(id_col, F.size("words").alias("dl"), F.explode("words").alias("token"))
-    counted = each.groupBy("token", id_col).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl")).withColumn("bucket", _bucket(F.col("token")))
-    dealt = counted.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(PARTS))).sortWithinPartitions("bucket", "token")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-    words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).write.mode("overwrite").parquet(f"{at}/stats")
-    return open_index(docs.sparkSession, at, id_col, dict(docs.dtypes)[id_col])
+def create(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> TextIndex:
+    """An index of ``docs`` under ``at``, anew whatever was there: the next version of it, so that readers of the old one go on."""
+    spark = docs.sparkSession
+    found = folders.Versions(spark, at).newest()
+    schema = T.StructType([*docs.schema.fields, T.StructField("dl", T.IntegerType())])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    state = {"version": found, "id_col": id_col, "id_type": dict(docs.dtypes)[id_col], "text_col": text_col, "source_col": source_col or id_col, "schema": ddl, "segments": [], "dead": []}
+    return TextIndex(spark, at.rstrip("/"), state).append(docs)
 
 
-def open_index(spark: SparkSession, at: str, id_col: str = "doc_id", id_type: str = "bigint") -> TextIndex:
-    """A written index, which may be that of no texts at all."""
-    postings = spark.read.schema(f"token string, {id_col} {id_type}, tf int, dl int, bucket int").parquet(f"{at}/postings")
-    return TextIndex(postings, spark.read.parquet(f"{at}/stats"), id_col)
+def open_index(spark: SparkSession, at: str, version: int | None = None) -> TextIndex:
+    """The last version of an index, or an older one; one of no texts, too."""
+    versions = folders.Versions(spark, at)
+    return TextIndex(spark, at.rstrip("/"), versions.read(version or versions.newest()))

@@ -433,10 +433,10 @@ def test_text_index(spark, tmp_path):
     from tessera.plans import text_index
 
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["cash flow rose", "cash", "", None, "Flow of cash and cash", "other words"])], "doc_id long, text string")
-    made = text_index.build(docs, str(tmp_path / "i"))
+    made = text_index.create(docs, str(tmp_path / "i"))
     for query in ("cash flow", "words", "none of these", ""):
         assert made.bm25(query, 3).collect() == retrieval.bm25(docs, query, 3).collect()
-    assert text_index.build(docs.limit(0), str(tmp_path / "none")).bm25("cash").collect() == []
+    assert text_index.create(docs.limit(0), str(tmp_path / "none")).bm25("cash").collect() == []
     asked = spark.createDataFrame([(1, "cash flow"), (2, "words"), (3, "zzz")], "query_id long, query string")
     many = made.bm25_many(asked, 3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["doc_id"], r["score"]) for r in many] == [(q["query_id"], r["doc_id"], r["score"]) for q in asked.collect() for r in made.bm25(q["query"], 3).collect()]
