@@ -27,3 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 from tessera.bindings import analytics, calls, chunks, extraction, planning, rendering, retrieval, understanding  # noqa: E402, F401
+from tessera.bindings import indexing  # noqa: E402, F401  (reads the SQL of the others)
