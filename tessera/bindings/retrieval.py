@@ -40,7 +40,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+def table_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     """The index of the documents: written once a session, in the shared folder, and then read by all keyword queries; again if the table's files have changed or the index is gone."""
     key = (spark.sparkContext.applicationId, folders.fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if key in _INDEXES and folders.names(spark, _INDEXES[key]):
@@ -55,19 +55,19 @@ def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).bm25(QUERY)
+    return table_index(spark, sf_dir).bm25(QUERY)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm JOIN documents USING (doc_id) WHERE lang = 'fr' ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _index(spark, sf_dir).bm25(QUERY, chosen=filters.where(docs, {"lang": "fr"}))
+    return table_index(spark, sf_dir).bm25(QUERY, chosen=filters.where(docs, {"lang": "fr"}))
 
 
 @query(f"WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 30) SELECT doc_id, score FROM top JOIN documents USING (doc_id) WHERE lang IN ('en', 'es')")
 def bm25_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return filters.where(_index(spark, sf_dir).bm25(QUERY, k=30).join(docs.select("doc_id", "lang"), "doc_id"), {"lang": ["en", "es"]}).select("doc_id", "score")
+    return filters.where(table_index(spark, sf_dir).bm25(QUERY, k=30).join(docs.select("doc_id", "lang"), "doc_id"), {"lang": ["en", "es"]}).select("doc_id", "score")
 
 
 @query(f"WITH tok AS ({_TOKENS}) SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM tok GROUP BY 1")
@@ -130,7 +130,7 @@ v AS (SELECT vec_id AS doc_id, round(list_inner_product(e, q), 6) AS score FROM
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vector = retrieval.vector_topk_by(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), k=30).withColumnRenamed("vec_id", "doc_id")
-    return vector, _index(spark, sf_dir).bm25(QUERY, k=30)
+    return vector, table_index(spark, sf_dir).bm25(QUERY, k=30)
 
 
 @query(
@@ -156,7 +156,7 @@ _RANKED = f"{_BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.ranked(_index(spark, sf_dir).bm25(QUERY, k=30), "doc_id", "original_rank").join(docs.select("doc_id", "text"), "doc_id")
+    return retrieval.ranked(table_index(spark, sf_dir).bm25(QUERY, k=30), "doc_id", "original_rank").join(docs.select("doc_id", "text"), "doc_id")
 
 
 @query(
@@ -246,14 +246,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as questions at once: the five best documents of each."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return _index(spark, sf_dir).bm25_many(asked)
+    return table_index(spark, sf_dir).bm25_many(asked)
 
 
 @query(f"WITH {_MANY} SELECT doc_id, min(query_id) AS query_id, arg_min(rank, query_id) AS rank FROM r WHERE rank <= 5 AND query_id < 12 GROUP BY 1")
 def fan_out_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dozen sub-queries of one question, the five best of each, where a document counts for the first that finds it."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.fan_out(_index(spark, sf_dir), asked, most=12).select("doc_id", "query_id", "rank")
+    return retrieval.fan_out(table_index(spark, sf_dir), asked, most=12).select("doc_id", "query_id", "rank")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source = 'src3'")
