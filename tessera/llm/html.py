@@ -14,6 +14,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that are never part of an article.
 _NEVER = frozenset("script style noscript template svg math head title iframe object canvas audio video form fieldset button select textarea label datalist nav footer aside menu dialog".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Only these end a line; all other tags, those of dropped and unknown elements too, stand within one.
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _LANDMARKS = frozenset(("article", "main"))
 _HOLDERS = frozenset("html body article main section div td center".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -23,16 +25,23 @@ _STRONG = re.compile(
     r"nav\w*|menus?|menubar|sidebars?|sidepanels?|footers?|masthead|topbar|ads?|ad(?:s?box|slot|unit|sense|block|space|container|wrapper)s?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promoted|banners?|promos?|cookies?|cookiebar|consent|gdpr|popups?|modal|newsletters?|subscribe|subscription|signup|signin|login|paywall|share|sharing|related|recommended|recommendations|comments?|commentlist|replies|disqus|breadcrumbs?|pagination|pager|toolbar|werbung|anzeigen?|publicit[eé]|publicidad|kommentare?|commentaires?|comentarios?"
 )
 #: Words that do so only where the text is thin, or in twos.
-_WEAK = re.compile(r"headers?|notices?|alerts?|toast|disclaimers?|legal|copyright|search|social|discussions?|responses|reactions|readers?|talks?|opinions|feedback|widgets?|promotions?|overlay|rail|skip|hidden|hinweise?|avis|avisos?")
+_TALK = re.compile(r"threads?|discussions?|responses?|reactions|readers?|users?|visitors?|community|talks?|opinions|feedback|forum|reviews|diskussion(?:en)?|meinungen|leser\w*|r[eé]actions|lecteurs|avis|opiniones|respuestas|lectores")
+_WEAK = re.compile(_TALK.pattern + r"|headers?|notices?|alerts?|toast|disclaimers?|legal|copyright|search|social|widgets?|promotions?|overlay|rail|skip|hidden|hinweise?|avisos?")
 _FILLERS = re.compile(r"|list|box|wrap|wrapper|container|area|block|unit|section|inner|outer|links?|bar|items?|site|page|global|main|top|bottom|left|right|buttons?|form|col|row|panel|module|slot|primary|secondary|js|\d+")
+#: A heading over what readers have said.
+_TALK_HEADING = re.compile(r"(?:\d+ )?(?:(?:reader|user|leser|visitor)[ -]?)?(?:comments?|responses?|replies|discussion|reactions|kommentare?|commentaires?|comentarios?|r[eé]ponses|respuestas|antworten)(?: ?\(\d+\)| ?\d+)?:?", re.IGNORECASE)
 _PARTS = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 #: Says what stands beside an element, not what it is.
 _BESIDE = re.compile(r"\b(?:has|with|without|no)[_-][\w-]+", re.IGNORECASE)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS_CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _STOPS = frozenset("article section div body main td th table blockquote ul ol li".split())
-#: Share of a page's rich text that its only landmark has at least, and that one of several has.
-_ALONE, _OF_SEVERAL = 0.1, 0.5
+#: Share of a page's rich text that its landmarks have at least together, and of the largest one's that another has which counts.
+_ALONE, _OF_LARGEST = 0.1, 0.25
+#: Share of a landmark's rich text outside the landmarks in it up to which these stand for it.
+_OUTSIDE = 0.2
+#: Share of linked text from which a poor line is one of links.
+_LINKED = 0.5
 #: Share of a holder's rich text from which the holder inside it is taken, and of rich text in paragraphs from which text outside any is foreign.
 _INNER, _IN_PARAGRAPHS = 0.8, 0.8
 #: Lines before the rich ones among which a headline is sought.
@@ -50,6 +59,12 @@ def _mark(names: str) -> int:
     return most
 
 
+def _talk(names: str) -> bool:
+    """Whether a class or id may mean what readers say, and nothing else."""
+    named = [[p.lower() for p in _PARTS.split(name)] for name in _BESIDE.sub(" ", names).split()]
+    return any(any(map(_TALK.fullmatch, parts)) and all(_TALK.fullmatch(p) or _STRONG.fullmatch(p) or _FILLERS.fullmatch(p) for p in parts) for parts in named)
+
+
 class _Lines(HTMLParser):
     """Parser events -> a tree of block elements, and lines: (text, tags since the line before, length of linked text, element).
 
@@ -63,7 +78,7 @@ class _Lines(HTMLParser):
         self.opened: dict[str, int] = {}
         self.dropped = self.linked = self.landmarks = 0
         self.at = 0
-        self.parent, self.kinds, self.marks = [0], ["html"], [0]
+        self.parent, self.kinds, self.marks, self.talk = [0], ["html"], [0], [False]
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.link_length = 0
@@ -126,7 +141,7 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag not in _INLINE:
+        if tag in _BLOCKS:
             self.end_line()
         if tag in _VOID:
             return
@@ -139,7 +154,9 @@ class _Lines(HTMLParser):
             self.parent.append(self.at)
             self.at = len(self.kinds)
             self.kinds.append(tag)
-            self.marks.append(_mark(" ".join(v or "" for name, v in attrs if name in ("class", "id"))) if attrs and tag not in ("html", "body", "article", "main") else 0)
+            names = " ".join(v or "" for name, v in attrs if name in ("class", "id")) if attrs and tag not in ("html", "body", "article", "main") else ""
+            self.marks.append(_mark(names) if names else 0)
+            self.talk.append(bool(names) and _talk(names))
         self.push(tag, drop, element)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -152,7 +169,8 @@ class _Lines(HTMLParser):
         if tag in _INLINE:
             self.close_nearest((tag,), False)
             return
-        self.end_line()
+        if tag in _BLOCKS:
+            self.end_line()
         if self.opened.get(tag):
             at = len(self.stack) - 1
             while self.stack[at][0] != tag:
@@ -210,16 +228,34 @@ class _Regions:
             gone[k] |= gone[self.page.parent[k]]
         return gone
 
-    def holder(self) -> int:
-        """The element that holds the article."""
+    def landmarks(self) -> list[int]:
+        """The elements <article> and <main> that hold the article: those with a fair share of the text, and in place of one the ones in it that have nearly all its rich text."""
         kinds, parent = self.page.kinds, self.page.parent
         rich, size = self._total(self.rich * self.plain), self._total(self.size)
         share = np.maximum(rich / max(rich[0], 1), size / max(size[0], 1))
-        marks = [k for k, kind in enumerate(kinds) if kind in _LANDMARKS and not self.gone[k] and size[k]]
-        alone = {kind: sum(kinds[k] == kind for k in marks) == 1 for kind in _LANDMARKS}
-        good = [k for k in marks if share[k] >= (_ALONE if alone[kinds[k]] else _OF_SEVERAL)]
-        if good:
-            return max(good, key=lambda k: (kinds[k] == "article", k))
+        inner: dict[int, list[int]] = {}
+        around = [0] * len(kinds)  # the nearest landmark around an element, which comes before it
+        for k in range(1, len(kinds)):
+            up = parent[k]
+            around[k] = up if kinds[up] in _LANDMARKS and not self.gone[up] and size[up] else around[up]
+            if kinds[k] in _LANDMARKS and not self.gone[k] and size[k]:
+                inner.setdefault(around[k], []).append(k)
+
+        chosen, todo = [], [0]
+        while todo:
+            k = todo.pop()
+            held = inner.get(k, [])
+            fair = [m for m in held if share[m] >= _OF_LARGEST * max(share[m] for m in held)]
+            if held and (k == 0 or kinds[k] == "main" and rich[k] - sum(rich[m] for m in held) <= _OUTSIDE * rich[k]):
+                todo += fair
+            elif k:
+                chosen.append(k)
+        return sorted(chosen) if sum(share[k] for k in chosen) >= _ALONE else []
+
+    def holder(self) -> int:
+        """The element that holds the article where no landmark tells."""
+        kinds, parent = self.page.kinds, self.page.parent
+        rich = self._total(self.rich * self.plain)
         inside = 0
         for k in range(1, len(kinds)):  # each holder comes after the one around it
             if kinds[k] in _HOLDERS and parent[k] <= inside and rich[k] >= _INNER * rich[inside] and rich[k]:
@@ -230,19 +266,22 @@ class _Regions:
                     inside = k
         return inside
 
-    def within(self, top: int) -> np.ndarray:
-        """Lines of an element and those inside it."""
+    def within(self, tops: list[int]) -> np.ndarray:
+        """Lines of some elements and those inside them."""
         held = np.zeros(len(self.page.kinds), bool)
-        held[top] = True
-        for k in range(top + 1, len(held)):
-            held[k] = held[self.page.parent[k]]
+        held[tops] = True
+        for k in range(1, len(held)):
+            held[k] |= held[self.page.parent[k]]
         return held[self.of] & self.stays
 
     def chosen(self) -> list[int]:
-        top = self.holder()
-        stays = self.within(top)
-        if self.page.kinds[top] not in _LANDMARKS:
-            stays &= self._region(stays)
+        tops = self.landmarks()
+        if tops:
+            stays = self.within(tops)
+            stays &= ~self._said(stays)
+            return np.flatnonzero(stays & ~self._bars(stays)).tolist()
+        stays = self.within([self.holder()])
+        stays &= self._region(stays)
         lines = np.flatnonzero(stays).tolist()
         links = [not self.rich[i] and self.size[i] - self.plain[i] >= 0.9 * self.size[i] for i in lines]
         out, k = [], 0
@@ -256,6 +295,46 @@ class _Regions:
             k = end
         return out
 
+    def _said(self, inside: np.ndarray) -> np.ndarray:
+        """Lines of a landmark that readers have written: what follows a heading that says so in its element, and elements at the end whose class may mean so."""
+        kinds, parent = self.page.kinds, self.page.parent
+        end = list(range(1, len(kinds) + 1))  # one past the last element inside
+        for k in range(len(kinds) - 1, 0, -1):
+            end[parent[k]] = max(end[parent[k]], end[k])
+        spans = np.zeros(len(kinds) + 1, np.int64)
+        headings = [i for i in np.flatnonzero(inside).tolist() if kinds[self.of[i]] in _HEADINGS and _TALK_HEADING.fullmatch(self.texts[i])]
+        for i in headings:
+            spans[self.of[i]] += 1
+            spans[end[parent[self.of[i]]]] -= 1
+        said = inside & (np.cumsum(spans)[self.of] > 0)
+
+        order = np.argsort(self.of, kind="stable")
+        sorted_of, rich = self.of[order], np.concatenate(([0], np.cumsum((self.rich * self.plain * inside)[order])))
+        upto = lambda k: rich[np.searchsorted(sorted_of, k)]
+        left = np.unique(self.of[inside & ~said]).tolist()  # elements with lines that stay, of which the last go
+        for k in sorted((k for k, talk in enumerate(self.page.talk) if talk), reverse=True):
+            own = upto(end[k]) - upto(k)
+            if left and left[-1] < end[k] and upto(k) > 0 and own < 0.5 * rich[-1]:
+                while left and left[-1] >= k:
+                    left.pop()
+        return said | inside & ~np.isin(self.of, left)
+
+    def _bars(self, inside: np.ndarray) -> np.ndarray:
+        """Runs of two or more lines of a landmark that are links, most of them poor, unless a heading stands right over them: rows of buttons, tags and the like."""
+        heading = lambda i: self.page.kinds[self.of[i]] in _HEADINGS
+        bars, lines = np.zeros(len(inside), bool), np.flatnonzero(inside).tolist()
+        links = [self.size[i] - self.plain[i] >= _LINKED * self.size[i] and not heading(i) for i in lines]
+        k = 0
+        while k < len(lines):
+            to = k
+            while to < len(lines) and links[to]:
+                to += 1
+            headed = k > 0 and (heading(lines[k - 1]) or self.texts[lines[k - 1]].endswith(":"))
+            if to - k > 1 and not headed and 2 * self.rich[lines[k:to]].sum() < to - k:
+                bars[lines[k:to]] = True
+            k = max(to, k + 1)
+        return bars
+
     def _region(self, inside: np.ndarray) -> np.ndarray:
         """Lines that belong to the rich ones, where no landmark tells: rich lines and the paragraphs, items and headings of what holds such."""
         kinds, parent = self.page.kinds, self.page.parent
@@ -277,13 +356,14 @@ class _Regions:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of one page; empty if there is none.
 
-    Lines are the runs of text between block-level tags; navigation, asides,
+    Lines are the runs of text between block-level tags, whatever other tags stand in them; navigation, asides,
     forms and the like have none. Each line's ratio of text to tags is smoothed
     over its neighbours, and lines above the threshold (half the standard deviation of all) are
     rich. Elements whose class or id marks them as comments, adverts and so on go,
     unless half of the rich text is in them; where the words may mean something else they go if their own lines aren't rich.
-    The article is the page's <article> or <main> if that has a fair share of the
-    text; then all its lines stay. Else it is the innermost holder of most rich
+    The article are the page's <article> and <main> elements with a fair share of the
+    text, of one in another the inner one if little rich text is outside; all their lines stay but what readers have written at
+    the end and runs of lines of links, most of them poor, that no heading stands over. Else it is the innermost holder of most rich
     text, and those of its lines stay that are rich or stand in one block with
     rich ones; a headline may stand before them. Runs of three or more links that aren't rich go.
     """

@@ -225,3 +225,109 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     assert urls.judge(pages, rules).collect() == [] and html.extract(pages).collect() == []
+
+
+LONG = "A paragraph of the article that goes on for long enough to be told from a menu by its ratio of text to tags."
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("Before <img src=x> after it.", "Before after it."),
+        ("super<wbr>califragilistic", "supercalifragilistic"),
+        ("one <button>Press</button> two", "one two"),
+        ("one<script>var a = 1;</script> two", "one two"),
+        ("<nobr>one</nobr> <x-word>two</x-word><svg><text>no</text></svg>", "one two"),
+        ("one<br>two", "one two"),
+    ],
+)
+def test_only_blocks_end_a_line(inside, text):
+    assert html.main_text(f"<article><p>{LONG}</p><p>{inside}</p><p>{LONG}</p></article>") == f"{LONG}\n{text}\n{LONG}"
+
+
+def test_several_articles_and_small_ones_lose_nothing():
+    two = f"<main><article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG} </p></article></main>"
+    assert html.main_text(two) == f"One\n{LONG}\nTwo\n{LONG}"
+    small = f"<main><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><article><p>{LONG}</p></article></main>"
+    assert html.main_text(small) == "\n".join(["Head"] + [LONG] * 4)
+    assert html.main_text(f"<article><h2>One</h2><p>{LONG}</p></article><div class=ad>Buy</div><article><p>{LONG}</p></article>") == f"One\n{LONG}\n{LONG}"
+    around = f"<main><p>{LONG[:30]}</p><article><p>{LONG}</p><p>{LONG}</p></article></main>"
+    assert html.main_text(around) == f"{LONG}\n{LONG}"
+
+
+def test_lists_of_links_under_a_heading_stay_and_bars_go():
+    links = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li><li><a href=3>Third source</a></li></ul>"
+    assert html.main_text(f"<article><p>{LONG}</p><h3>Sources</h3>{links}</article>") == f"{LONG}\nSources\nFirst source\nSecond source\nThird source"
+    bar = "<div><a href=1>Mail</a></div><div><a href=2>Print</a></div><div><a href=3>Tweet</a></div><div><a href=4>Save</a></div><div><a href=5>Like</a></div>"
+    assert html.main_text(f"<article><p>{LONG}</p><p>{LONG}</p>{bar}</article>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("said", ['<section class="user-responses"><p>{}</p></section>', '<ol id="thread"><li>{}</li></ol>', "<section><h3>3 Comments</h3><div><p>{}</p></div></section>", '<div class="reader-opinions"><div><p>{}</p></div></div>', "<h4>Kommentare (2)</h4><p>{}</p>"])
+def test_what_readers_say_goes(said):
+    assert html.main_text(f"<article><p>{LONG}</p><p>{LONG}</p>" + said.format("I disagree with this, and at length, since there is so much to be said about it.") + "</article>") == f"{LONG}\n{LONG}"
+
+
+def test_names_of_users_in_the_middle_stay():
+    page = f'<article><p>{LONG}</p><div class="discussion"><p>{LONG}</p></div><p>{LONG}</p><div class="user-content"><p>{LONG}</p></div></article>'
+    assert html.main_text(page) == "\n".join([LONG] * 4)
+
+
+def brute_smooth(ratios, sigma):
+    reach = int(np.ceil(2 * sigma))
+    out = []
+    for i in range(len(ratios)):
+        weights = [(np.exp(-((j - i) ** 2) / (2 * sigma * sigma)), ratios[min(max(j, 0), len(ratios) - 1)]) for j in range(i - reach, i + reach + 1)]
+        out.append(sum(w * r for w, r in weights) / sum(w for w, _ in weights))
+    return np.array(out)
+
+
+def brute_text(parts, sigma=1.0):
+    """Main text of an article given as (kind, text, tags, linked) lines: rich ones by smoothing and threshold, then rows of links go that no heading stands over."""
+    ratios = [len(t) / max(tags, 1) for _, t, tags, _ in parts]
+    smooth = brute_smooth(ratios, sigma)
+    rich = smooth >= 0.5 * smooth.std()
+    out, k = [], 0
+    while k < len(parts):
+        to = k
+        while to < len(parts) and parts[to][0] != "h2" and 2 * parts[to][3] >= len(parts[to][1]):
+            to += 1
+        if to - k < 2 or 2 * rich[k:to].sum() >= to - k or k and (parts[k - 1][0] == "h2" or parts[k - 1][1].endswith(":")):
+            out += [p[1] for p in parts[k : max(to, k + 1)]]
+        k = max(to, k + 1)
+    return "\n".join(out)
+
+
+def test_whole_text_matches_brute_force_and_smoothing_decides():
+    """Articles of paragraphs, headings and rows of links in random order; in a fair share of them smoothing makes the difference."""
+    rng = random.Random(11)
+    decided = 0
+    for _ in range(200):
+        body, parts = [], []
+        for _ in range(rng.randint(3, 14)):
+            kind = rng.choice(["p", "p", "h2", "links", "links", "short"])
+            if kind == "links":
+                for _ in range(rng.randint(1, 5)):
+                    text = sentence(rng, 1, 3)
+                    body.append(f"<p><a href=x>{text}</a></p>")
+                    parts.append(["p", text, 4, len(text)])
+            else:
+                text = sentence(rng, *{"p": (10, 40), "h2": (1, 4), "short": (1, 6)}[kind])
+                tag = "h2" if kind == "h2" else "p"
+                body.append(f"<{tag}>{text}</{tag}>")
+                parts.append([tag, text, 2, 0])
+        parts[0][2] += 1  # <article>
+        page = "<article>" + "".join(body) + "</article>"
+        assert html.main_text(page) == brute_text(parts)
+        decided += html.main_text(page) != html.main_text(page, sigma=0)
+    assert decided >= 20
+
+
+def test_many_talk_elements_take_linear_time():
+    def seconds(n):
+        page = "<article>" + f"<p>{LONG}</p>" * n + '<div class="thread"><h3>Comments</h3><p>x</p></div>' * n + "</article>"
+        began = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(4000) < 12 * max(seconds(500), 0.02)
