@@ -220,7 +220,7 @@ class TextIndex:
         terms.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{at}/terms")
 
     def append(self, chunks: DataFrame) -> TextIndex:
-        """Adds chunks, whose ids are new."""
+        """Adds chunks, whose ids differ from those of living ones."""
         return self._commit(segments=[*self.state["segments"], self._segment(chunks)])
 
     def _buried(self, condition: Column | None = None, sources: DataFrame | None = None) -> list[dict]:
@@ -244,11 +244,11 @@ class TextIndex:
     def delete_source(self, source: str) -> tuple[TextIndex, int]:
         return self.delete(F.col(self.state["source_col"]) == source)
 
-    def replace(self, chunks: DataFrame) -> tuple[TextIndex, int]:
-        """All chunks of the given ones' sources give way to these in one version; the number of those that went."""
+    def replace(self, chunks: DataFrame, **more) -> tuple[TextIndex, int]:
+        """All chunks of the given ones' sources give way to these in one version; the number of those that went. ``more`` is kept in that version's state."""
         sources = chunks.select(F.col(self.state["source_col"]).alias("source")).distinct()
         dead = self._buried(sources=sources)
-        return self._commit(segments=[*self.state["segments"], self._segment(chunks)], dead=self.state["dead"] + dead), sum(d["rows"] for d in dead)
+        return self._commit(segments=[*self.state["segments"], self._segment(chunks)], dead=self.state["dead"] + dead, **more), sum(d["rows"] for d in dead)
 
     def merge(self, under: int = 1_000_000) -> TextIndex:
         """Segments of fewer living rows than ``under`` become one, without their dead; postings are taken over, no text is read again."""
