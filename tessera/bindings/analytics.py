@@ -107,6 +107,21 @@ def form4_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("period", F.col("period").cast("string")).drop("is_ten_percent_owner", "is_other")
 
 
+@query(
+    """SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 5 = 0 THEN 'Treasurer' WHEN c_custkey % 3 = 0 THEN 'Officer' END, CASE WHEN c_custkey % 2 = 1 THEN 'Director' END, CASE WHEN c_custkey % 7 = 0 THEN '10% Owner' END, CASE WHEN c_custkey % 4 = 0 THEN 'Other' END) AS said,
+    CASE WHEN said = '' THEN 'Unknown' ELSE said END AS role FROM customer"""
+)
+def form4_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as reporting owners of all kinds: a title with and without an office, directors, large owners, others."""
+    k = F.col("c_custkey")
+    flag = lambda name, yes: _tag(name, F.when(yes, "1").otherwise("0"))
+    relation = _tag("reportingOwnerRelationship", flag("isDirector", k % 2 == 1), flag("isOfficer", k % 3 == 0), flag("isTenPercentOwner", k % 7 == 0), flag("isOther", k % 4 == 0), _tag("officerTitle", F.when(k % 5 == 0, "Treasurer").otherwise("")))
+    owner = _tag("reportingOwner", _tag("reportingOwnerId", _tag("rptOwnerCik", k), _tag("rptOwnerName", F.col("c_name"))), relation)
+    xml = _tag("ownershipDocument", _tag("periodOfReport", F.lit("2024-03-31")), owner)
+    found = insider.filings(insider.read_form4(table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml")), "c_custkey", "xml"), "c_custkey")
+    return found.select("c_custkey", F.when(F.col("role") == "Unknown", "").otherwise(F.col("role")).alias("said"), "role")
+
+
 @query("SELECT o_orderpriority, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
 def latest_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.latest_per(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderdate"), ["o_orderpriority"], F.desc("o_orderdate"), F.col("o_orderkey"))

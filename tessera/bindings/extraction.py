@@ -57,6 +57,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
     return table(spark, sf_dir, "documents"), [third(k) for k in range(3)]
 
 
+_SPELLED = [("Item 1 - Business", "ITEM 1:", "Item 1\u2014Our Business"), ("Item 1A Risk Factors", "Item 1A", "item 1a. risks"), ("ITEM 7", "Item 7 Discussion and Analysis", "Item 7 \u2013 MD&A")]
+
+
+@query(
+    f"""SELECT doc_id, key, title, md5(trim(content, chr(10) || ' ')) AS content FROM ({_CUTS}) WHERE length(trim(chr(10) || content || chr(10), ' ')) >= 50"""
+)
+def section_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of filings whose headers are spelled in three ways: with a dash or another mark, with nothing before the title, without a title."""
+    docs, cuts = table(spark, sf_dir, "documents"), [F.expr(f"substring(text, cast({k} * (n_chars div 3) + 1 as int), cast({'n_chars' if k == 2 else 'n_chars div 3'} as int))") for k in range(3)]
+    header = lambda k: F.element_at(F.array(*map(F.lit, _SPELLED[k])), (F.col("doc_id") % 3 + 1).cast("int"))
+    texts = docs.select("doc_id", F.concat(*(x for k in range(3) for x in (header(k), F.lit("\n"), cuts[k], F.lit("\n")))).alias("filing"))
+    best = sections.longest_sections(texts, sections.headers(texts, "doc_id", "filing"), "doc_id", "filing")
+    return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
+
+
 _Q = [("Part I, Item 1", lexicon.TITLES["10-Q"]["Part I, Item 1"]), ("Part I, Item 2", lexicon.TITLES["10-Q"]["Part I, Item 2"]), ("Part II, Item 1", lexicon.TITLES["10-Q"]["Part II, Item 1"])]
 
 
@@ -187,3 +202,31 @@ def corpus_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.when(F.col("p_size") % 2 == 0, "<td>2024").otherwise("<td>x")
     rows = F.array_repeat(F.array(F.lit("a"), F.lit("b")), F.col("p_size"))
     return table(spark, sf_dir, "part").select("p_partkey", tables.corpus_label(caption, html).alias("label"), tables.corpus_tables(rows, F.length(html)).alias("fit"))
+
+
+_PLACES = [
+    # what stands before the table, its attributes and own caption -> caption, title, section
+    ("<h3>Item 7. Discussion</h3><h4>Sales by region</h4>", "", "", "Sales by region", "Untitled table", "Item 7. Discussion"),
+    ("<h4>Far heading of the page</h4><div>{long}</div><ul><li>x</li></ul><hr>", "", "", "Table 1", "Untitled table", "Unknown"),
+    ("<p>Part II</p><p>Costs of all the divisions</p><i>x</i><i>y</i>", "", "", "Costs of all the divisions", "Costs of all the divisions", "Part II"),
+    ("<div>2024 is no title of a table</div><i>x</i><i>y</i><i>z</i>", " title='Named by attribute'", "", "Table 1", "Named by attribute", "Unknown"),
+    ("<p>(in thousands of dollars)</p><div id='table_of_parts'>", "", "", "Table 1", "Table Of Parts", "Unknown"),
+    ("<p>Near but <b>nested title of parts</b> here</p>", "", "<caption>Own caption</caption>", "Own caption - Near but nested title of parts here", "Own caption", "Unknown"),
+    ("<div><p>Another division's words</p></div><section>", "", "", "Table 1", "Another division's words", "Unknown"),
+]
+
+
+def _quoted(*values: str) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+@query(
+    f"""SELECT p_partkey, 0 AS position, ([{_quoted(*(p[3] for p in _PLACES))}])[(p_partkey % 7 + 1)::INT] AS caption, ([{_quoted(*(p[4] for p in _PLACES))}])[(p_partkey % 7 + 1)::INT] AS title, ([{_quoted(*(p[5] for p in _PLACES))}])[(p_partkey % 7 + 1)::INT] AS section FROM part"""
+)
+def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages with a table under near and far headings, in a division of its own, with and without a caption or title."""
+    long = "Words that are no heading. " * 20
+    pick = lambda k: F.element_at(F.array(*(F.lit(p[k].replace("{long}", long)) for p in _PLACES)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    html = F.concat(F.lit("<html><body>"), pick(0), F.lit("<table"), pick(1), F.lit(">"), pick(2), F.lit("<tr><td>name<td>size<tr><td>"), F.col("p_name"), F.lit("<td>"), F.col("p_size"), F.lit("</table></body></html>"))
+    found = page_tables(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return found.select("p_partkey", "position", "caption", "title", "section")

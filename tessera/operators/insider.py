@@ -42,9 +42,10 @@ def signed(shares: Column, sign: Column) -> Column:
     return F.when(sign == "A", shares).otherwise(-shares)
 
 
-def role(title: Column, officer: Column, director: Column, owner: Column) -> Column:
-    """Title or Officer, Director, 10% Owner; Unknown if none."""
-    parts = F.concat_ws(", ", F.when(officer, F.coalesce(F.nullif(title, F.lit("")), F.lit("Officer"))), F.when(director, F.lit("Director")), F.when(owner, F.lit("10% Owner")))
+def role(title: Column, officer: Column, director: Column, owner: Column, other: Column | None = None) -> Column:
+    """Title or Officer, Director, 10% Owner, Other; Unknown if none."""
+    named = F.coalesce(F.nullif(title, F.lit("")), F.when(officer, F.lit("Officer")))
+    parts = F.concat_ws(", ", named, F.when(director, F.lit("Director")), F.when(owner, F.lit("10% Owner")), F.when(F.lit(False) if other is None else other, F.lit("Other")))
     return F.coalesce(F.nullif(parts, F.lit("")), F.lit("Unknown"))
 
 
@@ -121,7 +122,7 @@ def filings(read: DataFrame, id_col: str) -> DataFrame:
         _text(relation["officerTitle"], "").alias("title"),
     )
     out = out.withColumnsRenamed({"isDirector": "is_director", "isOfficer": "is_officer", "isTenPercentOwner": "is_ten_percent_owner", "isOther": "is_other"})
-    return out.withColumn("role", role(F.col("title"), F.col("is_officer"), F.col("is_director"), F.col("is_ten_percent_owner")))
+    return out.withColumn("role", role(F.col("title"), F.col("is_officer"), F.col("is_director"), F.col("is_ten_percent_owner"), F.col("is_other")))
 
 
 def transactions(read: DataFrame, id_col: str, *more: str) -> DataFrame:

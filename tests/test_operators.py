@@ -339,6 +339,71 @@ def test_transcript(spark):
     assert [(r["part"], r["name"], r["title"], r["text"].replace("\n\n", "\n")) for r in blocks] == [("presentation", "Ann Lee", "CEO", "hello\nthere"), ("qa", "Bob O'Neil", "Analyst", "why?"), ("qa", "Ann Lee", "CEO", "because")]
 
 
+BOTH_LAYOUTS = """Acme (ACME)
+Presentation
+....... 4
+Call Participants
+EXECUTIVES
+Ann B. User
+Chief Executive Officer
+and President
+Bob O'Neil - Chief Financial Officer
+Page 2
+ANALYSTS
+Cy Lee
+Dee Ray, Morgan Research LLC
+Presentation
+Operator
+Welcome.
+Ann B. User
+Chief Executive Officer and President
+Hello.
+
+There.
+Eve Nobody
+is not listed.
+Question and Answer
+Cy Lee
+Why?
+Bob O'Neil
+Because."""
+
+
+def test_both_layouts_of_participants(spark):
+    calls = spark.createDataFrame([(1, BOTH_LAYOUTS)], "id long, text string")
+    people = {(r["name"], r["title"], r["role"]) for r in transcripts.participants(calls, "id", "text").collect()}
+    assert people == {("Ann B. User", "Chief Executive Officer and President", "executive"), ("Bob O'Neil", "Chief Financial Officer", "executive"), ("Cy Lee", None, "analyst"), ("Dee Ray", "Morgan Research LLC", "analyst")}
+    blocks = transcripts.speaker_blocks(calls, "id", "text").orderBy("block").collect()
+    assert [(r["part"], r["name"], r["text"]) for r in blocks] == [
+        ("presentation", "Operator", "Welcome."), ("presentation", "Ann B. User", "Hello.\n\nThere.\nEve Nobody\nis not listed."), ("qa", "Cy Lee", "Why?"), ("qa", "Bob O'Neil", "Because."),
+    ]
+    assert "Exchange" not in transcripts.speaker_blocks(calls, "id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metadata_and_sections_of_reports(spark):
+    pages = [["Goldman Sachs\nNYSE: ACME\nMarch 5, 2024\nWe reiterate Overweight; price target: $1,250.50"], ["J.P. Morgan Equity Research (ABC)\n5 March 2024 strong-buy PT 30"], ["nothing"], None]
+    found = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, p array<string>").select("k", transcripts.report_metadata(F.col("p")).alias("m")).orderBy("k").collect()
+    assert [(r["m"]["firm"], r["m"]["ticker"], str(r["m"]["date"]), r["m"]["rating"], r["m"]["price_target"]) for r in found] == [
+        ("Goldman Sachs", "ACME", "2024-03-05", "Overweight", 1250.5), ("J.P. Morgan", "ABC", "2024-03-05", "Strong Buy", 30.0), (None, None, "None", None, None), (None, None, "None", None, None),
+    ]
+    long = "Words of the section that make it long enough to be kept, and some more words to be on the safe side of it."
+    report = spark.createDataFrame([(1, [f"Cover\nNear-term catalysts\n{long}\nSector Outlook\n{long}\n2. Leadership\n{long}\nRisky words that start no section\nValuation\nshort"])], "id int, pages array<string>")
+    assert {(r["title"], r["page"]) for r in transcripts.report_sections(report, "id", "pages").collect()} == {("Catalysts", 1), ("Industry", 1), ("Management", 1)}
+
+
+def test_headers_without_a_dot(spark):
+    text = "Item 1 - Business\na\nItem 1A Risk Factors\nb\nItem 7 of this report says more about the matter, and so on.\nItem 7\nItem 8: Data\nItem 9 Changes in Accountants."
+    found = sections.headers(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("start").collect()
+    assert [r["key"] for r in found] == ["Item 1", "Item 1A", "Item 7", "Item 8"]
+    assert chunking.target_size(F.lit("x")) is not None and value(spark, chunking.target_size(F.lit("Compensation Discussion and Analysis"))) == 1200
+
+
+def test_captions_by_place(spark):
+    page = "<h2>Item 8. Data</h2><p>Near title</p><table><tr><td>a<td>b<tr><td>1<td>2</table><p>one</p><p>two</p><p>three</p><div>four</div><div>five</div><div>six</div><table title='Attr title'><tr><td>a<td>b<tr><td>1<td>2</table>"
+    found = html_tables.page_tables(spark.createDataFrame([(1, page)], "id int, h string"), "id", "h").orderBy("position").collect()
+    assert [(r["caption"], r["title"], r["section"]) for r in found] == [("Near title", "Untitled table", "Item 8. Data"), ("Table 2", "Attr title", "Item 8. Data")]
+
+
 def test_conditions(spark):
     assert filters.fiscal("FY25") == {"fiscal_year": 2025} and filters.fiscal("q3fy2024") == {"fiscal_year": 2024, "fiscal_quarter": 3} and filters.fiscal("Q1FY24Q2") == {"fiscal_year": 2024, "fiscal_quarter": 2}
     assert filters.fiscal("2024") == filters.fiscal(None) == {}
@@ -472,10 +537,10 @@ def test_indexes_of_filings_calls_and_reports(spark):
     call = "Acme (ACME)\nQ1 2024 Call\nJanuary 5, 2024\nParticipants\nAnn Lee - CEO\nPresentation\nAnn Lee\nhello\nQuestions and Answers\nAnn Lee\nyes"
     spoken = index.index_calls(spark.createDataFrame([("c1", call)], "hash string, text string")).orderBy("chunk_index").collect()
     assert [(r["chunk_id"], r["ticker"], r["filing_date"], r["next_chunk_id"]) for r in spoken] == [("c1_0", "ACME", "2024-01-05", "c1_1"), ("c1_1", "ACME", "2024-01-05", None)]
-    page = "Harbor Street Capital\nNYSE: ACME\nRating: Buy\nValuation\n" + words(30)
+    page = "Morgan Stanley Research\nNYSE: ACME\nRating: Buy\nValuation\n" + words(30)
     made = index.index_reports(spark.createDataFrame([("r1", [page])], "hash string, pages array<string>"))
     (row,) = made.collect()
-    assert (row["chunk_id"], row["section"], row["rating"], row["firm"], row["doc_type"]) == ("r1_0", "Valuation", "Buy", "Harbor Street Capital", "analyst_report")
+    assert (row["chunk_id"], row["section"], row["rating"], row["firm"], row["doc_type"]) == ("r1_0", "Valuation", "Buy", "Morgan Stanley", "analyst_report")
     assert index.records(made).first()["filing_type"] == "analyst_report"
 
 
