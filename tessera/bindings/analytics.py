@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
 from tessera.functions import text as text_functions
-from tessera.operators import analytics, filters, insider
+from tessera.operators import analytics, filters, insider, similar
 from tessera.plans import index
+from tessera.sources import files
 
 _TX = """SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE 'J' END AS code, CASE l_linestatus WHEN 'O' THEN 'A' ELSE 'D' END AS sign,
 l_quantity::DECIMAL(12,2) AS shares, CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice::DECIMAL(12,2) END AS price, l_shipdate::DATE AS date FROM lineitem"""
@@ -240,3 +241,34 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = index.records(docs)
     own = F.get_json_object("metadata_json", "$.doc_id").cast("long")
     return stored.select(own.alias("doc_id"), "filing_type", "source", "filing_date", "content_type", "fiscal_year", "fiscal_quarter", "has_table", F.md5("text").alias("text"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VECTOR = f"list_transform(range(1, 27), lambda i: (length(lower(text)) - length(replace(lower(text), ('{_LETTERS}')[i], ''))) - length(text) / 40.0)"
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, {_VECTOR} AS v FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS norm FROM v),
+    d AS (SELECT min(doc_id) AS id, v, any_value(norm) AS norm FROM n WHERE norm > 0 GROUP BY v)
+    SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 6) AS similarity FROM d a JOIN d b ON a.id < b.id WHERE round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 6) > 0.995"""
+)
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose vectors (counts of letters, less a fortieth of the length) have a cosine above 0.995; equal vectors by their first document."""
+    low = F.lower("text")
+    counts = [F.length(low) - F.length(F.replace(low, F.lit(c))) - F.length("text") / 40.0 for c in _LETTERS]
+    vectors = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array(*counts).alias("vector"))
+    return similar.near_pairs(vectors, "doc_id", "vector", 0.995)[0]
+
+
+@query(
+    """SELECT p_brand AS path, 'hash' || p_partkey AS hash, 'f' || p_size || '.md' AS file, 'Q1.' || p_partkey AS question FROM part"""
+)
+def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of question files, one a brand, of which every other has its hashes in the old list form."""
+    k = F.col("p_partkey")
+    entry = F.struct(F.concat(F.lit("hash"), k).alias("h"), F.concat(F.lit("f"), F.col("p_size"), F.lit(".md")).alias("f"), F.concat(F.lit("Q1."), k).alias("q"))
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    as_map = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["h"].alias("key"), F.array(x["f"], x["q"]).alias("value")))))
+    as_list = F.to_json(F.transform("e", lambda x: F.array(x["h"], x["f"], x["q"])))
+    text = F.concat(F.lit('{"ticker": "AB", "sections": {}, "question_hashes": '), F.when(F.substring("p_brand", -1, 1).cast("int") % 2 == 0, as_map).otherwise(as_list), F.lit("}"))
+    return files.question_manifests(brands.select(F.col("p_brand").alias("path"), text.alias("text")))[1]

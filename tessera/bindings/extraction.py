@@ -61,7 +61,7 @@ _SPELLED = [("Item 1 - Business", "ITEM 1:", "Item 1\u2014Our Business"), ("Item
 
 
 @query(
-    f"""SELECT doc_id, key, title, md5(trim(content, chr(10) || ' ')) AS content FROM ({_CUTS}) WHERE length(trim(chr(10) || content || chr(10), ' ')) >= 50"""
+    f"""SELECT doc_id, key, title, md5(trim(content, chr(10) || ' ')) AS content FROM ({_CUTS}) WHERE length(trim(chr(10) || content, ' ')) >= 50"""
 )
 def section_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of filings whose headers are spelled in three ways: with a dash or another mark, with nothing before the title, without a title."""

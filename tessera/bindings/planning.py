@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import lexicon
+from tessera.bindings.retrieval import new_folder
 from tessera.catalog import query, table
 from tessera.functions import text as text_functions
 from tessera.operators import planning, rendering
@@ -112,3 +113,30 @@ _GUIDES = ", ".join(f"('{k}', '{w}', '{g}')" for k, (w, _, g) in lexicon.SECTION
 def section_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = planning.with_weights(_sections(spark, sf_dir), "section", planning.weights(spark))
     return weighted.select("doc_id", rendering.section_prompt(F.col("weight"), F.col("guidance")).alias("prompt"))
+
+
+_BASE = f"""SELECT doc_id, section, length(text) AS chars, coalesce(base, 800) AS base, 'd' || doc_id || '_' || trim(regexp_replace(regexp_replace(replace(section, '&', '-and-'), '\\s', '-', 'g'), '-+', '-', 'g'), '-') AS custom_id,
+greatest(coalesce(base, 800), floor(floor(length(text) / 4) * 0.6))::INT AS lim FROM ({_SECTIONS}) LEFT JOIN (VALUES {_WEIGHTS}) w(k, weight, base) ON k = {_KEY} WHERE length(text) <= 50000"""
+
+
+def _answers(requests: DataFrame) -> DataFrame:
+    """Stands for a model that needs as many tokens as half of the characters."""
+    return requests.select("doc_id", "custom_id", "max_tokens", (F.floor(F.length("text") / 2) > F.col("max_tokens")).alias("truncated"))
+
+
+@query(f"SELECT doc_id, custom_id, least(floor(lim * 1.5)::INT, 32000) AS max_tokens FROM ({_BASE}) WHERE chars // 2 > least(lim, 32000)")
+def resubmit_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose answer was cut off, planned again with half as much again; no others."""
+    sections, weights, prefix = _sections(spark, sf_dir), planning.weights(spark), F.concat(F.lit("d"), F.col("doc_id"))
+    first = _answers(planning.plan(sections, "section", "text", prefix, weights))
+    return planning.resubmit(sections, first, "section", "text", prefix, weights).select("doc_id", "custom_id", "max_tokens")
+
+
+@query(
+    f"""WITH r AS (SELECT *, unnest(range(10)) AS round FROM ({_BASE})), t AS (SELECT *, least(CASE WHEN round = 0 THEN lim ELSE floor(lim * pow(1.5, round))::INT END, 32000) AS max_tokens FROM r)
+    SELECT doc_id, custom_id, round::INT AS round, max_tokens, chars // 2 > max_tokens AS truncated FROM t WHERE NOT (chars // 2 > max_tokens AND max_tokens < 32000) QUALIFY row_number() OVER (PARTITION BY doc_id, custom_id ORDER BY round) = 1"""
+)
+def plan_until_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan, answer, and plan again what was cut off, with limits that rise until nothing is."""
+    prefix = F.concat(F.lit("d"), F.col("doc_id"))
+    return planning.until_whole(_sections(spark, sf_dir), "section", "text", prefix, planning.weights(spark), _answers, new_folder(spark, "rounds"))

@@ -122,3 +122,19 @@ def marked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("**Note"), bare)).otherwise(bare)
     note = F.regexp_replace(rendering.marked_note(marked, "**Note", 506), r"^\*\*Note", "")
     return table(spark, sf_dir, "documents").select("doc_id", F.length(bare).alias("chars"), F.when(F.col("doc_id") % 4 == 0, note).otherwise(F.lit("")).alias("note"))
+
+
+_WIDE = "greatest(length(p_name), length(p_brand), 4)::INT"
+_NARROW = "greatest(length(p_size::VARCHAR), 4)::INT"
+
+
+@query(
+    f"""SELECT p_partkey, 'Intro of ' || p_name || chr(10) || chr(10) || '| ' || rpad('name', {_WIDE}, ' ') || ' | **size** ' || repeat(' ', {_NARROW} - 4) || '|' || chr(10)
+    || '| :' || repeat('-', {_WIDE} - 1) || ' | ' || repeat('-', {_NARROW} - 1) || ': |' || chr(10) || '| ' || rpad(p_name, {_WIDE}, ' ') || ' | **' || p_size || '**' || repeat(' ', {_NARROW} - length(p_size::VARCHAR)) || ' |' || chr(10)
+    || '| _' || p_brand || '_' || repeat(' ', {_WIDE} - length(p_brand)) || ' | ' || repeat(' ', {_NARROW}) || ' |' || chr(10) || 'a | b' || chr(10) || '| x |' || chr(10) || '> | no table' AS text FROM part"""
+)
+def table_realign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two tables between paragraphs, of several widths, with bold and italic cells and a row that is short."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("Intro of "), F.col("p_name"), F.lit("\n\n|name|**size**|\n|:--|-:|\n| "), F.col("p_name"), F.lit(" |**"), size, F.lit("**|\n  |_"), F.col("p_brand"), F.lit("_|\na | b\n|x|\n> | no table"))
+    return table(spark, sf_dir, "part").select("p_partkey", rendering.realign(text).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,37 @@ def merge_sections(old: DataFrame, new: DataFrame, key_col: str) -> DataFrame:
 def missing(expected: DataFrame, generated: DataFrame, key_col: str) -> DataFrame:
     key = text_functions.canonical_section(F.col(key_col)).alias("_key")
     return expected.withColumn("_key", key).join(generated.select(key), "_key", "left_anti").drop("_key")
+
+
+def resubmit(sections: DataFrame, results: DataFrame, section_col: str, content_col: str, prefix: Column, table: DataFrame, multiplier: float = 1.5, **limits) -> DataFrame:
+    """Requests, with higher limits, for the sections that have a truncated result (custom_id, truncated), and for no others; ids are made as before."""
+    base = F.regexp_replace("custom_id", r"_part\d+$", "").alias("_base")
+    cut = results.where("truncated").select(base).distinct()
+    name = F.concat_ws("_", prefix, text_functions.custom_id(F.col(section_col)))
+    again = sections.withColumn("_base", name).join(cut, "_base", "left_semi").drop("_base")
+    return plan(again, section_col, content_col, prefix, table, multiplier=multiplier, **limits)
+
+
+def until_whole(
+    sections: DataFrame, section_col: str, content_col: str, prefix: Column, table: DataFrame, summarise: Callable[[DataFrame], DataFrame], at: str, multiplier: float = 1.5, most_rounds: int = 10, **limits
+) -> DataFrame:
+    """(custom_id, round, max_tokens, and what ``summarise`` adds): the last result of each request.
+
+    ``summarise`` (requests) -> results with ``truncated`` may be a batch of a model. Sections with a truncated result are planned again, with
+    limits that rise from round to round, until none is left, or only such as have the highest limit already. Each round is written under
+    ``at``, so that a later one starts from tables; only the number of rounds and a flag come to the driver.
+    """
+    spark, rounds = sections.sparkSession, []
+    now = plan(sections, section_col, content_col, prefix, table, **limits)
+    for k in range(most_rounds):
+        summarise(now).withColumn("round", F.lit(k)).write.mode("overwrite").parquet(f"{at}/round={k}/results")
+        done = spark.read.parquet(f"{at}/round={k}/results")
+        rounds.append(done)
+        open_ = done.where(F.col("truncated") & (F.col("max_tokens") < MOST_TOKENS))
+        if not open_.limit(1).count():
+            break
+        now = resubmit(sections, open_, section_col, content_col, prefix, table, multiplier ** (k + 1), **limits)
+    last = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        last = last.unionByName(earlier.join(last.select("custom_id"), "custom_id", "left_anti"))
+    return last

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +92,46 @@ def align(rows: DataFrame, key: str, order: str, cells: str) -> DataFrame:
     return joined(line, [key], order, F.concat(F.lit("| "), F.col("line"), F.lit(" |")), "text")
 
 
+def _shown(cell: str) -> int:
+    """Length of a cell without the marks of bold and italic, as ``display_width`` has it."""
+    for mark in (r"\*\*(.+?)\*\*", r"__(.+?)__", r"\*(.+?)\*", r"_(.+?)_"):
+        cell = re.sub(mark, r"\1", cell)
+    return len(cell)
+
+
+def _aligned(lines: list[str]) -> Iterator[str]:
+    """A table's lines with all columns as wide as their widest cell shows; rows of dashes are made anew, with their colons."""
+    rows = [[c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")] for line in lines]
+    many = max(map(len, rows))
+    rows = [row + [""] * (many - len(row)) for row in rows]
+    widths = [max(map(_shown, column)) for column in zip(*rows, strict=True)]
+    for row in rows:
+        if any(row) and all(set(c) <= set("-:") for c in row):
+            ends = [(c[:1] == ":", c[-1:] == ":") for c in row]
+            row = [":" * left + "-" * (w - left - right) + ":" * right for w, (left, right) in zip(widths, ends, strict=True)]
+        yield "| " + " | ".join(c + " " * (w - _shown(c)) for c, w in zip(row, widths, strict=True)) + " |"
+
+
+def realign(text: Column) -> Column:
+    """Markdown whose tables (runs of lines that start and end with a bar) are aligned as they show; all other lines stay."""
+
+    def table(line: str) -> bool:
+        bare = line.strip()
+        return len(bare) > 1 and bare[0] == bare[-1] == "|"
+
+    def one(markdown: str | None) -> str | None:
+        if markdown is None:
+            return None
+        runs = groupby(markdown.split("\n"), key=table)
+        return "\n".join(line for is_table, lines in runs for line in (_aligned(list(lines)) if is_table else lines))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(text)
+
+
 def wrap(text: Column, width: int = 100) -> Column:
     """Markdown with long lines wrapped; headers, tables, rules and code stay, list items hang."""
 

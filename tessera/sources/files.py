@@ -116,3 +116,36 @@ def questions(frame: DataFrame, path_col: str = "path", text_col: str = "text")
     field = lambda name: F.nullif(F.trim(F.regexp_extract("_b", rf"(?m)^\*\*{name}:\*\*[ \t]*(.+)$", 1)), F.lit(""))
     out = blocks.select(path_col, "section", F.regexp_extract("_b", r"^(Q\d+\.\d+)", 1).alias("id"), F.coalesce(F.lower(field("Depth")), F.lit("medium")).alias("depth"), F.coalesce(F.lower(field("Status")), F.lit("pending")).alias("status"), field("Question").alias("question"), F.nullif(F.trim(F.regexp_extract("_b", r"(?s)\*\*Answer:\*\*(.*?)(?:\n\*\*|\n---|$)", 1)), F.lit("")).alias("answer"))
     return out.where((F.length("id") > 0) & F.col("question").isNotNull())
+
+
+#: Counts of questions by their status, as a manifest has them.
+_COUNTS = ("question_count", "pending", "in_progress", "answered", "errors", "needs_deeper", "incomplete")
+
+
+def question_manifests(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(sections, hashes) of manifests of question files, one a row: (id, ticker, file, counts) and (id, hash, file, question).
+
+    Hashes stand in a map (hash to file and question) or, in older manifests, in a list of triples, which may be empty; both give the same rows.
+    What is missing is zero or null, and a text that is no JSON has no rows.
+    """
+    read = texts.select(F.col(id_col).alias("_id"), F.try_parse_json(text_col).alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    entry = "struct<" + ",".join(f"{c}:bigint" for c in _COUNTS) + ">"
+    per_file = read.select("_id", get("$.ticker", "string").alias("ticker"), F.explode(get("$.sections", f"map<string,{entry}>")).alias("file", "s"))
+    sections = per_file.select(F.col("_id").alias(id_col), "ticker", "file", *(F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in _COUNTS))
+    of_map = F.transform(F.map_entries(get("$.question_hashes", "map<string,array<string>>")), lambda e: F.struct(e["key"].alias("hash"), e["value"][0].alias("file"), e["value"][1].alias("question")))
+    of_list = F.transform(get("$.question_hashes", "array<array<string>>"), lambda e: F.struct(e[0].alias("hash"), e[1].alias("file"), e[2].alias("question")))
+    hashes = read.select("_id", F.explode(F.coalesce(of_map, of_list)).alias("h")).select(F.col("_id").alias(id_col), "h.*")
+    return sections, hashes
+
+
+def refreshed_manifest(asked: DataFrame, ticker: str, path_col: str = "path") -> DataFrame:
+    """(text) of the manifest of question files (path, id, status, question), all counts and hashes made anew."""
+    from tessera.functions.text import question_key
+
+    named = {"pending": "pending", "in_progress": "in_progress", "answered": "answered", "errors": "error", "needs_deeper": "needs_deeper", "incomplete": "incomplete"}
+    counts = asked.groupBy(path_col).agg(F.count(F.lit(1)).alias("question_count"), *(F.count_if(F.lower("status") == word).alias(c) for c, word in named.items()))
+    sections = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(path_col).alias("key"), F.struct(*_COUNTS).alias("value"))))).alias("sections"))
+    first = asked.groupBy(question_key(F.col("question")).alias("key")).agg(F.min(F.struct(path_col, "id")).alias("at"))
+    hashes = first.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.array(f"at.{path_col}", "at.id").alias("value"))))).alias("question_hashes"))
+    return sections.crossJoin(hashes).select(F.to_json(F.struct(F.lit(ticker).alias("ticker"), "sections", "question_hashes")).alias("text"))
