@@ -5,8 +5,8 @@ A string that stands twice has the same anchor at both places (see
 strings around each anchor, of which equal ones are sent once by a task, meet
 in groups by anchor. Whole groups fill blocks of bounded size, and each block's suffixes are
 put in order by two-stage sorting: those smaller than their successors are
-sorted directly, the rest are induced by scanning the buckets. Neighbours with
-a common prefix of the full length are repeats.
+sorted directly, the rest are induced by scanning the buckets. Then the lengths of the prefixes that
+neighbours have in common are computed, and those of the full length are repeats.
 """
 
 from __future__ import annotations
@@ -87,21 +87,34 @@ def sorted_starts(text: bytes, wanted: np.ndarray, depth: int) -> list[int]:
     return [p for p in order if keep[p]]
 
 
+def common_prefixes(text: bytes, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place but the first in ``order``, the length of what it has in common with the place before it, ``most`` at most; all of them stand that far from the end."""
+    padded = np.frombuffer(text + bytes(8), np.uint8)
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = np.zeros(max(len(order) - 1, 0), np.int64)
+    left, right, alive = order[:-1], order[1:], np.arange(len(out))
+    for at in range(0, most, 8):
+        a, b = (np.ascontiguousarray(words[p + at]).view(np.uint64).ravel() for p in (left[alive], right[alive]))
+        differ = a ^ b
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs, in the first byte that does
+        out[alive] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+        alive = alive[differ == 0]
+        if not len(alive):
+            break
+    return np.minimum(out, most)
+
+
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of several different segments, flags of the starts whose ``length`` bytes stand in another segment, too."""
+    """For each of several different segments, flags of the starts whose ``length`` bytes stand in another segment, too: those with so long a prefix in common with a neighbour in order."""
     text = b"".join(segments)
     starts = np.cumsum([0, *map(len, segments)])
     wanted = np.zeros(len(text), bool)
     for a, b in zip(starts, starts[1:], strict=False):
         wanted[a : b - length + 1] = True
-    order = sorted_starts(text, wanted, length)
+    order = np.array(sorted_starts(text, wanted, length), np.int64)
+    whole = common_prefixes(text, order, length) >= length
     found = np.zeros(len(text), bool)
-    before, seen = -1, b""
-    for p in order:
-        here = text[p : p + length]
-        if here == seen:
-            found[before] = found[p] = True
-        before, seen = p, here
+    found[order[1:][whole]] = found[order[:-1][whole]] = True
     return [found[a : b - length + 1] for a, b in zip(starts, starts[1:], strict=False)]
 
 

@@ -5,14 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import chat, decontaminate, html, lines, near, packing, quality, simhash, suffixes, tokens, urls
+from tessera.llm import chat, decontaminate, html, jaccard, lines, mining, near, packing, quality, repair, simhash, suffixes, tokens, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the operators use for columns of their own.
 NAMES = (
     "_counts counts row words trimmed windows ordered again base_failed kept rejected_by n_words n_symbols _round rule took hit dropped _of _hash _id _node sparse h1 h2 h pos key line uid sha data z hits spans seg lo hi place removed "
     "fp root node a b component_id first keys s1 s2 size set _bucket _n _before _nth _rank length piece start ids_crc32 sequence_id offset leaks item_id share answer_share features weights part feature n "
-    "host path verdict trust distrust near best suffix src dst weight score conv _part turns t ts at task"
+    "host path verdict trust distrust near best suffix src dst weight score conv _part turns t ts at task text_hash set_id s3 s4 rows wanted packed m root sets n_shingles anchor id label vector is_anchor nth block of positive_id positive_score rank negative_id nth pos fault symbol signature ways gaps audit sha cost group"
 ).split()
 LONG = " ".join(f"long{k % 5000}" for k in range(60_000))
 GOOD = " ".join(f"word{k} of a text that is fine" for k in range(12))
@@ -46,11 +46,12 @@ OPERATORS = {
     "simhash.one_of_each": simhash.one_of_each,
     "near.one_of_each": near.one_of_each,
     "remove_repeats": suffixes.remove_repeats,
+    "link_documents": jaccard.link_documents,
     "drop_lines": lines.drop_lines,
     "with_dropped": lambda d: lines.with_dropped(d, lines.line_bitmaps(d, min_docs=2)),
 }
 #: Operators with one row per row of the table.
-ROW_BY_ROW = {"count_tokens", "with_leaks", "judge", "near_duplicates", "remove_repeats", "drop_lines", "with_dropped"}
+ROW_BY_ROW = {"link_documents", "count_tokens", "with_leaks", "judge", "near_duplicates", "remove_repeats", "drop_lines", "with_dropped"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -63,7 +64,7 @@ def test_operators(docs, name):
     if name in ("keep_good", "simhash.one_of_each", "near.one_of_each", "drop_lines"):
         assert out.columns == frame.columns and all(r["uid"] == r["dropped"] == r["root"] == "clash" for r in found)
     if name == "pack_documents":
-        assert len({(r["doc_id"], r["piece"]) for r in found}) <= len(found) and sum(r["piece"] == 0 for r in found) == len(rows)
+        assert sum(r["piece"] == 0 for r in found) == len(rows) and all(0 < r["length"] <= 1024 and 0 <= r["offset"] <= 1024 - r["length"] for r in found)
     assert OPERATORS[name](frame.limit(0)).collect() == []
 
 
@@ -95,3 +96,15 @@ def test_pages_and_chats(spark):
     turns = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (None, None, None, LONG), (2, 1, "user", "")], "conv_id long, turn long, role string, text string").select("*", *extra)
     assert sorted(r["n_turns"] for r in chat.format_chats(turns).collect()) == [1, 1, 1]
     assert chat.format_chats(turns.limit(0)).collect() == [] and html.extract(pages.limit(0)).collect() == [] and urls.judge(pages.limit(0), rules).collect() == []
+
+
+def test_vectors_and_repaired_chats(spark):
+    names = [n for n in dict.fromkeys(NAMES) if n not in ("label", "turn", "role", "text")]
+    extra = [F.lit("clash").alias(n) for n in names]
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, None, 1), (4, [None, 1.0], 1), (None, [1.0, 0.0], 1), (5, [], 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *extra)
+    found = {(r["positive_id"], r["negative_id"]) for r in mining.mine(vectors, F.col("vec_id") == 0).collect()}
+    assert found == {(1, 2), (None, 2)} and mining.mine(vectors.limit(0), F.col("vec_id") == 0).collect() == []
+    turns = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (None, None, None, LONG), (2, 1, "user", ""), (2, 2, "user", LONG + ".")], "conv_id long, turn long, role string, text string").select("*", *extra)
+    assert {(r["conv_id"], r["audit"]) for r in repair.repair(turns).collect()} == {(1, "DD"), (None, "D"), (2, "DKI")}
+    assert repair.repair(turns.limit(0)).collect() == []

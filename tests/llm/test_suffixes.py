@@ -73,3 +73,15 @@ def test_anchors_depend_on_content_alone(monkeypatch):
         assert first[0] == 0 and last[-1] == len(data) - 200 and (first[1:] == last[:-1] + 1).all()
         seen.add(int(h[np.searchsorted(last, n)]))
     assert len(seen) == 1
+
+
+def test_common_prefixes_match_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        text = bytes(rng.choices(b"ab" if rng.random() < 0.5 else b"a\xff\x00b", k=400))
+        for most in (1, 7, 8, 9, 40):
+            order = sorted(range(len(text) - most), key=lambda i: text[i : i + most])
+            got = suffixes.common_prefixes(text, np.array(order), most)
+            want = [next((k for k in range(most) if text[a + k] != text[b + k]), most) for a, b in zip(order, order[1:], strict=False)]
+            assert got.tolist() == want
+    assert suffixes.common_prefixes(b"abc", np.array([1]), 2).tolist() == [] and suffixes.common_prefixes(b"", np.array([], np.int64), 2).tolist() == []
