@@ -227,9 +227,8 @@ def results_between_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest order of the priority that comes first."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("filing_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.col("o_orderkey").alias("accession"))
-    first = orders.agg(F.min("filing_type").alias("first"))
-    of_type = orders.join(F.broadcast(first), F.col("filing_type") == F.col("first"))
-    return of_type.orderBy(F.desc("filing_date"), "accession").limit(1).select(F.col("filing_type").alias("o_orderpriority"), "filing_date")
+    first = orders.agg(F.min("filing_type")).first()[0]
+    return filters.latest_matching(orders, first).select(F.col("filing_type").alias("o_orderpriority"), "filing_date")
 
 
 @query(

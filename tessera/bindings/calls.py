@@ -106,6 +106,29 @@ def summary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", transcripts.summary_name(name, "call", F.col("o_orderdate")).alias("name"))
 
 
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'earnings_Q' || quarter(o_orderdate) || '_FY' || lpad((year(o_orderdate) % 100)::VARCHAR, 2, '0') || '_' || o_orderdate::DATE WHEN 1 THEN 'conference_Morgan_Stanley_' || o_orderdate::DATE
+    WHEN 2 THEN 'conference_Tech_Leaders_' || o_orderdate::DATE WHEN 3 THEN 'analyst_Piper_Sandler_' || o_orderdate::DATE WHEN 4 THEN 'analyst_' || o_orderdate::DATE || '_Acme_Own_Desk' || o_orderkey
+    WHEN 5 THEN 'presentation_Capital_Markets_Day_' || o_orderdate::DATE WHEN 6 THEN 'presentation_' || o_orderdate::DATE || '_Acme_Deck_' || o_orderkey ELSE 'transcript_' || o_orderdate::DATE || '_Acme_call_' || o_orderkey END || '.md' AS name FROM orders"""
+)
+def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of all kinds of document, whose names tell quarter, host, firm or occasion, or nothing."""
+    n, day = F.col("o_orderkey"), F.col("o_orderdate")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    k = n % 8
+    stem = (
+        F.when(k == 0, said("Acme, Q", F.quarter(day), " ", F.year(day), " Earnings Call, ", F.date_format(day, "MMM d, yyyy")))
+        .when(k == 1, said("Acme Presents at Morgan  Stanley TMT Conference, ", F.date_format(day, "MMM-dd-yyyy"), " 09-00 AM"))
+        .when(k == 2, said("Acme Presents at Tech Leaders' Forum, ", F.date_format(day, "MMMM-dd-yyyy")))
+        .when(k == 3, said("Acme - PIPER SANDLER - Note ", n))
+        .when(k == 4, said("Acme - Own Desk", n))
+        .when(k == 5, said("Acme Capital Markets update ", n))
+        .otherwise(F.when(k == 6, said("Acme (Deck) ", n)).otherwise(said("Acme call ", n)))
+    )
+    kind = F.when(k.isin(0, 7), "transcript").when(k.isin(1, 2), "conference").when(k.isin(3, 4), "analyst").otherwise("presentation")
+    return table(spark, sf_dir, "orders").select("o_orderkey", transcripts.summary_file(kind, stem, day).alias("name"))
+
+
 @query(
     f"""SELECT conv_id, turn AS chunk_index, CASE WHEN turn < 2 THEN 'presentation' ELSE 'qa' END AS section, CASE role {' '.join(f"WHEN '{r}' THEN '{n} - {t}'" for r, (n, t) in _WHO.items())} END AS speaker, md5(trim(replace(text, chr(10), ' '))) AS text FROM conversations"""
 )

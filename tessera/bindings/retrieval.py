@@ -224,9 +224,8 @@ def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM hits h JOIN sized USING (conv_id) JOIN w USING (hit_rank)"""
 )
 def parent_or_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.col("approx_tokens") <= 600
-    window = neighbor_window(spark, sf_dir)
-    return window.join(_parents(spark, sf_dir), "conv_id", "left").select("hit_rank", "conv_id", F.when(whole, "section").otherwise("window").alias("mode"), F.when(whole, F.col("content")).otherwise(F.col("context")).alias("context"))
+    found = retrieval.parent_or_window(neighbor_window(spark, sf_dir), _parents(spark, sf_dir), "conv_id", 600)
+    return found.select("hit_rank", "conv_id", "mode", "context")
 
 
 @query(f"WITH hits AS ({_HITS}) SELECT conv_id, min(hit_rank)::BIGINT AS hit_rank FROM hits GROUP BY 1")

@@ -65,6 +65,21 @@ def missing(expected: DataFrame, generated: DataFrame, key_col: str) -> DataFram
     return expected.withColumn("_key", key).join(generated.select(key), "_key", "left_anti").drop("_key")
 
 
+#: Kind of document -> the sections that are asked of it; others are asked for one summary.
+DOCUMENT_SECTIONS = {"transcript": ["Prepared Remarks", "Q&A"], "conference": ["Prepared Remarks", "Q&A"]}
+#: Characters of a part of such a document.
+DOCUMENT_CHARS = 250_000
+
+
+def plan_documents(documents: DataFrame, kind_col: str, content_col: str, prefix: Column, table: DataFrame, only: list[str] | None = None, chars: int = DOCUMENT_CHARS) -> DataFrame:
+    """Requests for whole documents: one for each section of the document's kind (adds ``section``), with parts like ``plan``; ``only`` keeps sections by canonical key."""
+    known = F.create_map(*(x for kind, names in DOCUMENT_SECTIONS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))))
+    each = documents.withColumn("section", F.explode(F.coalesce(F.try_element_at(known, F.col(kind_col)), F.array(F.lit("Summary")))))
+    if only:
+        each = each.where(text_functions.canonical_section(F.col("section")).isin(*(" ".join(o.lower().replace("&", " and ").replace("-", " ").split()) for o in only)))
+    return plan(each, "section", content_col, prefix, table, chars, chars)
+
+
 def resubmit(sections: DataFrame, results: DataFrame, section_col: str, content_col: str, prefix: Column, table: DataFrame, multiplier: float = 1.5, **limits) -> DataFrame:
     """Requests, with higher limits, for the sections that have a truncated result (custom_id, truncated), and for no others; ids are made as before."""
     base = F.regexp_replace("custom_id", r"_part\d+$", "").alias("_base")

@@ -169,6 +169,13 @@ def neighbours(hits: DataFrame, chunks: DataFrame, section_col: str, position_co
     return wanted.join(chunks, [section_col, position_col])
 
 
+def parent_or_window(windows: DataFrame, parents: DataFrame, key: str, most_tokens: int = 8000) -> DataFrame:
+    """Windows (key, context) with their whole section (key, content, approx_tokens) in place of the context where it is known and has ``most_tokens`` at most; ``mode`` says which: section or window."""
+    whole = F.coalesce(F.col("approx_tokens") <= most_tokens, F.lit(False))
+    met = windows.join(parents.select(key, "content", "approx_tokens"), key, "left")
+    return met.withColumns({"mode": F.when(whole, "section").otherwise("window"), "context": F.when(whole, F.col("content")).otherwise(F.col("context"))}).drop("content", "approx_tokens")
+
+
 def first_seen(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")

@@ -74,3 +74,11 @@ def test_rounds_end_and_only_truncated_sections_are_planned_again(spark, tmp_pat
     assert found["p_Other"] == (0, 800, False) and found["p_Item-1"] == (2, 6750, False)
     assert found["p_Item-7"][1:] == (planning.MOST_TOKENS, True)  # it can't rise any further
     assert asked[0] == ["p_Item-1", "p_Item-7", "p_Other"] and asked[1] == ["p_Item-1", "p_Item-7"] and asked[-1] == ["p_Item-7"] and len(asked) < 10
+
+
+def test_documents_are_planned_by_their_kind(spark):
+    docs = spark.createDataFrame([("a", "transcript", "x" * 10), ("b", "presentation", "y" * 10), ("c", "conference", "z" * 40)], "id string, kind string, text string")
+    made = planning.plan_documents(docs, "kind", "text", F.col("id"), planning.weights(spark))
+    assert sorted(r["custom_id"] for r in made.collect()) == ["a_Prepared-Remarks", "a_Q-and-A", "b_Summary", "c_Prepared-Remarks", "c_Q-and-A"]
+    some = planning.plan_documents(docs, "kind", "text", F.col("id"), planning.weights(spark), only=["q-&-a"])
+    assert sorted(r["custom_id"] for r in some.collect()) == ["a_Q-and-A", "c_Q-and-A"]
