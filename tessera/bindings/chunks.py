@@ -13,7 +13,9 @@ _SENTENCES = "string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || ch
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """The documents; dealt out only where the files have fewer parts than there are cores, as a small table of one row group has."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 @query(f"SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, list_filter({_SENTENCES}, lambda x: length(x) > 0) AS s FROM documents)")
