@@ -120,7 +120,7 @@ def format_chats(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_chats(rendered: DataFrame) -> DataFrame:
-    """Rows of ``format_chats`` -> (conv_id, part, piece, position, role, text): the turns again; a null role is ``unknown``, a null text empty."""
+    """Rows of ``format_chats`` -> (conv_id, part, piece, position, role, text): the turns again; a null role is ``unknown``, a null text empty. A null text of ``rendered`` has no turns; repeated rows each give theirs; other columns are dropped; an empty table gives an empty result."""
     turns = F.filter(F.split("text", r"<\|im_start\|>"), lambda t: t != "")
     each = rendered.select("conv_id", "part", "piece", F.posexplode(turns).alias("position", "turn"))
     head, body = F.substring_index("turn", "\n", 1), F.regexp_extract("turn", r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)

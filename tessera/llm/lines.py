@@ -33,7 +33,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for line 64 w + i; words without a dropped line are left out, and so are
     documents without one. Rows alike in id and text share a bitmap, but count
     as documents each; a line that a row repeats counts once for it. Null texts
-    have one empty line; null ids are a value as any other.
+    have one empty line; null ids are a value as any other. Columns of any name besides are ignored; an empty table has no bitmaps.
 
     Hashes (96 bits) are dealt out by ranges of (hash, document), so one line
     that stands in a third of all documents spreads over as many tasks as its share; counts are

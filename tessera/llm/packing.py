@@ -234,6 +234,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids, doc_ids, starts) of packed pieces with ``ids``: the training rows, each no longer than the capacity."""
+    """(sequence_id, ids, doc_ids, starts) of packed pieces with ``ids``: the training rows, each no longer than the capacity. Null ids of documents stay null; columns of any name besides are dropped; no pieces make no rows."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("starts"))

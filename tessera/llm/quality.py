@@ -140,5 +140,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, that ``judge`` keeps."""
+    """The rows of ``docs``, with their columns of any name, that ``judge`` keeps: null, empty and blank texts go, repeated rows stay as often as they come, null ids are no matter. An empty table gives an empty result."""
     return verdicts(docs, id_col, text_col).where("kept").select("row.*")

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_bits: int = 2, blocks: int = 4) -> DataFrame:
     """The rows of ``docs``, with their columns, that stand for their component: the smallest in order of id (nulls last) and text hash.
 
-    Of rows alike in id and text one stays.
+    Of rows alike in id and text one stays. Null, empty and blank texts are one component; null ids take part. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     text = F.col(text_col)
