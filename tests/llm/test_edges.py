@@ -10,9 +10,10 @@ from tessera.llm import chat, decontaminate, html, jaccard, lines, mining, near,
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the operators use for columns of their own.
 NAMES = (
-    "_counts counts row words trimmed windows ordered again base_failed kept rejected_by n_words n_symbols _round rule took hit dropped _of _hash _id _node sparse h1 h2 h pos key line uid sha data z hits spans seg lo hi place removed "
-    "fp root node a b component_id first keys s1 s2 size set _bucket _n _before _nth _rank length piece start ids_crc32 sequence_id offset leaks item_id share answer_share features weights part feature n "
-    "host path verdict trust distrust near best suffix src dst weight score conv _part turns t ts at task text_hash set_id s3 s4 rows wanted packed m root sets n_shingles anchor id label vector is_anchor nth block of positive_id positive_score rank negative_id nth pos fault symbol signature ways gaps audit sha cost group"
+    "_counts counts row words trimmed windows ordered again base_failed kept rejected_by n_words n_symbols _round rule took hit dropped _of _hash _id _node sparse h1 h2 h pos key line uid sha data z hits "
+    "spans seg lo hi place removed fp root node a b component_id first keys s1 s2 size set _bucket _n _before _nth _rank length piece start ids_crc32 sequence_id offset leaks item_id share answer_share "
+    "features weights part feature n host path verdict trust distrust near best suffix src dst weight score conv _part turns t ts at task text_hash set_id s3 s4 rows wanted packed m sets n_shingles anchor "
+    "id label vector is_anchor nth block of positive_id positive_score rank negative_id fault symbol signature ways gaps audit cost group"
 ).split()
 LONG = " ".join(f"long{k % 5000}" for k in range(60_000))
 GOOD = " ".join(f"word{k} of a text that is fine" for k in range(12))
@@ -99,7 +100,7 @@ def test_pages_and_chats(spark):
 
 
 def test_vectors_and_repaired_chats(spark):
-    names = [n for n in dict.fromkeys(NAMES) if n not in ("label", "turn", "role", "text")]
+    names = [n for n in NAMES if n not in ("label", "turn", "role", "text")]
     extra = [F.lit("clash").alias(n) for n in names]
     rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, None, 1), (4, [None, 1.0], 1), (None, [1.0, 0.0], 1), (5, [], 2)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *extra)
