@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera import lexicon
+from tessera.functions.bind import let
 
 _TERM = r"([\p{L}\p{N}_&/-]+)"
 
@@ -40,17 +41,20 @@ def expand(query: Column, acronyms: dict[str, str] | None = None, synonyms: dict
     """Phrases to search for besides a query: of its acronyms, acronyms of its phrases, synonyms of its words and phrases; none that it holds."""
     acronyms = lexicon.ACRONYMS if acronyms is None else acronyms
     synonyms = lexicon.SYNONYMS if synonyms is None else synonyms
-    low = F.lower(query)
     words = F.regexp_extract_all(query, F.lit(_TERM), F.lit(1))
     names = F.create_map(*(F.lit(x) for k, v in acronyms.items() for x in (k.upper(), v)))
-    of_acronyms = F.transform(words, lambda w: F.try_element_at(names, F.upper(w)))
-    of_phrases = F.array(*(F.when(low.contains(v.lower()), F.lit(k)) for k, v in acronyms.items()))
     heads = {k: v for k, v in synonyms.items() if " " not in k}
     single = F.create_map(*(x for k, v in heads.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    of_words = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(single, F.lower(w)), F.array().cast("array<string>"))))
-    of_heads = F.flatten(F.array(F.array().cast("array<string>"), *(F.when(low.contains(k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in synonyms.items() if " " in k)))
-    found = F.array_distinct(F.concat(of_acronyms, of_phrases, of_words, of_heads))
-    return F.filter(found, lambda x: x.isNotNull() & ~F.contains(low, F.lower(x)))
+    none = F.array().cast("array<string>")
+
+    def found(low: Column) -> Column:
+        of_acronyms = F.transform(words, lambda w: F.try_element_at(names, F.upper(w)))
+        of_phrases = F.array(*(F.when(low.contains(v.lower()), F.lit(k)) for k, v in acronyms.items()))
+        of_words = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(single, F.lower(w)), none)))
+        of_heads = F.flatten(F.array(none, *(F.when(low.contains(k), F.array(*map(F.lit, v))).otherwise(none) for k, v in synonyms.items() if " " in k)))
+        return F.filter(F.array_distinct(F.concat(of_acronyms, of_phrases, of_words, of_heads)), lambda x: x.isNotNull() & ~F.contains(low, F.lower(x)))
+
+    return let(F.lower(query), found)
 
 
 def vector_weight(query: Column) -> Column:
