@@ -15,15 +15,14 @@ from pyspark.sql import types as T
 from tessera.llm import latent
 from tessera.llm.scratch import Scratch
 
-#: Different texts whose passages the latent basis is fitted on, at most, about. All documents count for frequencies and all are searched.
+#: Documents whose passages one task of the latent basis' fit sums, at least, about. The basis is fitted on all, all count for frequencies and all are searched.
 FIT_DOCUMENTS = 3000
 #: Benchmark items that go to the tasks at once.
 ITEMS = 5000
 #: Items of fewer words are found word for word alone; of longer ones, that many words lead to where they stand word for word.
 SHORTEST = 5
-#: Words whose vectors are summed at once; bytes of texts that are joined.
+#: Words whose vectors are summed at once.
 _SPAN = 1 << 13
-_GROUP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -139,20 +138,11 @@ class _Search:
         self.grain = max(min((s.window for s in scales), default=2) // 2, 1)
 
     def __call__(self, texts: Iterable[str | None]) -> list[list[dict]]:
-        out: list[list[dict]] = []
-        group: list[bytes] = []
-        size = 0
-        for text in texts:
-            group.append(latent.letters(text))
-            size += len(group[-1]) + 1
-            if size >= _GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
+        return [found for group in latent.groups(map(latent.letters, texts)) for found in self._group(group)]
 
     def _group(self, texts: list[bytes]) -> list[list[dict]]:
         best: list[dict[object, tuple[float, float]]] = [{} for _ in texts]
-        found, counts = self.features(*texts) if texts else (np.empty(0), np.empty(0))
+        found, counts = self.features(*texts)
         ends = np.cumsum(counts)
         words = [_Words(t) for t in texts]
         for place, item_id, item in self.verbatim(found):
@@ -161,12 +151,12 @@ class _Search:
             if item_id not in best[k] and words[k]()[start : start + len(item)] == item:
                 best[k][item_id] = (1.0, 1.0)
         for at in range(0, len(found), _SPAN):
-            part = self.vectors[found[at : at + _SPAN + self.widest]]
+            part = found[at : at + _SPAN + self.widest]
             grain = self.grain
             many = -(-len(part) // grain)
-            part = np.concatenate([part, np.zeros((many * grain - len(part), part.shape[1]), np.float32)])
-            total = np.zeros((many + self.widest // grain + 1, part.shape[1]), np.float32)
-            np.cumsum(part.reshape(many, grain, -1).sum(axis=1), axis=0, out=total[1 : many + 1])
+            part = np.append(part, np.full(many * grain - len(part), latent.FEATURES))
+            total = np.zeros((many + self.widest // grain + 1, self.vectors.shape[1]), np.float32)
+            np.cumsum(latent.sums(self.vectors, part.reshape(many, grain)), axis=0, out=total[1 : many + 1])
             total[many + 1 :] = total[many]
             for scale in self.scales:
                 self._windows(words, ends, at, min(_SPAN, len(found) - at), total, scale, best)
@@ -179,7 +169,7 @@ class _Search:
         sums = total[: many * apart + wide - apart + 1]
         sums = sums[wide::apart] - sums[:-wide:apart]
         limit = self.limits.near * np.sqrt(np.einsum("ij,ij->i", sums, sums))
-        rows, cols = np.nonzero(sums @ scale.vectors >= np.maximum(limit, 1e-6)[:, None])
+        rows, cols = np.divmod(np.flatnonzero(sums @ scale.vectors >= np.maximum(limit, 1e-6)[:, None]), len(scale.items))
         low = at + rows * step
         first = np.searchsorted(ends, low, "right")
         last = np.searchsorted(ends, low + window - 1, "right")
@@ -202,7 +192,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """``docs`` with the benchmark items found in each whole text: an array of (item_id, share, answer_share), empty if clean.
 
     Passages of documents and items are TF-IDF vectors over hashed words in a
-    latent space; windows of about an item's length, half overlapping, that are
+    latent space, which is fitted on all of them (documents of the same words count once there); windows of about an item's length, half overlapping, that are
     near an item are compared word by word. A document leaks an item if enough of
     the item's words stand there in order, or fewer of them with enough of
     its answer (see ``Limits``, ``answer_words``). Besides, an item of any length that stands there word for word
@@ -216,12 +206,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     scratch = Scratch(spark, "decontaminate")
     items = _different(benchmark, item_col, item_text_col)
     item_type = items.schema["item_id"].dataType
-    frequencies, rows = latent.document_frequencies(docs, text_col)
+    words = scratch.keep(latent.features_of(docs, text_col), "words")
+    frequencies, rows = latent.document_frequencies(words)
     idf = latent.inverse(frequencies, rows)
-    part = F.pmod(F.col("h"), F.lit(max(1, rows // FIT_DOCUMENTS))) == 0
-    sample = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where(part).groupBy("h").agg(F.first("text").alias("text"))
-    basis = latent.fit(sample.select("text").unionByName(items.select("text")), idf, scratch, rank)
-    vectors = spark.sparkContext.broadcast(basis * idf[:, None])
+    basis = latent.fit(words.distinct().unionByName(latent.features_of(items, "text")), idf, scratch, rank, tasks=rows // FIT_DOCUMENTS)
+    vectors = spark.sparkContext.broadcast(latent.weighted(basis, idf))
 
     blocks = -(-items.count() // ITEMS)
     kind = T.ArrayType(T.StructType([T.StructField("item_id", item_type), T.StructField("share", T.DoubleType()), T.StructField("answer_share", T.DoubleType())]))

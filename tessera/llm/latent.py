@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,12 @@ PASSAGE = 64
 _PART = 1 << 11
 #: Bytes that are hashed at once; a longer word is hashed on its own.
 STRETCH = 1 << 18
+#: Bytes of texts that are joined, passages and words that are summed at once.
+GROUP = 1 << 16
+_BLOCK = 1 << 14
+_RUN = 1 << 10
+#: Tasks of a sum over passages, at most: each sends FEATURES x width numbers.
+_TASKS = 64
 _LETTERS = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -73,22 +79,51 @@ class Features:
         return (found >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64), first
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """Number of texts with each feature, over all rows, and number of rows."""
+def groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts, in order, in groups of about GROUP bytes."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text) + 1
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def features_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """(words): the features of each text's words, in order, as 16-bit numbers; a row each, null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total, rows = Features(), np.zeros(FEATURES, np.int64), 0
+        features = Features()
+        for batch in batches:
+            out: list[bytes] = []
+            for group in groups(letters(text.as_py()) for text in batch.column(0)):
+                found, counts = features(*group)
+                out += [part.tobytes() for part in np.split(found.astype(np.int16), np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words binary")
+
+
+def document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
+    """Number of texts with each feature, over all rows of ``features_of``, and number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(FEATURES, np.int64), 0
         there = np.zeros(FEATURES, bool)
         for batch in batches:
-            for text in batch.column(0):
+            for found in batch.column(0):
                 there[:] = False
-                there[features(letters(text.as_py()))[0]] = True
+                there[np.frombuffer(found.as_py(), np.int16)] = True
                 total += there
             rows += batch.num_rows
         kinds = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kinds, -1)), pa.array(np.append(total[kinds], rows))], ["feature", "n"])
 
-    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    summed = words.select("words").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out, rows = np.zeros(FEATURES, np.int64), 0
     for r in summed:
         if r["feature"] < 0:
@@ -102,48 +137,78 @@ def inverse(frequencies: np.ndarray, rows: int) -> np.ndarray:
     return np.log((1 + rows) / (1 + frequencies)).astype(np.float32)
 
 
+def _lengths(passages: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lengths of the TF-IDF vectors of passages."""
+    found = np.sort(passages, axis=1).ravel()
+    first = np.diff(found, prepend=-1) != 0
+    first[::PASSAGE] = True
+    at = np.flatnonzero(first)
+    weights = np.diff(at, append=len(found)) * idf[found[at]]
+    return np.sqrt(np.bincount(at // PASSAGE, weights * weights, len(passages)))
+
+
 def _passages(idf: np.ndarray):
+    """Rows of ``features_of`` -> their passages, the last filled up with FEATURES, which weighs nothing, and one over each one's length."""
+    idf = np.append(idf, np.float32(0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features()
         for batch in batches:
-            features, weights = [], []
-            for text in batch.column(0):
-                found = of(letters(text.as_py()))[0]
-                for at in range(0, len(found), PASSAGE):
-                    kinds, n = np.unique(found[at : at + PASSAGE], return_counts=True)
-                    w = n * idf[kinds]
-                    features.append(kinds.astype(np.int32))
-                    weights.append(w / max(np.linalg.norm(w), 1e-9))
-            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["features", "weights"])
+            passages, scales = [], []
+            for found in batch.column(0):
+                words = np.frombuffer(found.as_py(), np.int16)
+                filled = np.full((-(-len(words) // PASSAGE), PASSAGE), FEATURES, np.int16)
+                filled.ravel()[: len(words)] = words
+                passages.append(filled)
+            many = np.cumsum([len(p) for p in passages])
+            if len(many):
+                every = np.concatenate(passages)
+                length = np.concatenate([_lengths(every[at : at + _BLOCK], idf) for at in range(0, max(len(every), 1), _BLOCK)])
+                scales = np.split((1 / np.maximum(length, 1e-9)).astype(np.float32), many[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in part], pa.binary()) for part in (passages, scales)], ["words", "scales"])
 
     return run
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    features, weights = batch.column(0), batch.column(1)
-    return features.flatten().to_numpy(), weights.flatten().to_numpy(), np.diff(features.offsets.to_numpy())
+def weighted(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A vector for each feature, and a zero one for what fills up."""
+    return np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
+
+
+def sums(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the vectors that each row names; a few thousand at a time, which stay in the processor's cache."""
+    many, size = rows.shape
+    step = max(_RUN * 4 // size, 1)
+    out, taken, ones = np.empty((many, vectors.shape[1]), np.float32), np.empty((step, size, vectors.shape[1]), np.float32), np.ones((1, size), np.float32)
+    for at in range(0, many, step):
+        n = min(step, many - at)
+        np.take(vectors, rows[at : at + n], axis=0, out=taken[:n], mode="clip")
+        np.matmul(ones, taken[:n], out=out[at : at + n, None])
+    return out
 
 
-def _times(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    features, weights, sizes = _flat(batch)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    return features, weights, rows, np.add.reduceat(basis[features] * weights[:, None], starts, axis=0)
+def _add(total: np.ndarray, passages: np.ndarray, scales: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds up, by feature, what passages are in the basis."""
+    there = sums(vectors, passages) * (scales * scales)[:, None]
+    order = np.argsort(passages, axis=None, kind="stable")
+    found, rows = passages.ravel()[order], order // PASSAGE
+    for at in range(0, len(found), _RUN):
+        part = found[at : at + _RUN]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        total[part[first]] += np.add.reduceat(there[rows[at : at + _RUN]], first, axis=0)
 
 
-def _there_and_back(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
+def _there_and_back(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, tasks: int) -> np.ndarray:
     """A^T (A basis) for the matrix A of passages: tasks sum their passages, parts of the sums meet by range of features."""
-    shared = passages.sparkSession.sparkContext.broadcast(basis)
     width = basis.shape[1]
+    shared = passages.sparkSession.sparkContext.broadcast(weighted(basis, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, width), np.float32)
+        total = np.zeros((FEATURES + 1, width), np.float32)
         for batch in batches:
-            if batch.num_rows:
-                features, weights, rows, there = _times(batch, shared.value)
-                order = np.argsort(features, kind="stable")
-                kinds, first = np.unique(features[order], return_index=True)
-                total[kinds] += np.add.reduceat(there[rows[order]] * weights[order, None], first, axis=0)
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int16).reshape(-1, PASSAGE)
+            scales = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32)
+            for at in range(0, len(words), _BLOCK):
+                _add(total, words[at : at + _BLOCK], scales[at : at + _BLOCK], shared.value)
         parts = range(0, FEATURES, _PART)
         yield pa.RecordBatch.from_arrays([pa.array([*parts], pa.int64()), pa.array([total[a : a + _PART].tobytes() for a in parts], pa.binary())], ["part", "sum"])
 
@@ -154,29 +219,40 @@ def _there_and_back(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
         return pa.table({"part": parts.column("part")[:1], "sum": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((FEATURES, width), np.float32)
-    for r in passages.mapInArrow(run, "part long, sum binary").groupBy("part").applyInArrow(add, "part long, sum binary").collect():
+    for r in passages.coalesce(tasks).mapInArrow(run, "part long, sum binary").groupBy("part").applyInArrow(add, "part long, sum binary").collect():
         out[r["part"] : r["part"] + _PART] = np.frombuffer(r["sum"], np.float32).reshape(_PART, width)
-    return out
+    return out * idf[:, None]
 
 
-def fit(texts: DataFrame, idf: np.ndarray, scratch: Scratch, rank: int = 64, more: int = 16, partitions: int = 8) -> np.ndarray:
-    """Texts (text) -> features x ``rank`` basis of their passages' TF-IDF matrix.
+def fit(words: DataFrame, idf: np.ndarray, scratch: Scratch, rank: int = 64, more: int = 16, tasks: int = 8) -> np.ndarray:
+    """Rows of ``features_of``, all of them -> features x ``rank`` basis of their passages' TF-IDF matrix A.
 
     The first direction, which common words share, is left out; the others are
-    divided by their singular values, so that all count alike.
+    divided by their singular values, so that all count alike; those that the
+    passages don't have are zero.
 
-    A random sketch of ``rank + more`` columns, one power iteration, and the
-    eigenvectors of the small Gram matrix. FEATURES x (rank + more) numbers per
+    A random sketch of ``rank + more`` columns goes through A^T A twice, and the
+    Nystroem approximation Y (Q^T Y)^-1 Y^T of A^T A, for the orthonormal sketch
+    Q and Y = A^T A Q, has the eigenvectors. FEATURES x (rank + more) numbers per
     task and on the driver, whatever the number of texts.
     """
-    width = rank + more
-    passages = scratch.keep(texts.mapInArrow(_passages(idf), "features array<int>, weights array<float>").repartition(partitions), "passages")
-    sketch = np.random.default_rng(42).standard_normal((FEATURES, width)).astype(np.float32)
-    for _ in range(2):
-        sketch = np.linalg.qr(_there_and_back(passages, sketch).astype(np.float64))[0].astype(np.float32)
-    gram = sketch.T.astype(np.float64) @ _there_and_back(passages, sketch)
+    tasks = max(1, min(tasks, _TASKS))
+    passages = scratch.keep(words.select("words").mapInArrow(_passages(idf), "words binary, scales binary"), "passages")
+    sketch = np.random.default_rng(42).standard_normal((FEATURES, rank + more)).astype(np.float32)
+    sketch = np.linalg.qr(_there_and_back(passages, sketch, idf, tasks).astype(np.float64))[0]
+    image = _there_and_back(passages, sketch.astype(np.float32), idf, tasks).astype(np.float64)
     scratch.clear()
+    values, vectors = _eigen(sketch.T @ image)
+    root = image @ (vectors / np.sqrt(values))
+    values, vectors = _eigen(root.T @ root)
+    out = np.zeros((FEATURES, rank), np.float32)
+    found = root @ (vectors / values)[:, 1 : rank + 1]
+    out[:, : found.shape[1]] = found
+    return out
+
+
+def _eigen(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues that tell from rounding, largest first, and their vectors."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    kept = np.argsort(-values)[1 : rank + 1]
-    scaled = vectors[:, kept] / np.sqrt(np.maximum(values[kept], 1e-9))
-    return (sketch @ scaled).astype(np.float32)
+    kept = np.flatnonzero(values > 1e-6 * values.max(initial=1e-9))[::-1]
+    return values[kept], vectors[:, kept]

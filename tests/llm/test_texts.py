@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 
 from tessera.llm import chat, decontaminate, latent, tokens
+from tessera.llm.scratch import Scratch
 
 
 def brute_count(pieces, word):
@@ -191,6 +193,39 @@ def test_search_matches_exhaustive_comparison(spark, leaky, monkeypatch):
     assert set(pairs(spark, docs, items, decontaminate.Limits(near=1e9))) == {(d, k) for d, text in docs for k, item in items if brute(item) in brute(text)}
 
 
+def test_basis_comes_from_all_texts(spark, leaky, monkeypatch):
+    """Over twice FIT_DOCUMENTS texts, each different one and each item is fitted on once; copies count for frequencies alone."""
+    docs, items, _ = leaky
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 30)
+    seen, fit = [], latent.fit
+    monkeypatch.setattr(latent, "fit", lambda texts, *a, **k: seen.append(texts.count()) or fit(texts, *a, **k))
+    pairs(spark, docs + [(1000 + d, docs[0][1]) for d in range(50)], items)
+    assert seen == [len({text for _, text in docs}) + len(items)]
+
+
+def test_fit_matches_whole_decomposition(spark, monkeypatch):
+    """Rank 4 of passages of six themes, against the eigenvectors of the whole matrix; several tasks, blocks and texts that end inside a passage."""
+    monkeypatch.setattr(latent, "_BLOCK", 50)
+    rng = random.Random(8)
+    themes = [[f"{chr(97 + k)}word{i}" for i in range(40)] for k in range(6)]
+    texts = [" ".join(rng.choices(themes[rng.choices(range(6), (9, 7, 5, 4, 3, 2))[0]], k=rng.randint(1, 150))) for _ in range(400)]
+    words = latent.features_of(spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string").repartition(5), "text")
+    frequencies, rows = latent.document_frequencies(words)
+    idf, of = latent.inverse(frequencies, rows), latent.Features()
+    matrix = []
+    for text in texts:
+        found = of(latent.letters(text))[0]
+        for at in range(0, len(found), latent.PASSAGE):
+            row = np.bincount(found[at : at + latent.PASSAGE], minlength=latent.FEATURES) * idf
+            matrix.append(row / np.linalg.norm(row))
+    matrix = np.array(matrix)
+    _, singular, turned = np.linalg.svd(matrix, full_matrices=False)
+    basis = latent.fit(words, idf, Scratch(spark, "fit"), 4, tasks=3)
+    there = matrix @ basis
+    assert rows == 402 and np.allclose(there.T @ there, np.eye(4), atol=0.05)
+    assert np.allclose(np.abs(turned[1:5] @ basis), np.diag(1 / singular[1:5]), atol=0.05 / singular[4])
+
+
 def test_short_items_word_for_word(spark):
     docs = [(1, "He asked: What is 2+2? Nobody knew."), (2, "what is 2 and 2"), (3, "x" * (latent.STRETCH + 5) + " and then what is 2 2, again"), (4, "Two"), (5, "what is"), (6, "2 what is 2 2")]
     items = [(1, "What is 2+2?"), (2, "two"), (3, "two"), (4, "?!"), (5, None)]
