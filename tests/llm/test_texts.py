@@ -203,6 +203,20 @@ def test_basis_comes_from_all_texts(spark, leaky, monkeypatch):
     assert seen == [len({text for _, text in docs}) + len(items)]
 
 
+def test_pipeline_stage_fits_on_all_texts(spark, leaky, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    docs, items, truth = leaky
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 30)
+    seen, fit = [], latent.fit
+    monkeypatch.setattr(latent, "fit", lambda texts, *a, **k: seen.append(texts.count()) or fit(texts, *a, **k))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert seen == [len({text for _, text in docs}) + len(items)]
+    gone = {d for d, _ in docs} - left
+    assert {d for d, _ in truth if d % 10} <= gone <= {d for d, _ in truth}
+
+
 def test_fit_matches_whole_decomposition(spark, monkeypatch):
     """Rank 4 of passages of six themes, against the eigenvectors of the whole matrix; several tasks, blocks and texts that end inside a passage."""
     monkeypatch.setattr(latent, "_BLOCK", 50)
