@@ -23,6 +23,8 @@ ITEMS = 5000
 SHORTEST = 5
 #: Words whose vectors are summed at once.
 _SPAN = 1 << 13
+#: Windows whose words are counted at once.
+_WINDOWS = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -39,12 +41,19 @@ class Limits:
 
 def common_length(masks: dict[bytes, int], words: list[bytes]) -> int:
     """Length of the longest common subsequence, for an item given as places of its words (bit i: place i)."""
+    return _common(_places(masks, words))
+
+
+def _places(masks: dict[bytes, int], words: list[bytes]) -> list[int]:
+    """Places of those words that the item has; the others change no common subsequence."""
+    return list(filter(None, map(masks.get, words)))
+
+
+def _common(places: list[int]) -> int:
     row = 0
-    for word in words:
-        here = masks.get(word)
-        if here:
-            x = row | here
-            row = x & ((x - ((row << 1) | 1)) ^ x)
+    for here in places:
+        x = row | here
+        row = x & ((x - ((row << 1) | 1)) ^ x)
     return row.bit_count()
 
 
@@ -60,6 +69,33 @@ class _Scale:
     window: int
     vectors: np.ndarray
     items: list[tuple[object, int, dict[bytes, int], dict[bytes, int], int]]
+    #: By item: its number of words, how far from a window's middle it is sought, and a bit for each feature of its words.
+    sizes: np.ndarray
+    reaches: np.ndarray
+    bits: np.ndarray
+    #: Items' features, as item x FEATURES + feature in order, and how often the item has them.
+    kinds: np.ndarray
+    counts: np.ndarray
+
+    def may_have(self, found: np.ndarray, middles: np.ndarray, cols: np.ndarray, share: float) -> np.ndarray:
+        """Whether that share of its item may stand, in order, around each middle: features that both have, as often as both have them, are no fewer than words in order."""
+        out, need, wide = np.empty(len(cols), bool), share * self.sizes[cols], int(self.reaches.max())
+        apart = np.abs(np.arange(-wide, wide) + 0.5).astype(np.float32)
+        for at in range(0, len(cols), _WINDOWS):
+            part = slice(at, at + _WINDOWS)
+            items, least, first = cols[part], need[part], middles[part] - wide
+            low, high = int(first.min()), int(first.max()) + 2 * wide
+            near = np.pad(found[max(low, 0) : high].astype(np.uint16), (max(-low, 0), max(high - len(found), 0)), constant_values=latent.FEATURES)
+            features = np.lib.stride_tricks.sliding_window_view(near, 2 * wide)[first - low]
+            there = (self.bits.take((features >> 3) + (items * self.bits.shape[1]).astype(np.int32)[:, None]) >> (features & 7).astype(np.uint8) & 1).view(bool)
+            there &= apart < self.reaches[items].astype(np.float32)[:, None]
+            there[np.count_nonzero(there, axis=1) < least] = False
+            both = np.flatnonzero(there)
+            kinds, often = np.unique(both // (2 * wide) * latent.FEATURES + features.ravel()[both], return_counts=True)
+            rows, kinds = np.divmod(kinds, latent.FEATURES)
+            most = self.counts[np.searchsorted(self.kinds, items[rows] * latent.FEATURES + kinds)]
+            out[part] = np.bincount(rows, np.minimum(often, most), len(items)) >= least
+        return out
 
 
 #: An item's answer: what follows "answer:" or, without that, its last question mark.
@@ -83,9 +119,19 @@ def _scales(items: list[tuple[object, str]], vectors: np.ndarray) -> list[_Scale
         words = latent.words_of(text)
         if len(words) >= SHORTEST:
             tail = answer_words(text)
-            sum_ = vectors[features(latent.letters(text))[0]].sum(axis=0)
-            by.setdefault(2 ** round(np.log2(len(words))), []).append((sum_ / max(np.linalg.norm(sum_), 1e-9), (item_id, len(words), _masks(words), _masks(tail), len(tail))))
-    return [_Scale(w, np.array([v for v, _ in found], np.float32).T.copy(), [x for _, x in found]) for w, found in sorted(by.items())]
+            found = features(latent.letters(text))[0]
+            sum_ = vectors[found].sum(axis=0)
+            by.setdefault(2 ** round(np.log2(len(words))), []).append((sum_ / max(np.linalg.norm(sum_), 1e-9), found, (item_id, len(words), _masks(words), _masks(tail), len(tail))))
+    return [_scale(window, *zip(*found, strict=True)) for window, found in sorted(by.items())]
+
+
+def _scale(window: int, sums: tuple[np.ndarray, ...], features: tuple[np.ndarray, ...], items: tuple) -> _Scale:
+    sizes = np.array([len(found) for found in features])
+    kinds, counts = np.unique(np.concatenate([k * latent.FEATURES + found for k, found in enumerate(features)]), return_counts=True)
+    rows, there = np.divmod(kinds, latent.FEATURES)
+    bits = np.zeros((len(items), latent.FEATURES // 8 + 1), np.uint8)
+    np.bitwise_or.at(bits, (rows, there >> 3), (1 << (there & 7)).astype(np.uint8))
+    return _Scale(window, np.array(sums, np.float32).T.copy(), list(items), sizes, -(-sizes * 3 // 4) + max(window // 2, 1), bits, kinds, counts)
 
 
 class _Verbatim:
@@ -159,10 +205,10 @@ class _Search:
             np.cumsum(latent.sums(self.vectors, part.reshape(many, grain)), axis=0, out=total[1 : many + 1])
             total[many + 1 :] = total[many]
             for scale in self.scales:
-                self._windows(words, ends, at, min(_SPAN, len(found) - at), total, scale, best)
+                self._windows(words, found, ends, at, min(_SPAN, len(found) - at), total, scale, best)
         return [[{"item_id": k, "share": s, "answer_share": a} for k, (s, a) in b.items()] for b in best]
 
-    def _windows(self, words: list[_Words], ends: np.ndarray, at: int, n: int, total: np.ndarray, scale: _Scale, best: list[dict]) -> None:
+    def _windows(self, words: list[_Words], found: np.ndarray, ends: np.ndarray, at: int, n: int, total: np.ndarray, scale: _Scale, best: list[dict]) -> None:
         window, step = scale.window, max(scale.window // 2, 1)
         many = -(-n // step)
         wide, apart = window // self.grain, step // self.grain
@@ -171,17 +217,20 @@ class _Search:
         limit = self.limits.near * np.sqrt(np.einsum("ij,ij->i", sums, sums))
         rows, cols = np.divmod(np.flatnonzero(sums @ scale.vectors >= np.maximum(limit, 1e-6)[:, None]), len(scale.items))
         low = at + rows * step
+        kept = scale.may_have(found, low + window // 2, cols, self.limits.paraphrase)
+        low, cols = low[kept], cols[kept]
         first = np.searchsorted(ends, low, "right")
         last = np.searchsorted(ends, low + window - 1, "right")
         for start, col, a, b in zip(low.tolist(), cols.tolist(), first.tolist(), last.tolist(), strict=True):
             item_id, size, masks, tail, tail_size = scale.items[col]
-            reach = -(-size * 3 // 4) + step
+            reach = int(scale.reaches[col])
             for k in range(a, min(b + 1, len(words))):
                 middle = start + window // 2 - (int(ends[k - 1]) if k else 0)
                 there = words[k]()[max(middle - reach, 0) : max(middle + reach, 0)]
-                if sum(map(masks.__contains__, there)) < self.limits.paraphrase * size:
+                places = _places(masks, there)
+                if len(places) < self.limits.paraphrase * size:
                     continue
-                share = common_length(masks, there) / size
+                share = _common(places) / size
                 if share >= self.limits.paraphrase:
                     answer = common_length(tail, there) / tail_size
                     if (share >= self.limits.leak or answer >= self.limits.answer) and share > best[k].get(item_id, (0.0, 0.0))[0]:

@@ -191,10 +191,12 @@ def _add(total: np.ndarray, passages: np.ndarray, scales: np.ndarray, vectors: n
     there = sums(vectors, passages) * (scales * scales)[:, None]
     order = np.argsort(passages, axis=None, kind="stable")
     found, rows = passages.ravel()[order], order // PASSAGE
+    taken = np.empty((_RUN, there.shape[1]), np.float32)
     for at in range(0, len(found), _RUN):
         part = found[at : at + _RUN]
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        total[part[first]] += np.add.reduceat(there[rows[at : at + _RUN]], first, axis=0)
+        np.take(there, rows[at : at + _RUN], axis=0, out=taken[: len(part)], mode="clip")
+        total[part[first]] += np.add.reduceat(taken[: len(part)], first, axis=0)
 
 
 def _there_and_back(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, tasks: int) -> np.ndarray:

@@ -252,6 +252,46 @@ def test_answers():
     assert decontaminate.answer_words("a b c d e f?") == [b"e", b"f"]
 
 
+def test_few_windows_are_compared_word_by_word(monkeypatch):
+    """Any window of positive cosine is near; common words stand in all of them, and words are looked at only where as many of an item's may stand as a leak has."""
+    rng = random.Random(12)
+    sentence = lambda n: [f"w{rng.randrange(rng.choice((9, 3000, 3000, 3000)))}" for _ in range(n)]
+    items = [(k, sentence(rng.randint(20, 70))) for k in range(40)]
+    docs = [sentence(rng.randint(0, 400)) for _ in range(100)]
+    for doc in docs[::5]:
+        leak = rng.choice(items)[1][:]
+        for i in rng.sample(range(len(leak)), len(leak) // 7):
+            leak[i] = "other"
+        at = rng.choice((0, len(doc), rng.randint(0, len(doc))))
+        doc[at:at] = leak
+    texts, items = [" ".join(doc) for doc in docs], [(k, " ".join(item)) for k, item in items]
+    vectors = np.random.default_rng(1).standard_normal((latent.FEATURES + 1, 8)).astype(np.float32)
+    asked, words = [], decontaminate._Words.__call__
+    monkeypatch.setattr(decontaminate._Words, "__call__", lambda self: asked.append(1) or words(self))
+    search = decontaminate._Search(vectors, decontaminate.Limits(near=-1e9), decontaminate._scales(items, vectors), decontaminate._Verbatim(items))
+    found, few = search(texts), len(asked)
+    assert few < sum(map(len, docs)) / 10 and sum(map(len, found)) >= 20
+    monkeypatch.setattr(decontaminate._Scale, "may_have", lambda self, found, middles, cols, share: np.ones(len(cols), bool))
+    assert search(texts) == found and len(asked) - few > 50 * few
+
+
+def test_bound_on_words_in_order(monkeypatch):
+    """What may stand around a place is what both have, counted; at the ends of texts and in blocks too."""
+    monkeypatch.setattr(decontaminate, "_WINDOWS", 7)
+    rng = random.Random(13)
+    items = [(k, " ".join(rng.choices("abcdefghij", k=rng.randint(5, 40)))) for k in range(12)]
+    text = rng.choices("abcdefghijklmnopqrstuvwxyz", k=150)
+    found = latent.Features()(" ".join(text).encode())[0]
+    for scale in decontaminate._scales(items, np.ones((latent.FEATURES + 1, 2), np.float32)):
+        at, cols = (a.ravel() for a in np.meshgrid(np.arange(-50, 200, 3), np.arange(len(scale.items)), indexing="ij"))
+        kept = scale.may_have(found, at, cols, 0.5)
+        for middle, col, may in zip(at.tolist(), cols.tolist(), kept.tolist(), strict=True):
+            item_id, size, masks, *_ = scale.items[col]
+            there, item = text[max(middle - scale.reaches[col], 0) : max(middle + scale.reaches[col], 0)], items[item_id][1].split()
+            assert may == (sum(min(there.count(w), item.count(w)) for w in set(item)) >= 0.5 * size)
+            assert may or decontaminate.common_length(masks, [w.encode() for w in there]) < 0.5 * size
+
+
 def test_paraphrase_needs_the_answer(spark, leaky):
     item = "In which year did the two chemists in the small Paris laboratory first describe the new shining element? In eighteen ninety eight"
     asked = "Tell in which year the two famous chemists of that small laboratory did first describe their new element, please: "
