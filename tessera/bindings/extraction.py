@@ -67,7 +67,7 @@ def section_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of filings whose headers are spelled in three ways: with a dash or another mark, with nothing before the title, without a title."""
     docs, cuts = table(spark, sf_dir, "documents"), [F.expr(f"substring(text, cast({k} * (n_chars div 3) + 1 as int), cast({'n_chars' if k == 2 else 'n_chars div 3'} as int))") for k in range(3)]
     header = lambda k: F.element_at(F.array(*map(F.lit, _SPELLED[k])), (F.col("doc_id") % 3 + 1).cast("int"))
-    texts = docs.select("doc_id", F.concat(*(x for k in range(3) for x in (header(k), F.lit("\n"), cuts[k], F.lit("\n")))).alias("filing"))
+    texts = docs.select("doc_id", F.concat(*(x for k in range(3) for x in (header(k), F.lit("\n"), cuts[k], F.lit("\n" if k < 2 else "")))).alias("filing"))
     best = sections.longest_sections(texts, sections.headers(texts, "doc_id", "filing"), "doc_id", "filing")
     return best.select("doc_id", "key", "title", F.md5(F.btrim("content", F.lit("\n "))).alias("content"))
 
