@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ _SLICE = 256
 _ODD = np.random.default_rng(13).integers(0, 1 << 64, 3, np.uint64) | np.uint64(1)
 
 
-def _shingles(text: bytes | None, width: int) -> np.ndarray:
+def shingles(text: bytes | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles, in order; fewer words than ``width`` make one, no words none."""
     words = (text or b"").lower().split()
     if not words:
@@ -45,7 +45,7 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _sketch(shingles: np.ndarray, blocks: int) -> np.ndarray:
+def sketch(shingles: np.ndarray, blocks: int) -> np.ndarray:
     """``blocks`` words of 64 bits: each shingle turns over one bit, so two sketches differ in no more bits than their sets in shingles."""
     block = ((_mixed(shingles, 0) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     bit = block.astype(np.int64) * 64 + (shingles & np.uint64(63)).astype(np.int64)
@@ -81,7 +81,7 @@ class Bands:
             if band > 0 and len(shingles) * self.p <= self.highs[band] * 100:
                 blocks = self.highs[band] * self.q // self.p + 1
                 place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-                made.append(_mixed(_mixed(_sketch(shingles, blocks), 1) + _mixed(place, 2), 1))
+                made.append(_mixed(_mixed(sketch(shingles, blocks), 1) + _mixed(place, 2), 1))
         return np.unique(np.concatenate(made)).view(np.int64) if made else np.empty(0, np.int64)
 
 
@@ -97,10 +97,10 @@ def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 part = batch.slice(at, _SLICE)
                 n, names, fixed, keys = [], [], [], []
                 for text in part.column(2):
-                    found = _shingles(text.as_py(), width)
+                    found = shingles(text.as_py(), width)
                     n.append(len(found))
                     names.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    fixed.append(_sketch(found, len(WORDS)).view(np.int64))
+                    fixed.append(sketch(found, len(WORDS)).view(np.int64))
                     keys.append(bands.keys(found))
                 fixed = np.array(fixed)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), *map(pa.array, fixed.T), pa.array(keys, pa.list_(pa.int64()))], schema.names)
@@ -121,7 +121,7 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, packed binary")
 
 
-def _linked(pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, width: int, percent: float) -> DataFrame:
     """(a, b, packed_a, packed_b) -> (a, b) of the pairs whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +132,8 @@ def _linked(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 part, found = batch.slice(at, _SLICE), []
                 for a, b, x, y in zip(*part.columns, strict=True):
                     if b.as_py() != last:
-                        last, right = b.as_py(), _shingles(unpack.decompress(y.as_py()), width)
-                    left = _shingles(unpack.decompress(x.as_py()), width)
+                        last, right = b.as_py(), shingles(unpack.decompress(y.as_py()), width)
+                    left = shingles(unpack.decompress(x.as_py()), width)
                     both = len(np.intersect1d(left, right, assume_unique=True))
                     found.append(100 * both >= percent * (len(left) + len(right) - both))
                 yield part.select([0, 1]).filter(pa.array(found, pa.bool_()))
@@ -141,21 +141,21 @@ def _linked(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
+def _may_link(a: str, b: str, percent: float) -> Column:
     """Whether sets of these prefixes' sizes and sketches can link: Hamming distance and difference of sizes are no more than the shingles that may differ."""
     apart = sum(F.bit_count(F.col(f"{a}_{w}").bitwiseXOR(F.col(f"{b}_{w}"))) for w in WORDS)
     return F.greatest(apart, F.abs(F.col(f"{a}_n") - F.col(f"{b}_n"))) * (100 + percent) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent)
 
 
-def _compare(width: int, percent: int):
+def _compare(width: int, percent: float):
     """Sets of two groups -> (a, b) links between left ones and others; what is connected already isn't compared."""
 
     def run(group: pa.Table) -> pa.Table:
         left, node, root = (group.column(c).to_numpy() for c in ("left", "node", "root"))
         unpack = zstandard.ZstdDecompressor()
-        sets = [_shingles(unpack.decompress(x.as_py()), width) for x in group.column("packed")]
+        sets = [shingles(unpack.decompress(x.as_py()), width) for x in group.column("packed")]
         sizes = np.array([len(s) for s in sets])
-        bits = np.stack([_sketch(s, 8) for s in sets])
+        bits = np.stack([sketch(s, 8) for s in sets])
         root, links = root.copy(), []
         rights = np.flatnonzero(~left)
         for k in np.flatnonzero(left).tolist():
@@ -174,17 +174,23 @@ def _compare(width: int, percent: int):
     return run
 
 
-def _rooted(nodes: DataFrame, met: DataFrame, rows: DataFrame, again: bool, scratch: Scratch, rounds: list[Scratch], width: int, percent: int) -> DataFrame:
-    """(node, doc_id, text_hash), blocks that sets share (key, m, node, n, sketch) and (doc_id, text_hash, text) -> (node, root) of the sets with a link; ``again``: rows may be alike.
+def rooted(nodes: DataFrame, met: DataFrame, rows: DataFrame, again: bool, scratch: Scratch, rounds: list[Scratch], width: int, percent: float, most: int, group: int) -> DataFrame:
+    """(node, doc_id, text_hash), keys that sets share (key, m, node, n, sketch[, rest, hot]) and (doc_id, text_hash, text) -> (node, root) of the sets with a link; ``again``: rows may be alike.
 
-    Sets that share a block with few others are compared in pairs. Where many share a block they
-    are compared with its centre, the set that meets most others over all blocks; what then
-    stands outside the block's largest component is compared, in groups, with all sets of other
-    components there. So every two sets that share a block are compared or are in one component already.
+    Sets that share a key with at most ``most`` are compared in pairs. Where more share a key they
+    are compared with its centre, the set that meets most others over all keys; what then
+    stands outside the key's largest component is compared, in groups of about ``group`` shingles, with all sets of other
+    components there. So every two sets that share a key are compared or are in one component already.
+    Where keys are the first shingles of a set (with ``rest``), pairs that share too few of them go before.
     """
-    side = lambda frame, c: frame.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *WORDS)))
-    cold, hot = met.where(F.col("m") <= PAIRWISE_MOST), met.where(F.col("m") > PAIRWISE_MOST)
-    pairs = side(cold, "a").join(side(cold, "b"), "key").where((F.col("a") > F.col("b")) & _may_link("a", "b", percent)).select("a", "b")
+    counted = ["rest", "hot"] if "rest" in met.columns else []
+    side = lambda frame, c, more=(): frame.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *WORDS, *more)))
+    cold, hot = met.where(F.col("m") <= most), met.where(F.col("m") > most)
+    pairs = side(cold, "a", counted).join(side(cold, "b", counted), "key").where((F.col("a") > F.col("b")) & _may_link("a", "b", percent))
+    if counted:
+        shared = pairs.groupBy("a", "b", *(f"{c}_{x}" for c in "ab" for x in ("n", *counted))).agg(F.count(F.lit(1)).alias("both"))
+        pairs = shared.where((F.col("both") + F.least("a_hot", "b_hot") + F.greatest("a_rest", "b_rest")) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent - 1e-6)
+    pairs = pairs.select("a", "b")
     degree = hot.groupBy("node").agg(F.sum("m").alias("degree"))
     centre = hot.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", *WORDS)).alias("c"))
     centre = scratch.keep(centre.select("key", *(f"c.{x}" for x in ("node", "n", *WORDS))), "centres")
@@ -199,14 +205,14 @@ def _rooted(nodes: DataFrame, met: DataFrame, rows: DataFrame, again: bool, scra
     edges = scratch.keep(_linked(wanted.join(side("a"), "a").join(side("b"), "b"), width, percent), "links")
     found = components(edges, rounds[0])
 
-    rooted = scratch.keep(hot.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    inside = scratch.keep(hot.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    parts = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "root", "n")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    groups = lambda n: F.ceil(n / GROUP).cast("int")
+    groups = lambda n: F.ceil(n / group).cast("int")
     plan = scratch.keep(main.select("key", F.col("main.root").alias("main"), groups(F.col("n")).alias("all"), groups(F.col("n") - F.col("main.n")).alias("rest")), "plan")
     if not plan.limit(1).count():
         return found
-    planned = rooted.join(plan, "key")
+    planned = inside.join(plan, "key")
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
     each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     columns = ["key", "i", "j", "left", "node", "root"]
@@ -217,6 +223,30 @@ def _rooted(nodes: DataFrame, met: DataFrame, rows: DataFrame, again: bool, scra
     return components(edges.unionByName(more), rounds[1]) if more.limit(1).count() else found
 
 
+def different_sets(signed: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
+    """Signed rows -> (node, set_id, doc_id, text_hash, rows, n, sketch, keys): each set once, by its first row; ``more`` columns hang on the set."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("text_hash"))).alias("first")
+    grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*WORDS, *more, "keys")))
+    return scratch.keep(grouped.select(F.monotonically_increasing_id().alias("node"), "set_id", "first.doc_id", "first.text_hash", "rows", "n", *WORDS, *more, "keys"), "wide")
+
+
+def repeated(signed: DataFrame) -> bool:
+    """Whether rows are alike in id and text."""
+    return bool(signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def sharing(wide: DataFrame, scratch: Scratch, most: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, met) of different sets: all without their keys, and a row for each key of a set that others have too."""
+    keyed = wide.select(F.explode("keys").alias("key"), "node")
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(keyed, "key"), "shared")
+    nodes = scratch.keep(wide.drop("keys"), "nodes")
+    scratch.drop("wide")
+    met = shared.join(nodes.select("node", "n", *WORDS, *more), "node")
+    if more:
+        met = met.withColumn("hot", F.count_if(F.col("m") > most).over(Window.partitionBy("node")))
+    return nodes, scratch.keep(met, "met")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
@@ -234,21 +264,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch, rounds = Scratch(spark, "jaccard"), [Scratch(spark, "jaccard-rounds") for _ in range(2)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.encode(F.col(text_col), "utf-8").alias("text"))
     signed = scratch.keep(_signed(rows, width, percent), "signed")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("text_hash"))).alias("first")
-    grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*WORDS, "keys")))
-    wide = scratch.keep(grouped.select(F.monotonically_increasing_id().alias("node"), "set_id", "first.doc_id", "first.text_hash", "rows", "n", *WORDS, "keys"), "wide")
-    again = signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    wide = different_sets(signed, scratch)
+    again = repeated(signed)
     sized = scratch.keep(signed.select("doc_id", "n_shingles", "set_id"), "sized")
     scratch.drop("signed")
-    keyed = wide.select(F.explode("keys").alias("key"), "node")
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(keyed, "key"), "shared")
-    nodes = scratch.keep(wide.drop("keys"), "nodes")
-    scratch.drop("wide")
-    met = scratch.keep(shared.join(nodes.select("node", "n", *WORDS), "node"), "met")
-    linked = _rooted(nodes, met, rows, bool(again), scratch, rounds, width, percent)
-    rooted = scratch.keep(nodes.select("node", "set_id", "doc_id", "rows").join(linked, "node", "left").select("set_id", "doc_id", "rows", F.coalesce("root", "node").alias("root")), "components")
-    least = scratch.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "least")
-    named = scratch.keep(join_named(rooted.select("set_id", "rows", "root"), least, "root", "sets").select("set_id", "rows", "component_id"), "named")
+    nodes, met = sharing(wide, scratch, PAIRWISE_MOST)
+    linked = rooted(nodes, met, rows, again, scratch, rounds, width, percent, PAIRWISE_MOST, GROUP)
+    placed = scratch.keep(nodes.select("node", "set_id", "doc_id", "rows").join(linked, "node", "left").select("set_id", "doc_id", "rows", F.coalesce("root", "node").alias("root")), "components")
+    least = scratch.keep(placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "least")
+    named = scratch.keep(join_named(placed.select("set_id", "rows", "root"), least, "root", "sets").select("set_id", "rows", "component_id"), "named")
     for done in (*rounds, scratch):
         done.clear("sized", "named")
     blank = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
