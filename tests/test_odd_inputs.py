@@ -1,6 +1,8 @@
 import duckdb
+import numpy as np
 
 from tessera import catalog
+from tessera.operators import similar
 from tests import oracle
 
 
@@ -19,3 +21,18 @@ def test_last_section_ends_with_its_text(spark, tmp_path):
     texts = [*(("ab " * 100)[:n] for n in range(138, 156)), "x" * 140, None, ""]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
     assert against_sql(spark, tmp_path, "section_spelled", documents=docs)
+
+
+def test_all_like_vectors_are_found_with_little_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 64)
+    monkeypatch.setattr(similar, "_SLICE", 10)
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=24) + rng.normal(size=(500, 24)) * 0.1  # one block to hyperplanes, most pairs above the limit
+    rows = [*near, *rng.normal(size=(40, 24)), near[0]]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "k long, v array<double>")
+    unit = np.array([v / np.linalg.norm(v) for v in rows[:-1]])
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 6) > 0.99, 1)), strict=True)}
+    pairs = similar.near_pairs(frame, "k", "v", 0.99, miss=0)[0]
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10_000
+    assert similar.near_pairs(frame.limit(0), "k", "v", 0.99, miss=0)[0].collect() == []
