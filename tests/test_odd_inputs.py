@@ -3,7 +3,7 @@ import numpy as np
 
 from tessera import catalog
 from tessera.operators import similar
-from tessera.plans import text_index
+from tessera.plans import intake, text_index
 from tests import oracle
 
 
@@ -53,3 +53,11 @@ def test_postings_move_once_a_token_and_like_texts_are_told_once(spark, tmp_path
     assert sorted(r["doc_id"] for r in best.where("query_id = 2").collect()) == [1000, 1001, 1002, 1003, 1004]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "nth" in plan
+
+
+def test_intake_keeps_no_second_copy(spark, tmp_path):
+    files = spark.createDataFrame([("a", "1", bytearray(b"Words on a thing.")), ("b", "2", bytearray(b"\xff")), ("c", "3", bytearray(b" "))], "path string, hash string, content binary")
+    index = intake.take_in(intake.create(spark, str(tmp_path / "index")), files, "text")
+    assert {p.name for p in (tmp_path / "index" / "intake").glob("*/*")} == {"quarantine"}
+    assert [r["path"] for r in index.chunks().collect()] == ["a"]
+    assert sorted(r["path"] for r in intake.quarantine(index).collect()) == ["b", "c"]
